@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from granary.llm import secrets, tokens
+from granary.llm import phrases, secrets, tokens
 
 QUERIES = {
     "op3_token_counts": tokens.op3_token_counts,
+    "op4_benchmark_decontamination": phrases.op4_benchmark_decontamination,
     "op5_secret_scans": secrets.op5_secret_scans,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op4_benchmark_decontamination": phrases.SQL,
+}
