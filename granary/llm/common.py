@@ -145,10 +145,8 @@ def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
         if n >= k:
             out.append(np.unique(whole[at : at + n - k + 1]))
         elif n:
-            one = np.array([n], np.uint64)
-            for i in range(n):
-                one += words[at + i] * np.uint64(salt[i])
-            out.append(mixed(mixed(one)))
+            one = n + sum(int(words[at + i]) * salt[i] for i in range(n))
+            out.append(mixed(mixed(np.array([one % 2**64], np.uint64))))
         else:
             out.append(np.empty(0, np.uint64))
         at += n

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from granary.llm import mixing, phrases, secrets, tokens
+from granary.llm import jaccard, mixing, phrases, secrets, tokens
 
 QUERIES = {
     "op3_token_counts": tokens.op3_token_counts,
     "op4_benchmark_decontamination": phrases.op4_benchmark_decontamination,
     "op5_secret_scans": secrets.op5_secret_scans,
+    "op6_jaccard_join": jaccard.op6_jaccard_join,
     "op10_mix_sources": mixing.op10_mix_sources,
 }
 
