@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from granary.llm import jaccard, mixing, phrases, secrets, tokens
+from granary.llm import jaccard, mixing, phrases, secrets, tokens, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op3_token_counts": tokens.op3_token_counts,
     "op4_benchmark_decontamination": phrases.op4_benchmark_decontamination,
     "op5_secret_scans": secrets.op5_secret_scans,
