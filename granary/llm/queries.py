@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from granary.llm import jaccard, mixing, phrases, secrets, tokens, toxicity
+from granary.llm import jaccard, mixing, phrases, quality, secrets, tokens, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
+    "op2_quality_classifier": quality.op2_quality_classifier,
     "op3_token_counts": tokens.op3_token_counts,
     "op4_benchmark_decontamination": phrases.op4_benchmark_decontamination,
     "op5_secret_scans": secrets.op5_secret_scans,
