@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from granary.llm import jaccard, mixing, phrases, quality, secrets, tokens, toxicity
+from granary.llm import jaccard, mixing, phrases, quality, rules, secrets, tokens, toxicity, urls
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -11,6 +11,8 @@ QUERIES = {
     "op4_benchmark_decontamination": phrases.op4_benchmark_decontamination,
     "op5_secret_scans": secrets.op5_secret_scans,
     "op6_jaccard_join": jaccard.op6_jaccard_join,
+    "op7_quality_rules": rules.op7_quality_rules,
+    "op9_url_filters": urls.op9_url_filters,
     "op10_mix_sources": mixing.op10_mix_sources,
 }
 
