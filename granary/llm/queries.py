@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from granary.llm import jaccard, mixing, phrases, quality, rules, secrets, tokens, toxicity, urls
+from granary.llm import jaccard, licenses, mixing, phrases, quality, rules, secrets, tokens, toxicity, urls
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -12,10 +12,12 @@ QUERIES = {
     "op5_secret_scans": secrets.op5_secret_scans,
     "op6_jaccard_join": jaccard.op6_jaccard_join,
     "op7_quality_rules": rules.op7_quality_rules,
+    "op8_license_scans": licenses.op8_license_scans,
     "op9_url_filters": urls.op9_url_filters,
     "op10_mix_sources": mixing.op10_mix_sources,
 }
 
 SQL: dict[str, str] = {
     "op4_benchmark_decontamination": phrases.SQL,
+    "op8_license_scans": licenses.SQL,
 }
