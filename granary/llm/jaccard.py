@@ -23,8 +23,12 @@ FREQUENT = 12
 COUNTED = 6_000_000
 #: Members of a group whose token union is opened as one.
 GROUP = 32
-#: Orders of shingles whose first one picks a text's group.
-SEEDS = (0x5851F42D4C957F2D, 0x14057B7EF767814F, 0x2545F4914F6CDD1D)
+#: Orders of shingles whose first one picks a text's group; a node is tried on a centre that agrees in two.
+SEEDS = (0x5851F42D4C957F2D, 0x14057B7EF767814F, 0x2545F4914F6CDD1D, 0x369DEA0F31A53F85)
+#: A prefix is longer by one shingle for every so many of the set, and as many more must be shared.
+EXTRA = 25
+#: Sizes of the texts of one group lie within this factor, so that its bounds are tight.
+SPREAD = 1.02
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -79,7 +83,7 @@ def signed(docs: DataFrame, k: int, t: Fraction, bits) -> DataFrame:
     """doc_id, size of its shingle set, digest of the set, prefix, and the first shingle by each of SEEDS.
 
     The prefix has the rarest shingles in the one order of all texts (rare ones first, then by
-    hash): two sets as similar as ``t`` share one of the first n - ceil(t * n) + 1 of each.
+    hash): two sets as similar as ``t`` share l of the first n - ceil(t * n) + l of each.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,7 +93,7 @@ def signed(docs: DataFrame, k: int, t: Fraction, bits) -> DataFrame:
                 n = len(s)
                 often = _is_frequent(s, bits.value)
                 rare = s[~often]
-                length = n - math.ceil(t * n) + 1 if n else 0
+                length = min(n, n - math.ceil(t * n) + 1 + n // EXTRA)
                 prefixes.append(rare[:length] if len(rare) >= length else np.concatenate([rare, s[often][: length - len(rare)]]))
                 central.append(len(rare) / n if n else 0.0)
                 firsts.append(np.array([mixed(s ^ np.uint64(x)).min() for x in SEEDS] if n else [], np.uint64))
@@ -100,8 +104,8 @@ def signed(docs: DataFrame, k: int, t: Fraction, bits) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, digest binary, rare double, prefix array<long>, firsts array<long>")
 
 
-def sets_of(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """node and its shingle set for the given nodes (node, doc_id): made anew from the texts, so sets are never stored.
+def with_sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """``nodes`` (node, doc_id, more) with the node's shingle set ``tokens``: made anew from the texts, never stored.
 
     Texts of other documents are left out by a bit filter of fixed size before anything is
     shuffled; the join drops the few that pass it by chance.
@@ -124,11 +128,9 @@ def sets_of(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), digests, _flat(every)], ["doc_id", "digest", "tokens"])
 
     made = docs.select("doc_id", "text", at.alias("bit")).mapInArrow(run, "doc_id long, digest binary, tokens array<long>")
-    made = made.withColumn("node", F.xxhash64("digest"))
     # a doc_id can stand in several rows: the digest says which one is the node's
-    of = nodes.select(F.col("node").alias("_node"), F.col("doc_id").alias("_doc"))
-    found = made.join(of, (made["node"] == of["_node"]) & made["doc_id"].eqNullSafe(of["_doc"]), "left_semi")
-    return found.dropDuplicates(["node", "doc_id"]).select("node", "tokens")
+    made = made.select(F.xxhash64("digest").alias("_node"), F.col("doc_id").alias("_doc"), "tokens")
+    return nodes.join(made, (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_doc"))).drop("_node", "_doc")
 
 
 def _overlap(a: str, b: str) -> F.Column:
@@ -148,57 +150,62 @@ def linked(docs: DataFrame, k: int, t: Fraction) -> DataFrame:
     nodes = stored(rows.where("n > 0").groupBy(node).agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("rare").alias("rare"), F.first("prefix").alias("prefix"), F.first("firsts").alias("firsts")), "nodes")
 
     # groups: nodes with the same first shingle, around the one with the fewest rare shingles
-    keyed = nodes.select("node", "n", "rare", F.posexplode("firsts").alias("seed", "first"))
-    centre = keyed.groupBy("seed", "first").agg(F.min(F.struct("rare", "node", "n")).alias("c"), F.count(F.lit(1)).alias("members")).where("members > 1").select("seed", "first", "c")
+    keyed = nodes.select("node", "doc_id", "n", "rare", "firsts", F.posexplode("firsts").alias("seed", "first"))
+    centre = keyed.groupBy("seed", "first").agg(F.min(F.struct("rare", "node", "n", "doc_id", "firsts")).alias("c"), F.count(F.lit(1)).alias("members")).where("members > 1").select("seed", "first", "c")
     centre = stored(centre, "centres")  # read again so that both sides of the join are exchanged and a hot group can be split
-    pairs = keyed.join(centre, ["seed", "first"]).select(F.col("node").alias("a"), F.col("c.node").alias("b"), F.col("n").alias("na"), F.col("c.n").alias("nb"))
-    pairs = stored(pairs.where((F.col("a") != F.col("b")) & (F.least("na", "nb") * down >= F.greatest("na", "nb") * up)).distinct(), "pairs")
-    wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = stored(sets_of(docs, nodes.select("node", "doc_id").join(wanted, "node", "left_semi"), k), "sets")
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("tb")), "b")
-    shared = _overlap("ta", "tb")
-    edges = stored(both.where(shared * down >= (F.col("na") + F.col("nb") - shared) * up).select("a", "b"), "links")
-    forget(sets, pairs, centre)
+    agree = F.size(F.filter(F.zip_with("firsts", "c.firsts", lambda x, y: x == y), lambda x: x))
+    pairs = keyed.join(centre, ["seed", "first"]).where((F.col("node") != F.col("c.node")) & (agree > 1) & (F.least("n", "c.n") * down >= F.greatest("n", "c.n") * up))
+    pairs = stored(pairs.select("node", "doc_id", "n", F.col("c.node").alias("b"), F.col("c.n").alias("nb"), F.col("c.doc_id").alias("b_doc")).distinct(), "pairs")
+    centres = stored(pairs.select(F.col("b").alias("node"), F.col("b_doc").alias("doc_id")).distinct(), "centres")
+    both = with_sets(docs, pairs, k).join(with_sets(docs, centres, k).select(F.col("node").alias("b"), F.col("tokens").alias("tb")), "b")
+    shared = _overlap("tokens", "tb")
+    edges = stored(both.where(shared * down >= (F.col("n") + F.col("nb") - shared) * up).select(F.col("node").alias("a"), "b"), "links")
+    forget(pairs, centre, centres)
     first = components(edges)
 
-    # token-group matrix over the prefixes: group of each shingle, with bounds of the members' sizes and places
-    grouped = stored(nodes.join(first.select("node", F.col("root").alias("g")), "node", "left").select("node", "doc_id", "n", F.coalesce("g", "node").alias("g"), "prefix"), "grouped")
-    cells = grouped.select("node", "g", "n", F.posexplode("prefix").alias("at", "token"))
-    several = cells.groupBy("token").agg(F.min("g").alias("x"), F.max("g").alias("y")).where("x <> y").select("token")
-    cells = stored(cells.join(several, "token"), "cells")
-    # what a shingle's place leaves for the overlap: at most n - at shingles; t / (1 + t) of both sizes are needed
-    matrix = cells.where((F.col("n") - F.col("at")) * (up + down) >= 2 * F.col("n") * up).groupBy("token", "g").agg(F.min("n").alias("least"), F.max(F.col("n") - F.col("at")).alias("room"), F.max("n").alias("most"))
-    query = cells.select("token", "node", F.col("n").alias("qn"), F.col("g").alias("qg"), (F.col("n") - F.col("at")).alias("qroom"))
+    # token-group matrix over the prefixes. A group: linked nodes of about the same size, so that
+    # the bounds of its members' sizes and places are tight
+    root = F.coalesce("root", F.col("node")).alias("root")
+    cells = nodes.join(first, "node", "left").select("node", root, "n", F.posexplode("prefix").alias("at", "token"))
+    cells = cells.repartition("token")  # one exchange for the two uses
+    several = cells.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("token")
+    level = F.floor(F.log(F.col("n")) / math.log(SPREAD)).cast("int").alias("level")
+    cells = stored(cells.join(several, "token").select("token", "node", "root", "n", level, (F.col("n") - F.col("at")).alias("room")), "cells")
+    # a member y is not larger than the query x. The overlap that t asks for, t / (1 + t) of both
+    # sizes, leaves y its first n - 2t / (1 + t) * n + l places; room is what follows a place
+    matrix = cells.where(f"(room + 1 + n div {EXTRA}) * {up + down} >= 2 * n * {up}").groupBy("token", "root", "level")
+    matrix = matrix.agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("room").alias("room"))
+    query = cells.select("token", "node", F.col("n").alias("qn"), F.col("root").alias("q_root"), F.col("room").alias("q_room"))
+    met = query.join(matrix, "token").where((F.col("root") != F.col("q_root")) & (F.col("least") <= F.col("qn")) & (F.col("most") * down >= F.col("qn") * up))
+    smallest = f"(qn * {up} + {down - 1}) div {down}"  # size of the smallest set, and the least overlap
     opened = (
-        query.join(matrix, "token")
-        .where((F.col("g") != F.col("qg")) & (F.col("least") <= F.col("qn")) & (F.col("most") * down >= F.col("qn") * up))
-        .where(F.least("qroom", "room") * (up + down) >= (F.col("qn") + F.greatest("least", F.expr(f"(qn * {up} + {down - 1}) div {down}"))) * up)
-        .select("node", "qn", "g")
-        .distinct()
+        met.groupBy("node", "qn", "root", "level")
+        .agg(F.count(F.lit(1)).alias("met"), F.max(F.least("q_room", "room")).alias("room"), F.min("least").alias("least"))
+        .where(f"met >= least(1 + {smallest} div {EXTRA}, {smallest}) and room * {up + down} >= (qn + greatest(least, {smallest})) * {up}")
     )
-    opened = stored(opened, "opened")
+    opened = stored(opened.select("node", "qn", "root", "level"), "opened")
 
     # the groups that queries ask for, in parts of a bounded number of members with their token union
-    asked = opened.select("g").distinct()
-    sizes = grouped.groupBy("g").agg(F.count(F.lit(1)).alias("members"))
-    members = grouped.join(asked, "g", "left_semi").join(sizes, "g").select("node", "doc_id", "n", "g", F.pmod(F.xxhash64(F.lit(1), "node"), F.ceil(F.col("members") / GROUP)).alias("part"))
+    asked = opened.select("root", "level").distinct()
+    members = nodes.join(first, "node", "left").select("node", "doc_id", "n", root, level).join(asked, ["root", "level"], "left_semi")
+    sizes = members.groupBy("root", "level").agg(F.count(F.lit(1)).alias("size"))
+    members = members.join(sizes, ["root", "level"]).select("node", "doc_id", "n", "root", "level", F.pmod(F.xxhash64(F.lit(1), "node"), F.ceil(F.col("size") / GROUP)).alias("part"))
     members = stored(members, "members")
-    wanted = grouped.select("node", "doc_id").join(members.select("node").unionAll(opened.select("node")).distinct(), "node", "left_semi")
-    sets = stored(sets_of(docs, wanted, k), "sets")
-    unions = members.join(sets, "node").groupBy("g", "part").agg(F.collect_list(F.struct("node", "n", "tokens")).alias("members"))
-    unions = unions.withColumn("tokens", F.when(F.size("members") == 1, F.col("members")[0]["tokens"]).otherwise(F.array_distinct(F.flatten(F.col("members.tokens")))))
-    asking = opened.join(sets.select("node", F.col("tokens").alias("q")), "node")
+    unions = with_sets(docs, members, k).groupBy("root", "level", "part").agg(F.collect_list(F.struct("node", "n", "tokens")).alias("members"))
+    unions = unions.withColumn("union", F.when(F.size("members") == 1, F.col("members")[0]["tokens"]).otherwise(F.array_distinct(F.flatten(F.col("members.tokens")))))
+    queries = stored(opened.join(nodes.select("node", "doc_id"), "node"), "queries")
     # a member as similar as t shares t of the query's shingles, and the member's are all in the union
-    qualified = asking.join(unions, "g").where(_overlap("q", "tokens") * down >= F.col("qn") * up).select("node", "qn", "q", F.explode("members").alias("m"))
-    shared = F.size(F.array_intersect("q", "m.tokens")).cast("long")
-    more = qualified.where(shared * down >= (F.col("qn") + F.col("m.n") - shared) * up).select(F.col("node").alias("a"), F.col("m.node").alias("b"))
+    qualified = with_sets(docs, queries, k).join(unions, ["root", "level"]).where(_overlap("tokens", "union") * down >= F.col("qn") * up)
+    pairs = qualified.select(queries["node"], "qn", qualified["tokens"], F.explode("members").alias("m"))
+    shared = F.size(F.array_intersect("tokens", "m.tokens")).cast("long")
+    more = pairs.where(shared * down >= (F.col("qn") + F.col("m.n") - shared) * up).select(F.col("node").alias("a"), F.col("m.node").alias("b"))
     every = components(edges.unionAll(more))
 
     # the smallest doc_id of each component, and back to all rows
     label = nodes.join(every, "node").groupBy("root").agg(F.min("doc_id").alias("least"))
     named = nodes.select("node", "doc_id").join(every, "node", "left").join(label, "root", "left").select("node", F.coalesce("least", "doc_id").alias("component_id"))
     named = stored(named, "named")
-    forget(sets, members, opened, cells, grouped, edges, first, every, nodes)
+    forget(members, opened, queries, cells, edges, first, every, nodes)
     out = rows.where("n > 0").select("doc_id", F.col("n").alias("n_shingles"), node).join(named, "node").select("doc_id", "n_shingles", "component_id")
     return out.unionAll(rows.where("n = 0").select("doc_id", "n", "doc_id"))
 
