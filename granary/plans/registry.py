@@ -1,6 +1,379 @@
-"""Queries by name, with DuckDB SQL for the same rows."""
+"""Queries by name over the driver's tables, with DuckDB SQL for the same rows where SQL can state them."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from granary.functions import text
+from granary.functions.parsing import flat_content
+from granary.functions.vocabulary import CONTINENTS, GEOGRAPHY_ALIASES
+from granary.operators import conversations as talk
+from granary.operators import decontam, divergence, generation, judge, profile, rubric, sampling
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable:
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_TOKENS = r"len(list_filter(string_split_regex({0}, '\s+'), lambda x: x <> ''))"
+_ARRAY = r"list_filter(string_split_regex({0}, '\s+'), lambda x: x <> '')"
+N_TEXT = _TOKENS.format("text")
+
+
+@query(
+    "corpus_profile",
+    f"""WITH d AS (SELECT source, doc_id, {N_TEXT} AS n FROM documents)
+    SELECT source, count(*) AS total, count(*) FILTER (n = 0) AS empty, count(doc_id) - count(DISTINCT doc_id) AS dup_ids,
+           round(avg(n) FILTER (n > 0), 1) AS avg_tokens, max(n) AS max_tokens FROM d GROUP BY source""",
+)
+def corpus_profile(spark, sf_dir):
+    return profile.profile(t(spark, sf_dir, "documents"), "source", "doc_id", "text")
+
+
+@query(
+    "top_sources",
+    """WITH c AS (SELECT lang, source, count(*) AS n FROM documents GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, source) AS r FROM c)
+    SELECT lang, string_agg(source || '=' || n, ';' ORDER BY r) AS top FROM r WHERE r <= 5 GROUP BY lang""",
+)
+def top_sources(spark, sf_dir):
+    return profile.top_counts(t(spark, sf_dir, "documents"), "lang", "source")
+
+
+@query("composition_rollup", f"SELECT lang, source, count(*) AS records, CAST(sum({N_TEXT}) AS BIGINT) AS tokens FROM documents GROUP BY ROLLUP (lang, source)")
+def composition_rollup(spark, sf_dir):
+    return profile.composition(t(spark, sf_dir, "documents"), "lang", "source", "text")
+
+
+_PAIRS = """SELECT conv_id, min_by(text, turn) FILTER (lower(role) IN ('human', 'user')) AS question,
+  min_by(text, turn) FILTER (lower(role) IN ('assistant', 'gpt', 'ai')) AS answer FROM conversations WHERE text IS NOT NULL GROUP BY conv_id"""
+
+
+@query("first_turn_pairs", f"SELECT *, trim(concat_ws(chr(10) || chr(10), nullif(question, ''), nullif(answer, ''))) AS full_text FROM ({_PAIRS})")
+def first_turn_pairs(spark, sf_dir):
+    return talk.first_pairs(t(spark, sf_dir, "conversations"), "conv_id")
+
+
+@query(
+    "task_format_stats",
+    f"""WITH p AS (SELECT question IS NOT NULL AND answer IS NOT NULL AS paired,
+      coalesce(contains(question, 'A)')::int + contains(question, 'B)')::int + contains(question, 'C)')::int + contains(question, 'D)')::int + contains(question, 'E)')::int >= 2, false) AS mcq,
+      coalesce(contains(answer, '<think>') AND contains(answer, '</think>'), false) AS think,
+      {_TOKENS.format("coalesce(question, '')")} AS q, {_TOKENS.format("coalesce(answer, '')")} AS a FROM ({_PAIRS}))
+    SELECT count(*) AS n, avg(paired::int) * 100 AS pct_paired, avg(mcq::int) * 100 AS pct_mcq, avg(think::int) * 100 AS pct_think, median(q) AS median_q, median(a) AS median_a FROM p""",
+)
+def task_format_stats(spark, sf_dir):
+    return profile.task_format(first_turn_pairs(spark, sf_dir))
+
+
+@query("system_turn_strip", "SELECT conv_id, turn, role, text FROM conversations WHERE role IS NULL OR role <> 'system'")
+def system_turn_strip(spark, sf_dir):
+    # the exploded form of operators.conversations.without_system
+    return t(spark, sf_dir, "conversations").where("role is null or role <> 'system'").select("conv_id", "turn", "role", "text")
+
+
+@query("prompt_body_truncate", "SELECT doc_id, CASE WHEN length(text) > 6200 THEN left(text, 4000) || chr(10) || chr(10) || '[...]' || chr(10) || chr(10) || right(text, 2000) ELSE text END AS body FROM documents")
+def prompt_body_truncate(spark, sf_dir):
+    return t(spark, sf_dir, "documents").select("doc_id", talk.document_body("text").alias("body"))
+
+
+@query("first_wins_dedup", "SELECT min(doc_id) AS doc_id, md5(text) AS key FROM documents GROUP BY md5(text)")
+def first_wins_dedup(spark, sf_dir):
+    rows = t(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("key"))
+    return profile.first_of(rows, "key", "doc_id")
+
+
+_KEY = "left(sha256({0} || chr(0) || CAST(doc_id AS VARCHAR)), 16)"
+
+
+@query("hash_reservoir", f"SELECT doc_id, lang FROM documents ORDER BY {_KEY.format(chr(39) + '42' + chr(39))}, doc_id LIMIT 100")
+def hash_reservoir(spark, sf_dir):
+    return sampling.bottom(t(spark, sf_dir, "documents").select("doc_id", "lang"), 100, "doc_id", 42)
+
+
+@query(
+    "stratified_sample",
+    f"""WITH s AS (SELECT lang AS stratum, count(*) AS size FROM documents GROUP BY lang),
+    a AS (SELECT *, least(1, size) AS first, 50 - sum(least(1, size)) OVER () AS remaining, size - least(1, size) AS room FROM s),
+    b AS (SELECT *, remaining * room / sum(room) OVER () AS share FROM a),
+    c AS (SELECT *, floor(share) AS whole, remaining - sum(floor(share)) OVER () AS spare, row_number() OVER (ORDER BY share - floor(share) DESC, stratum) AS place FROM b),
+    k AS (SELECT stratum, first + whole + (place <= spare AND whole < room)::int AS take FROM c),
+    r AS (SELECT doc_id, lang, take, row_number() OVER (PARTITION BY lang ORDER BY {_KEY.format("('7::' || lang)")}, doc_id) AS r FROM documents JOIN k ON lang = stratum)
+    SELECT doc_id, lang FROM r WHERE r <= take""",
+)
+def stratified_sample(spark, sf_dir):
+    return sampling.stratified(t(spark, sf_dir, "documents").select("doc_id", "lang"), 50, "lang", "doc_id", 7)
+
+
+_NGRAMS = "SELECT DISTINCT {0}, array_to_string(w[i:i + 7], ' ') AS g FROM (SELECT {0}, w, unnest(range(1, len(w) - 8 + 1)) AS i FROM (SELECT {0}, " + _ARRAY.format("text") + " AS w FROM {1}))"
+_CANDIDATES = f"SELECT DISTINCT doc_id, item_id FROM ({_NGRAMS.format('doc_id', 'documents')}) JOIN ({_NGRAMS.format('item_id', 'benchmark')}) USING (g)"
+
+
+@query("ngram_semi_prefilter", f"SELECT DISTINCT doc_id FROM ({_CANDIDATES})")
+def ngram_semi_prefilter(spark, sf_dir):
+    return decontam.prefiltered(t(spark, sf_dir, "documents"), t(spark, sf_dir, "benchmark"), "doc_id")
+
+
+@query("decontam_candidates", _CANDIDATES)
+def decontam_candidates(spark, sf_dir):
+    return decontam.candidates(t(spark, sf_dir, "documents"), t(spark, sf_dir, "benchmark"), "doc_id", "item_id")
+
+
+@query("decontam_verify")
+def decontam_verify(spark, sf_dir):
+    docs, items = t(spark, sf_dir, "documents"), t(spark, sf_dir, "benchmark")
+    return decontam.verified(decontam.candidates(docs, items, "doc_id", "item_id"), docs, items, "doc_id", "item_id")
+
+
+@query("decontaminate")
+def decontaminate(spark, sf_dir):
+    found = decontam.report(decontam_verify(spark, sf_dir), "doc_id", "item_id")
+    return decontam.decontaminated(t(spark, sf_dir, "documents"), found, "doc_id")
+
+
+@query("decontam_filter", f"SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM ({_CANDIDATES}))")
+def decontam_filter(spark, sf_dir):
+    return decontam.decontaminated(t(spark, sf_dir, "documents").select("doc_id", "source"), decontam_candidates(spark, sf_dir), "doc_id")
+
+
+@query("contamination_counts", f"SELECT source, count(DISTINCT doc_id) AS n FROM ({_CANDIDATES}) JOIN documents USING (doc_id) GROUP BY source ORDER BY n DESC, source LIMIT 20")
+def contamination_counts(spark, sf_dir):
+    found = decontam_candidates(spark, sf_dir).join(t(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
+    return decontam.contamination_counts(found, "doc_id", "source")
+
+
+@query("resume_anti_join", "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def resume_anti_join(spark, sf_dir):
+    return t(spark, sf_dir, "documents").select("doc_id", "lang").join(t(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
+
+
+_PROMPTS = "SELECT conv_id, turn, 't0.7_n2048_' || sha256(text) AS key FROM conversations WHERE role = 'user'"
+_CACHE = "SELECT 't0.7_n2048_' || sha256(text) AS key, max_by(conv_id || ':' || turn, conv_id * 1000 + turn) AS answer FROM conversations WHERE role = 'user' AND conv_id % 2 = 0 GROUP BY 1"
+
+
+@query("answer_cache_join", f"SELECT conv_id, turn, key, answer FROM ({_PROMPTS}) LEFT JOIN ({_CACHE}) USING (key)")
+def answer_cache_join(spark, sf_dir):
+    prompts = t(spark, sf_dir, "conversations").where("role = 'user'").withColumn("key", generation.prompt_key("text", 0.7, 2048))
+    given = prompts.where("conv_id % 2 = 0").select("key", F.concat_ws(":", "conv_id", "turn").alias("answer"), (F.col("conv_id") * 1000 + F.col("turn")).alias("at"))
+    return generation.answered(prompts.select("conv_id", "turn", "key"), generation.latest(given, "at")).select("conv_id", "turn", "key", "answer")
+
+
+_SHARES = """SELECT arm, category, coalesce(n, 0) AS n, coalesce(coalesce(n, 0) / nullif(sum(n) OVER (PARTITION BY arm), 0), 0) AS p
+  FROM (SELECT DISTINCT quality AS arm FROM labels) CROSS JOIN (SELECT DISTINCT lang AS category FROM documents)
+  LEFT JOIN (SELECT quality AS arm, lang AS category, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY ALL) USING (arm, category)"""
+
+
+def _arms(spark, sf_dir):
+    docs, labels = t(spark, sf_dir, "documents"), t(spark, sf_dir, "labels")
+    return docs.select("doc_id", "lang", "n_chars").join(labels, "doc_id"), docs.select(F.col("lang").alias("category"))
+
+
+@query("category_proportions", f"SELECT arm, category, n, round(p, 9) AS p FROM ({_SHARES})")
+def category_proportions(spark, sf_dir):
+    rows, vocabulary = _arms(spark, sf_dir)
+    return divergence.proportions(rows, "quality", "lang", vocabulary).withColumn("p", F.round("p", 9))
+
+
+@query(
+    "jsd_tv_by_field",
+    f"""WITH a AS (SELECT category, sum(p) FILTER (arm = 1) AS p, sum(p) FILTER (arm = 0) AS q FROM ({_SHARES}) GROUP BY category),
+    v AS (SELECT greatest(0, least(1, (coalesce(sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) END), 0) + coalesce(sum(CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) END), 0)) / 2)) AS jsd, sum(abs(p - q)) / 2 AS tv FROM a)
+    SELECT round(jsd, 9) AS jsd, round(tv, 9) AS tv, CASE WHEN jsd < 0.05 THEN 'negligible' WHEN jsd < 0.15 THEN 'small' WHEN jsd < 0.3 THEN 'moderate' WHEN jsd < 0.5 THEN 'large' ELSE 'very large' END AS label FROM v""",
+)
+def jsd_tv_by_field(spark, sf_dir):
+    rows, vocabulary = _arms(spark, sf_dir)
+    pairs = divergence.aligned(divergence.proportions(rows, "quality", "lang", vocabulary), 1, 0)
+    out = pairs.agg(divergence.jensen_shannon().alias("jsd"), divergence.total_variation().alias("tv"))
+    return out.select(F.round("jsd", 9).alias("jsd"), F.round("tv", 9).alias("tv"), text.jsd_label("jsd").alias("label"))
+
+
+@query(
+    "wasserstein_ordinal",
+    """WITH c AS (SELECT least(n_chars // 500, 20) AS v, count(*) FILTER (quality = 1) AS na, count(*) FILTER (quality = 0) AS nb FROM documents JOIN labels USING (doc_id) GROUP BY 1),
+    g AS (SELECT sum(na) OVER (ORDER BY v) / sum(na) OVER () AS fa, sum(nb) OVER (ORDER BY v) / sum(nb) OVER () AS fb, coalesce(lead(v) OVER (ORDER BY v) - v, 0) AS width FROM c)
+    SELECT round(sum(abs(fa - fb) * width), 9) AS w1 FROM g""",
+)
+def wasserstein_ordinal(spark, sf_dir):
+    rows, _ = _arms(spark, sf_dir)
+    rows = rows.withColumn("v", F.least(F.floor(F.col("n_chars") / 500), F.lit(20)))
+    return divergence.wasserstein(rows, "quality", "v", 1, 0).select(F.round("w1", 9).alias("w1"))
+
+
+@query("arm_centres", "SELECT quality AS arm, round(avg(n_chars), 6) AS mean, median(n_chars) AS median FROM documents JOIN labels USING (doc_id) GROUP BY quality")
+def arm_centres(spark, sf_dir):
+    return divergence.centres(_arms(spark, sf_dir)[0], "quality", "n_chars").withColumn("mean", F.round("mean", 6))
+
+
+@query("bootstrap_ci")
+def bootstrap_ci(spark, sf_dir):
+    rows, _ = _arms(spark, sf_dir)
+    counts = rows.groupBy(F.lit("lang").alias("field"), F.col("lang").alias("category")).agg(F.count_if(F.col("quality") == 1).alias("n_a"), F.count_if(F.col("quality") == 0).alias("n_b"))
+    return divergence.bootstrap_counts(counts, ["field"])
+
+
+_REPLIES = "SELECT event_id, event_type || ' reply. The answer is ' || chr(65 + CAST(event_id % 7 AS INT)) || '. Later: answer is (' || chr(65 + CAST(event_id % 4 AS INT)) || ')' AS reply FROM events"
+
+
+@query(
+    "answer_letter_extract",
+    rf"""WITH r AS ({_REPLIES} WHERE event_id % 3 > 0 UNION ALL SELECT event_id, 'no option' FROM events WHERE event_id % 3 = 0)
+    SELECT event_id, CASE WHEN len(x) > 0 THEN upper(x[-1]) ELSE 'INVALID' END AS letter FROM (SELECT event_id, regexp_extract_all(reply, '(?i)answer is:? ?\(?([A-J])\b', 1) AS x FROM r)""",
+)
+def answer_letter_extract(spark, sf_dir):
+    rows = t(spark, sf_dir, "events").select("event_id", "event_type")
+    letter = lambda n: F.chr(F.lit(65) + F.col("event_id") % n)
+    reply = F.concat("event_type", F.lit(" reply. The answer is "), letter(7), F.lit(". Later: answer is ("), letter(4), F.lit(")"))
+    return rows.select("event_id", text.exact_letter(F.when(F.col("event_id") % 3 > 0, reply).otherwise("no option")).alias("letter"))
+
+
+_ATTEMPTS = "SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS attempt, event_type AS text, CASE WHEN user_id % 5 = 0 THEN NULL ELSE event_type = 'purchase' END AS match FROM events"
+
+
+def _attempts(spark, sf_dir):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    rows = t(spark, sf_dir, "events").withColumn("attempt", F.row_number().over(w))
+    return rows.select("user_id", "attempt", F.col("event_type").alias("text"), F.when(F.col("user_id") % 5 != 0, F.col("event_type") == "purchase").alias("match"))
+
+
+@query(
+    "rejection_closed_form",
+    f"""WITH a AS (SELECT * FROM ({_ATTEMPTS}) WHERE attempt <= 8),
+    s AS (SELECT user_id, CASE WHEN count(match) = 0 THEN min(attempt) ELSE coalesce(min(attempt) FILTER (match), max(attempt)) END AS try_count FROM a GROUP BY user_id)
+    SELECT user_id, CAST(try_count AS INT) AS try_count, text, match AS exact_match FROM a JOIN s USING (user_id) WHERE attempt = try_count""",
+)
+def rejection_closed_form(spark, sf_dir):
+    return generation.accepted(_attempts(spark, sf_dir), "user_id")
+
+
+@query("attempt_accuracy", f"SELECT CAST(attempt AS INT) AS attempt, count(match) AS labelled, count(*) FILTER (match) AS matched, count(*) FILTER (match) / nullif(count(match), 0) AS accuracy FROM ({_ATTEMPTS}) WHERE attempt <= 8 GROUP BY attempt")
+def attempt_accuracy(spark, sf_dir):
+    return generation.attempt_accuracy(_attempts(spark, sf_dir).where("attempt <= 8"))
+
+
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+_PLACES = [(name, place) for place, names in CONTINENTS for name in names]
+_V = "lower(trim(coalesce(n_name, '')))"
+
+
+@query(
+    "geo_bin",
+    f"""SELECT n_nationkey, CASE WHEN {_V} IN ('', {", ".join(map(_quoted, GEOGRAPHY_ALIASES))}) THEN 'unspecified'
+    {" ".join(f"WHEN {_V} = {_quoted(n)} THEN {_quoted(p)}" for n, p in _PLACES)}
+    {" ".join(f"WHEN contains({_V}, {_quoted(n)}) THEN {_quoted(p)}" for n, p in _PLACES)} ELSE 'other' END AS place FROM nation""",
+)
+def geo_bin(spark, sf_dir):
+    return t(spark, sf_dir, "nation").select("n_nationkey", text.continent("n_name").alias("place"))
+
+
+_VOTES = "SELECT event_id // 5 AS item, event_id % 5 AS rater, ['1', '2', '12'][1 + (event_id * 7 + user_id) % 3] AS vote FROM events"
+
+
+def _votes(spark, sf_dir):
+    vote = F.element_at(F.array(*map(F.lit, ("1", "2", "12"))), (1 + (F.col("event_id") * 7 + F.col("user_id")) % 3).cast("int"))
+    return t(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 5).alias("item"), (F.col("event_id") % 5).alias("rater"), vote.alias("vote"))
+
+
+@query(
+    "win_rates",
+    f"""WITH v AS (SELECT rater, CASE WHEN item % 11 = 0 THEN 'Unknown' WHEN vote = '1' THEN 'Model 1' WHEN vote = '2' THEN 'Model 2' ELSE 'Tie' END AS w FROM ({_VOTES})),
+    c AS (SELECT rater, count(*) AS n_total, count(*) FILTER (w <> 'Unknown') AS n_decided, count(*) FILTER (w = 'Model 1') AS n_1, count(*) FILTER (w = 'Model 2') AS n_2, count(*) FILTER (w = 'Tie') AS n_tie FROM v GROUP BY rater)
+    SELECT *, n_2 / n_decided AS win_2, (n_2 - n_1) / n_decided AS net, (n_2 + 0.5 * n_tie)::double / n_decided AS adjusted FROM c""",
+)
+def win_rates(spark, sf_dir):
+    names = F.create_map(*(F.lit(x) for x in ("1", "Model 1", "2", "Model 2", "12", "Tie")))
+    rows = _votes(spark, sf_dir).withColumn("winner", F.when(F.col("item") % 11 == 0, "Unknown").otherwise(F.element_at(names, F.col("vote"))))
+    return judge.win_rates(rows, "winner", "rater")
+
+
+_VERDICT = "CASE WHEN greatest({0}, {1}, {2}) = 0 THEN NULL WHEN ({0} = greatest({0}, {1}, {2}))::int + ({1} = greatest({0}, {1}, {2}))::int + ({2} = greatest({0}, {1}, {2}))::int > 1 THEN '12' WHEN {0} = greatest({0}, {1}, {2}) THEN '1' WHEN {1} = greatest({0}, {1}, {2}) THEN '2' ELSE '12' END"
+_COUNTS = f"SELECT item, count(*) FILTER (vote = '1') AS a, count(*) FILTER (vote = '2') AS b, count(*) FILTER (vote = '12') AS c FROM ({_VOTES}) GROUP BY item"
+
+
+@query("panel_verdict", f"SELECT item, {_VERDICT.format('a', 'b', 'c')} AS verdict FROM ({_COUNTS})")
+def panel_verdict(spark, sf_dir):
+    return judge.panel(_votes(spark, sf_dir), "item", "vote")
+
+
+@query(
+    "kappa_leave_one_out",
+    f"""WITH o AS (SELECT rater, vote, {_VERDICT.format("(a - (vote = '1')::int)", "(b - (vote = '2')::int)", "(c - (vote = '12')::int)")} AS others FROM ({_VOTES}) JOIN ({_COUNTS}) USING (item)),
+    k AS (SELECT rater, count(*) AS n, avg((vote = others)::int) AS agreement,
+      avg((vote = '1')::int) * avg((others = '1')::int) + avg((vote = '2')::int) * avg((others = '2')::int) + avg((vote = '12')::int) * avg((others = '12')::int) AS chance FROM o WHERE others IS NOT NULL GROUP BY rater)
+    SELECT rater, n, round(agreement, 9) AS agreement, round(CASE WHEN chance >= 1 THEN 1 ELSE (agreement - chance) / (1 - chance) END, 9) AS kappa FROM k""",
+)
+def kappa_leave_one_out(spark, sf_dir):
+    return judge.rater_kappas(_votes(spark, sf_dir), "item", "rater", "vote").select("rater", "n", F.round("agreement", 9).alias("agreement"), F.round("kappa", 9).alias("kappa"))
+
+
+_GRADED = "SELECT l_orderkey, l_returnflag AS tag, CASE WHEN l_linenumber % 4 = 0 THEN -l_quantity ELSE l_quantity END AS points, l_linestatus = 'F' AS met FROM lineitem"
+_SCORE = "sum(CASE WHEN met THEN points ELSE 0 END) / nullif(sum(CASE WHEN points > 0 THEN points ELSE 0 END), 0)"
+
+
+def _graded(spark, sf_dir):
+    points = F.when(F.col("l_linenumber") % 4 == 0, -F.col("l_quantity")).otherwise(F.col("l_quantity"))
+    return t(spark, sf_dir, "lineitem").select("l_orderkey", F.array("l_returnflag").alias("tags"), points.alias("points"), (F.col("l_linestatus") == "F").alias("met"))
+
+
+@query("rubric_score", f"SELECT l_orderkey, round({_SCORE}, 9) AS score FROM ({_GRADED}) GROUP BY l_orderkey")
+def rubric_score(spark, sf_dir):
+    return rubric.scores(_graded(spark, sf_dir), "l_orderkey").withColumn("score", F.round("score", 9))
+
+
+@query(
+    "tag_scores",
+    f"""WITH g AS ({_GRADED}), o AS (SELECT l_orderkey, {_SCORE} AS score FROM g GROUP BY l_orderkey),
+    e AS (SELECT l_orderkey, 'overall' AS tag, score, 0 AS r FROM o
+      UNION ALL SELECT l_orderkey, o_orderpriority, score, 1 FROM o JOIN orders ON l_orderkey = o_orderkey
+      UNION ALL SELECT l_orderkey, tag, {_SCORE}, 0 FROM g GROUP BY l_orderkey, tag),
+    s AS (SELECT l_orderkey, tag, min_by(score, r) AS score FROM e GROUP BY ALL)
+    SELECT tag, count(*) AS n, round(greatest(0, least(1, avg(score))), 9) AS mean FROM s WHERE score IS NOT NULL GROUP BY tag""",
+)
+def tag_scores(spark, sf_dir):
+    tags = t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.array("o_orderpriority").alias("example_tags"))
+    scored = rubric.tag_scores(_graded(spark, sf_dir), "l_orderkey", tags)
+    return rubric.clipped_means(scored, "tag").select("tag", "n", F.round("mean", 9).alias("mean"))
+
+
+@query("label_distribution", "SELECT quality, count(*) AS n, count(*) * 100.0::double / sum(count(*)) OVER () AS pct FROM labels GROUP BY quality")
+def label_distribution(spark, sf_dir):
+    return profile.distribution(t(spark, sf_dir, "labels"), "quality")
+
+
+@query("length_histogram", "WITH b AS (SELECT least(floor(n_chars / 1000.0), 4)::bigint AS bin FROM documents WHERE n_chars BETWEEN 0 AND 5000) SELECT bin, count(*) AS n, count(*) / sum(count(*)) OVER () AS density FROM b GROUP BY bin")
+def length_histogram(spark, sf_dir):
+    return profile.histogram(t(spark, sf_dir, "documents"), "n_chars", 0, 5000)
+
+
+@query("frequent_sources", "SELECT source, count(*) AS n FROM documents GROUP BY source HAVING count(*) >= 50")
+def frequent_sources(spark, sf_dir):
+    return profile.frequent(t(spark, sf_dir, "documents"), "source", 50)
+
+
+@query("swap_coin", "SELECT conv_id, right(left(sha256('0' || chr(0) || CAST(conv_id AS VARCHAR)), 16), 1) IN ('1', '3', '5', '7', '9', 'b', 'd', 'f') AS swap FROM (SELECT DISTINCT conv_id FROM conversations)")
+def swap_coin(spark, sf_dir):
+    return t(spark, sf_dir, "conversations").select("conv_id").distinct().withColumn("swap", sampling.swap_coin("conv_id"))
+
+
+@query("html_text_flatten")
+def html_text_flatten(spark, sf_dir):
+    record = F.to_json(F.struct(F.col("url").alias("address"), F.struct(F.length("html").cast("string").alias("size")).alias("page")))
+    return t(spark, sf_dir, "pages").select("page_id", record.alias("record")).select("page_id", flat_content("record").alias("body"))
