@@ -102,11 +102,11 @@ def expectation_maximisation(patterns: list[tuple[tuple[int | None, ...], int]],
     given the truth, an abstention as no vote. It starts with a text as bad that has any bad
     vote, and ends when the chances no longer move.
     """
-    rules = len(patterns[0][0]) if patterns else 0
+    rules = len(patterns[0][0]) if patterns else len(RULES)
     bad_votes = [sum(v == 0 for v in p) for p, _ in patterns]
     good = [0.95 if not b else 0.1 for b in bad_votes]
     share, accuracies = 0.5, [(0.5, 0.5)] * rules
-    for _ in range(rounds):
+    for _ in range(rounds if patterns else 0):
         mass = sum(n for _, n in patterns)
         new_share = min(0.99, max(0.01, (sum(g * n for g, (_, n) in zip(good, patterns, strict=True)) + 1) / (mass + 2)))
         new = []
