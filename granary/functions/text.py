@@ -17,6 +17,11 @@ def tokens(text: str | Column) -> Column:
     return F.filter(F.split(F.coalesce(col(text), F.lit("")), r"(?U)\s+"), lambda x: x != "")
 
 
+def strip(x: str | Column) -> Column:
+    """Without white space at either end."""
+    return F.btrim(col(x), F.lit(" \t\n\x0b\x0c\r"))
+
+
 def n_tokens(text: str | Column) -> Column:
     return F.size(tokens(text)).cast("long")
 
@@ -41,7 +46,7 @@ def unwrapped(text: str | Column) -> Column:
     tail = F.when(F.instr(out, FINAL) > 0, F.substring_index(F.substring(out, F.instr(out, FINAL) + len(FINAL), F.length(out)), CONTROL, 1)).otherwise(out)
     tail = F.when(F.instr(tail, "</think>") > 0, F.substring(tail, F.instr(tail, "</think>") + len("</think>"), F.length(tail))).otherwise(tail)
     fence = F.regexp_extract(tail, r"(?s)```(?:json)?\s*(.*?)```", 1)
-    return F.trim(F.when(fence != "", fence).otherwise(tail))
+    return strip(F.when(fence != "", fence).otherwise(tail))
 
 
 def final_channel(text: str | Column) -> Column:
@@ -119,14 +124,14 @@ def chosen_letter(text: str | Column) -> Column:
 
 def tagged(text: str | Column, tag: str) -> Column:
     """Contents of the first ``<tag>`` block, trimmed; null without one or if blank (FN12, FN14)."""
-    found = F.trim(F.regexp_extract(col(text), rf"(?is)<{tag}>(.*?)</{tag}>", 1))
+    found = strip(F.regexp_extract(col(text), rf"(?is)<{tag}>(.*?)</{tag}>", 1))
     return F.when(found != "", found)
 
 
 def qa_blocks(text: str | Column) -> Column:
     """All question and answer blocks in turn, as an array of (question, answer) (FN13)."""
     pattern = F.lit(r"(?is)<question>(.*?)</question>\s*<answer>(.*?)</answer>")
-    q, a = (F.transform(F.regexp_extract_all(col(text), pattern, F.lit(i)), F.trim) for i in (1, 2))
+    q, a = (F.transform(F.regexp_extract_all(col(text), pattern, F.lit(i)), strip) for i in (1, 2))
     return F.filter(F.zip_with(q, a, lambda x, y: F.struct(x.alias("question"), y.alias("answer"))), lambda p: (p["question"] != "") & (p["answer"] != ""))
 
 

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from granary.functions.text import strip
+
 USER, ASSISTANT = ("human", "user"), ("assistant", "gpt", "ai")
 ROLES = {"human": "user", "user": "user", "gpt": "assistant", "assistant": "assistant", "system": "system"}
 HEAD, TAIL, LONG, MARK = 4000, 2000, 6200, "\n\n[...]\n\n"
@@ -33,7 +35,7 @@ def turn_places(conversation: str) -> Column:
 
 def full_text(*parts: str) -> Column:
     """Parts that aren't empty, with a blank line between them (PRJ4)."""
-    return F.trim(F.array_join(F.filter(F.array(*map(F.col, parts)), lambda x: x.isNotNull() & (x != "")), "\n\n"))
+    return strip(F.array_join(F.filter(F.array(*map(F.col, parts)), lambda x: x.isNotNull() & (x != "")), "\n\n"))
 
 
 def without_system(conversation: str) -> Column:

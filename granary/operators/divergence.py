@@ -56,7 +56,7 @@ def wasserstein(rows: DataFrame, arm: str, value: str, a: str, b: str) -> DataFr
         F.sum("nb").over(every).alias("tb"),
         (F.lead("v").over(w) - F.col("v")).alias("width"),
     )
-    area = F.sum(F.abs(F.col("ca") / F.col("ta") - F.col("cb") / F.col("tb")) * F.coalesce("width", F.lit(0.0)))
+    area = F.sum(F.abs(F.try_divide("ca", "ta") - F.try_divide("cb", "tb")) * F.coalesce("width", F.lit(0.0)))
     return gaps.agg(F.when((F.max("ta") > 0) & (F.max("tb") > 0), area).otherwise(F.lit(float("nan"))).alias("w1"))
 
 

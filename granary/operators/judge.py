@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from granary.functions.text import strip
 from granary.functions.vocabulary import CRITERIA
 
 WINNERS = ("Model 1", "Model 2", "Tie")
@@ -27,8 +28,8 @@ def winner_of(text: str) -> Column:
 
 
 def parsed(text: str) -> Column:
-    """A judge's reply as scores of both models, reasoning and winner (FN15)."""
-    reasoning = F.trim(F.regexp_extract(F.col(text), r"(?is)Reasoning:\s*(.*?)\nWinner:", 1))
+    """A judge's reply as scores of both models, reasoning and winner (FN15). The reasoning begins at the first "reasoning:" in any case, a criterion's included."""
+    reasoning = strip(F.regexp_extract(F.col(text), r"(?is)Reasoning:\s*(.*?)\nWinner:", 1))
     return F.struct(scores_of(text, 1).alias("model_1_scores"), scores_of(text, 2).alias("model_2_scores"), reasoning.alias("reasoning"), winner_of(text).alias("winner"))
 
 

@@ -65,7 +65,7 @@ _PAIRS = """SELECT conv_id, min_by(text, turn) FILTER (lower(role) IN ('human',
   min_by(text, turn) FILTER (lower(role) IN ('assistant', 'gpt', 'ai')) AS answer FROM conversations WHERE text IS NOT NULL GROUP BY conv_id"""
 
 
-@query("first_turn_pairs", f"SELECT *, trim(concat_ws(chr(10) || chr(10), nullif(question, ''), nullif(answer, ''))) AS full_text FROM ({_PAIRS})")
+@query("first_turn_pairs", f"SELECT *, trim(concat_ws(chr(10) || chr(10), nullif(question, ''), nullif(answer, '')), ' ' || chr(9) || chr(10) || chr(13)) AS full_text FROM ({_PAIRS})")
 def first_turn_pairs(spark, sf_dir):
     return talk.first_pairs(t(spark, sf_dir, "conversations"), "conv_id")
 
