@@ -377,3 +377,74 @@ def swap_coin(spark, sf_dir):
 def html_text_flatten(spark, sf_dir):
     record = F.to_json(F.struct(F.col("url").alias("address"), F.struct(F.length("html").cast("string").alias("size")).alias("page")))
     return t(spark, sf_dir, "pages").select("page_id", record.alias("record")).select("page_id", flat_content("record").alias("body"))
+
+
+_SCORES = """SELECT event_id AS item, 'Clarity' AS criterion, event_id % 5 + 1 AS a, (event_id * 3) % 5 + 1 AS b FROM events
+  UNION ALL SELECT event_id, 'Fairness', user_id % 5 + 1, (event_id + user_id) % 5 + 1 FROM events WHERE event_id % 4 <> 0"""
+
+
+def _scores(spark, sf_dir):
+    e, u = F.col("event_id"), F.col("user_id")
+    of = lambda clarity, fairness: F.create_map(F.lit("Clarity"), clarity, F.lit("Fairness"), fairness)
+    second = of(e * 3 % 5 + 1, F.when(e % 4 != 0, (e + u) % 5 + 1))
+    return t(spark, sf_dir, "events").select(e.alias("item"), of(e % 5 + 1, u % 5 + 1).alias("first"), second.alias("second"))
+
+
+@query("likert_means", f"SELECT criterion, avg(a) AS mean_1, avg(b) AS mean_2, avg(b - a) AS diff, count(*) AS n FROM ({_SCORES}) GROUP BY criterion")
+def likert_means(spark, sf_dir):
+    return judge.likert(_scores(spark, sf_dir), "item", "first", "second")
+
+
+@query("likert_delta", f"SELECT round(avg(d), 9) AS delta FROM (SELECT item, avg(b - a) AS d FROM ({_SCORES}) GROUP BY item)")
+def likert_delta(spark, sf_dir):
+    return judge.overall_delta(_scores(spark, sf_dir), "item", "first", "second").select(F.round("delta", 9).alias("delta"))
+
+
+@query(
+    "kappa_summary",
+    f"""WITH k AS ({SQL["kappa_leave_one_out"]})
+    SELECT round(avg(kappa), 8) AS mean, round(quantile_cont(kappa, 0.5), 8) AS median, count(*) FILTER (kappa < 0.01) / count(*) AS share_below FROM k""",
+)
+def kappa_summary(spark, sf_dir):
+    out = judge.kappa_summary(kappa_leave_one_out(spark, sf_dir), 0.01)
+    return out.select(F.round("mean", 8).alias("mean"), F.round(F.col("quantiles")[2], 8).alias("median"), "share_below")
+
+
+@query("problem_samples", f"SELECT doc_id, source, CAST(rank AS INT) AS rank FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY {_KEY.format(chr(39) + '0' + chr(39))}, doc_id) AS rank FROM documents) WHERE rank <= 5")
+def problem_samples(spark, sf_dir):
+    return sampling.problem_samples(t(spark, sf_dir, "documents").select("doc_id", "source"), "source", "doc_id")
+
+
+@query("few_shot_draws")
+def few_shot_draws(spark, sf_dir):
+    pool = t(spark, sf_dir, "benchmark").select("item_id", "text").withColumn("example", F.row_number().over(Window.orderBy("item_id")) - 1)
+    return sampling.few_shot(t(spark, sf_dir, "labels").select("doc_id"), pool, "doc_id").select("doc_id", "shot", "item_id")
+
+
+@query(
+    "pair_groups",
+    "WITH k AS (SELECT doc_id, md5(concat(coalesce(lang, ''), coalesce(source, ''), coalesce(text, ''))) AS key FROM documents) SELECT key, min(doc_id) AS doc_id, count(*) AS n_rows FROM k GROUP BY key",
+)
+def pair_groups(spark, sf_dir):
+    rows = t(spark, sf_dir, "documents").withColumn("parent", F.lit(None).cast("string"))
+    return profile.grouped_by_pair(rows.select("doc_id", profile.pair_key("parent", "lang", "source", "text").alias("key")), "key", "doc_id")
+
+
+@query(
+    "shown_categories",
+    """WITH s AS (SELECT source AS category, count(*) FILTER (quality = 1) / sum(count(*) FILTER (quality = 1)) OVER () AS prop_source, count(*) FILTER (quality = 0) / sum(count(*) FILTER (quality = 0)) OVER () AS prop_synthetic FROM documents JOIN labels USING (doc_id) GROUP BY source),
+    r AS (SELECT *, row_number() OVER (ORDER BY greatest(prop_source, prop_synthetic) DESC, category) AS r, count(*) OVER () AS n FROM s)
+    SELECT category, prop_source, prop_synthetic FROM r WHERE n <= 12 OR greatest(prop_source, prop_synthetic) >= 0.005 OR r <= 12""",
+)
+def shown_categories(spark, sf_dir):
+    rows = t(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("category")).join(t(spark, sf_dir, "labels"), "doc_id")
+    every = Window.partitionBy()
+    counts = rows.groupBy("category").agg(F.count_if(F.col("quality") == 1).alias("a"), F.count_if(F.col("quality") == 0).alias("b"))
+    shares = counts.select("category", (F.col("a") / F.sum("a").over(every)).alias("prop_source"), (F.col("b") / F.sum("b").over(every)).alias("prop_synthetic"))
+    return profile.shown_categories(shares)
+
+
+@query("divergence_matrix", "SELECT lang, CAST(sum(n_chars) FILTER (quality = 1) AS BIGINT) AS \"1\", CAST(sum(n_chars) FILTER (quality = 0) AS BIGINT) AS \"0\" FROM documents JOIN labels USING (doc_id) GROUP BY lang")
+def divergence_matrix(spark, sf_dir):
+    sums = _arms(spark, sf_dir)[0].groupBy("lang", "quality").agg(F.sum("n_chars").alias("n"))
+    return divergence.matrix(sums, "lang", "quality", "n", [1, 0])
