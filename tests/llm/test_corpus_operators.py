@@ -5,7 +5,7 @@ from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
-from tests.conftest import SF
+from tests.conftest import SF, same
 from tests.llm.test_text_operators import ODD, WORD, documents, none, odd, plain_hits  # noqa: F401
 
 import corpus_pipeline
@@ -89,6 +89,12 @@ def test_jaccard_odd(spark, odd, none):  # noqa: F811
     assert sorted((r["doc_id"] or 0, r["text"][:1]) for r in jaccard.one_of_each(repeated, 4, Fraction(85, 100)).collect()) == [(0, "a"), (1, "a"), (1, "o")]
 
 
+def test_jaccard_sql(spark, duck):
+    from granary.llm import queries
+
+    same(jaccard.op6_jaccard_join(spark, SF), duck.sql(queries.SQL["op6_jaccard_join"]).df())
+
+
 def test_sketch():
     import numpy as np
 
