@@ -23,10 +23,8 @@ FREQUENT = 12
 COUNTED = 6_000_000
 #: Members of a group whose token union is opened as one.
 GROUP = 32
-#: Orders of shingles whose first one picks a text's group; a node is tried on a centre that agrees in two.
+#: Orders of shingles whose first one picks a text's group.
 SEEDS = (0x5851F42D4C957F2D, 0x14057B7EF767814F, 0x2545F4914F6CDD1D, 0x369DEA0F31A53F85)
-#: A prefix is longer by one shingle for every so many of the set, and as many more must be shared.
-EXTRA = 25
 #: Sizes of the texts of one group lie within this factor, so that its bounds are tight.
 SPREAD = 1.02
 
@@ -79,11 +77,24 @@ def _is_frequent(values: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return (bits[at >> 5] >> (at & 31).astype(np.uint32)) & 1 == 1
 
 
+def sketch(s: np.ndarray) -> np.ndarray:
+    """Parity of the shingles at each of n to 2n bits (a power of 2, 64 at least).
+
+    Two sets differ in at least as many shingles as their sketches in bits, so sketches rule
+    out pairs without loss. The longer of two sketches folds onto the shorter.
+    """
+    bits = 1 << max(6, (len(s) - 1).bit_length())
+    at = s & np.uint64(bits - 1)
+    out = np.zeros(bits // 64, np.uint64)
+    np.bitwise_xor.at(out, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+    return out
+
+
 def signed(docs: DataFrame, k: int, t: Fraction, bits) -> DataFrame:
-    """doc_id, size of its shingle set, digest of the set, prefix, and the first shingle by each of SEEDS.
+    """doc_id, size of its shingle set, digest of the set, prefix, sketch, and the first shingle by each of SEEDS.
 
     The prefix has the rarest shingles in the one order of all texts (rare ones first, then by
-    hash): two sets as similar as ``t`` share l of the first n - ceil(t * n) + l of each.
+    hash): two sets as similar as ``t`` share one of the first n - ceil(t * n) + 1 of each.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,15 +104,15 @@ def signed(docs: DataFrame, k: int, t: Fraction, bits) -> DataFrame:
                 n = len(s)
                 often = _is_frequent(s, bits.value)
                 rare = s[~often]
-                length = min(n, n - math.ceil(t * n) + 1 + n // EXTRA)
+                length = n - math.ceil(t * n) + 1 if n else 0
                 prefixes.append(rare[:length] if len(rare) >= length else np.concatenate([rare, s[often][: length - len(rare)]]))
                 central.append(len(rare) / n if n else 0.0)
                 firsts.append(np.array([mixed(s ^ np.uint64(x)).min() for x in SEEDS] if n else [], np.uint64))
             sizes = pa.array([len(s) for s in every], pa.int64())
             digests = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in every], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, digests, pa.array(central, pa.float64()), _flat(prefixes), _flat(firsts)], ["doc_id", "n", "digest", "rare", "prefix", "firsts"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, digests, pa.array(central, pa.float64()), _flat(prefixes), _flat(firsts), _flat([sketch(s) if len(s) else s for s in every])], ["doc_id", "n", "digest", "rare", "prefix", "firsts", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, digest binary, rare double, prefix array<long>, firsts array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, digest binary, rare double, prefix array<long>, firsts array<long>, sketch array<long>")
 
 
 def with_sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
@@ -133,6 +144,12 @@ def with_sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     return nodes.join(made, (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_doc"))).drop("_node", "_doc")
 
 
+def differ(a: str, b: str) -> str:
+    """SQL for the number of bits in which two sketches differ, after folding the longer one (at most twice as long)."""
+    fold = "if(size({0}) > size({1}), zip_with(slice({0}, 1, size({1})), slice({0}, size({1}) + 1, size({1})), (x, y) -> x ^ y), {0})"
+    return f"aggregate(zip_with({fold.format(a, b)}, {fold.format(b, a)}, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
+
+
 def _overlap(a: str, b: str) -> F.Column:
     return F.size(F.array_intersect(a, b)).cast("long")
 
@@ -147,14 +164,16 @@ def linked(docs: DataFrame, k: int, t: Fraction) -> DataFrame:
 
     # equal sets are one node
     node = F.xxhash64("digest").alias("node")
-    nodes = stored(rows.where("n > 0").groupBy(node).agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("rare").alias("rare"), F.first("prefix").alias("prefix"), F.first("firsts").alias("firsts")), "nodes")
+    nodes = stored(rows.where("n > 0").groupBy(node).agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("rare").alias("rare"), F.first("prefix").alias("prefix"), F.first("firsts").alias("firsts"), F.first("sketch").alias("sketch")), "nodes")
 
     # groups: nodes with the same first shingle, around the one with the fewest rare shingles
-    keyed = nodes.select("node", "doc_id", "n", "rare", "firsts", F.posexplode("firsts").alias("seed", "first"))
-    centre = keyed.groupBy("seed", "first").agg(F.min(F.struct("rare", "node", "n", "doc_id", "firsts")).alias("c"), F.count(F.lit(1)).alias("members")).where("members > 1").select("seed", "first", "c")
+    keyed = nodes.select("node", "doc_id", "n", "rare", "sketch", F.posexplode("firsts").alias("seed", "first"))
+    centre = keyed.groupBy("seed", "first").agg(F.min(F.struct("rare", "node", "n", "doc_id", "sketch")).alias("c"), F.count(F.lit(1)).alias("members")).where("members > 1").select("seed", "first", "c")
     centre = stored(centre, "centres")  # read again so that both sides of the join are exchanged and a hot group can be split
-    agree = F.size(F.filter(F.zip_with("firsts", "c.firsts", lambda x, y: x == y), lambda x: x))
-    pairs = keyed.join(centre, ["seed", "first"]).where((F.col("node") != F.col("c.node")) & (agree > 1) & (F.least("n", "c.n") * down >= F.greatest("n", "c.n") * up))
+    # two sets as similar as t differ in at most (1 - t) / (1 + t) of both sizes
+    near = f"{{}} * {up + down} <= (n + {{}}) * {down - up}"
+    pairs = keyed.join(centre, ["seed", "first"]).where((F.col("node") != F.col("c.node")) & (F.least("n", "c.n") * down >= F.greatest("n", "c.n") * up))
+    pairs = pairs.where(near.format(differ("sketch", "c.sketch"), "c.n"))
     pairs = stored(pairs.select("node", "doc_id", "n", F.col("c.node").alias("b"), F.col("c.n").alias("nb"), F.col("c.doc_id").alias("b_doc")).distinct(), "pairs")
     centres = stored(pairs.select(F.col("b").alias("node"), F.col("b_doc").alias("doc_id")).distinct(), "centres")
     both = with_sets(docs, pairs, k).join(with_sets(docs, centres, k).select(F.col("node").alias("b"), F.col("tokens").alias("tb")), "b")
@@ -172,31 +191,32 @@ def linked(docs: DataFrame, k: int, t: Fraction) -> DataFrame:
     level = F.floor(F.log(F.col("n")) / math.log(SPREAD)).cast("int").alias("level")
     cells = stored(cells.join(several, "token").select("token", "node", "root", "n", level, (F.col("n") - F.col("at")).alias("room")), "cells")
     # a member y is not larger than the query x. The overlap that t asks for, t / (1 + t) of both
-    # sizes, leaves y its first n - 2t / (1 + t) * n + l places; room is what follows a place
-    matrix = cells.where(f"(room + 1 + n div {EXTRA}) * {up + down} >= 2 * n * {up}").groupBy("token", "root", "level")
+    # sizes, leaves y its first n - 2t / (1 + t) * n + 1 places; room is what a place leaves, and the first
+    # shared shingle must leave both that overlap
+    matrix = cells.where(f"room * {up + down} >= 2 * n * {up}").groupBy("token", "root", "level")
     matrix = matrix.agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("room").alias("room"))
     query = cells.select("token", "node", F.col("n").alias("qn"), F.col("root").alias("q_root"), F.col("room").alias("q_room"))
-    met = query.join(matrix, "token").where((F.col("root") != F.col("q_root")) & (F.col("least") <= F.col("qn")) & (F.col("most") * down >= F.col("qn") * up))
     smallest = f"(qn * {up} + {down - 1}) div {down}"  # size of the smallest set, and the least overlap
-    opened = (
-        met.groupBy("node", "qn", "root", "level")
-        .agg(F.count(F.lit(1)).alias("met"), F.max(F.least("q_room", "room")).alias("room"), F.min("least").alias("least"))
-        .where(f"met >= least(1 + {smallest} div {EXTRA}, {smallest}) and room * {up + down} >= (qn + greatest(least, {smallest})) * {up}")
-    )
-    opened = stored(opened.select("node", "qn", "root", "level"), "opened")
+    place = f"least(q_room, room) * {up + down} >= (qn + greatest(least, {smallest})) * {up}"
+    met = query.join(matrix, "token").where((F.col("root") != F.col("q_root")) & (F.col("least") <= F.col("qn")) & (F.col("most") * down >= F.col("qn") * up) & F.expr(place))
+    opened = stored(met.select("node", "qn", "root", "level").distinct(), "opened")
+
+    # groups of one node are compared by their sketches
+    placed = nodes.join(first, "node", "left").select("node", "doc_id", "n", root, level, "sketch")
+    sizes = placed.groupBy("root", "level").agg(F.count(F.lit(1)).alias("size"), F.first("sketch").alias("g_sketch"), F.first("n").alias("g_n"))
+    likely = opened.join(sizes, ["root", "level"]).join(nodes.select("node", "doc_id", "n", "sketch"), "node")
+    alike = F.expr(f"least(n, g_n) * {down} >= greatest(n, g_n) * {up}") & F.expr(near.format(differ("sketch", "g_sketch"), "g_n"))
+    queries = stored(likely.where((F.col("size") > 1) | alike).select("node", "doc_id", "qn", "root", "level", "size"), "queries")
 
     # the groups that queries ask for, in parts of a bounded number of members with their token union
-    asked = opened.select("root", "level").distinct()
-    members = nodes.join(first, "node", "left").select("node", "doc_id", "n", root, level).join(asked, ["root", "level"], "left_semi")
-    sizes = members.groupBy("root", "level").agg(F.count(F.lit(1)).alias("size"))
-    members = members.join(sizes, ["root", "level"]).select("node", "doc_id", "n", "root", "level", F.pmod(F.xxhash64(F.lit(1), "node"), F.ceil(F.col("size") / GROUP)).alias("part"))
+    asked = queries.select("root", "level", "size").distinct()
+    members = placed.drop("sketch").join(asked, ["root", "level"]).select("node", "doc_id", "n", "root", "level", F.pmod(F.xxhash64(F.lit(1), "node"), F.ceil(F.col("size") / GROUP)).alias("part"))
     members = stored(members, "members")
     unions = with_sets(docs, members, k).groupBy("root", "level", "part").agg(F.collect_list(F.struct("node", "n", "tokens")).alias("members"))
     unions = unions.withColumn("union", F.when(F.size("members") == 1, F.col("members")[0]["tokens"]).otherwise(F.array_distinct(F.flatten(F.col("members.tokens")))))
-    queries = stored(opened.join(nodes.select("node", "doc_id"), "node"), "queries")
     # a member as similar as t shares t of the query's shingles, and the member's are all in the union
-    qualified = with_sets(docs, queries, k).join(unions, ["root", "level"]).where(_overlap("tokens", "union") * down >= F.col("qn") * up)
-    pairs = qualified.select(queries["node"], "qn", qualified["tokens"], F.explode("members").alias("m"))
+    qualified = with_sets(docs, queries.drop("size"), k).join(unions, ["root", "level"]).where(_overlap("tokens", "union") * down >= F.col("qn") * up)
+    pairs = qualified.select("node", "qn", "tokens", F.explode("members").alias("m"))
     shared = F.size(F.array_intersect("tokens", "m.tokens")).cast("long")
     more = pairs.where(shared * down >= (F.col("qn") + F.col("m.n") - shared) * up).select(F.col("node").alias("a"), F.col("m.node").alias("b"))
     every = components(edges.unionAll(more))
