@@ -14,13 +14,23 @@ from pyspark.sql import functions as F
 #: ASCII white space: the word separators of most contracts here.
 SPACE = b" \t\n\x0b\x0c\r"
 #: Text bytes that one step of a Python worker handles at once (one longer text is a step of its own).
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 20
+#: Rows of an Arrow batch: a worker holds one batch of texts at a time.
+BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Keeps Arrow batches of texts small; a smaller setting of the session stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share; a temporary one only where the cluster names none (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -35,6 +45,7 @@ def shared_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame, what: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/granary-{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     again = spark.read.schema(df.schema).parquet(path)

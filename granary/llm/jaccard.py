@@ -20,7 +20,7 @@ BITS = 1 << 23
 #: A shingle counts as frequent from so many texts; one task's texts must hold it twice or more for it to be counted.
 FREQUENT = 12
 #: Shingles that a task counts together.
-COUNTED = 6_000_000
+COUNTED = 2_000_000
 #: Members of a group whose token union is opened as one.
 GROUP = 32
 #: Orders of shingles whose first one picks a text's group.
