@@ -1,8 +1,9 @@
-"""Mixing sources to target weights: a low-discrepancy schedule of equal-token blocks."""
+"""Mixing sources to target weights: a low-discrepancy schedule of blocks, of equal words within a source."""
 
 from __future__ import annotations
 
 import math
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,6 +18,8 @@ MOST_REPEATS = 2
 GOLDEN = 2654435769
 #: Slots that a schedule aims at, and the bounds of a block's words.
 SLOTS, LEAST_BLOCK, MOST_BLOCK = 1 << 17, 4, 1 << 16
+#: Slots that a source has at least, by smaller blocks, unless these would be below LEAST_BLOCK.
+LEAST_SLOTS = 128
 #: Slots that are ranked together, and documents of a source that are put in order together (about).
 CHUNK, BUCKET = 1 << 14, 1 << 12
 
@@ -54,13 +57,20 @@ def sized(docs: DataFrame) -> DataFrame:
     )
 
 
+def slots_for(words: int, goal: int, block: int) -> int:
+    """Slots that take ``goal`` words of a source of ``words``, pass after pass; each pass ends with what is left of the source."""
+    passes, rest = divmod(goal, words) if words else (0, 0)
+    return passes * -(-words // block) + -(-rest // block)
+
+
 def plan(docs: DataFrame, share: float = SHARE) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The documents with their place in their source, the sources, and the schedule.
 
     Places: doc_id, source, size, source_size, target, _start (words before it in its source's
-    shuffled order), _lane. Sources: _lane, source, words, target, blocks. Schedule: slot, _lane
-    and block, in the order of the mixture; a block is ``_block`` words of its source's
-    shuffled documents on end, the last one of a source may be shorter.
+    shuffled order), _lane. Sources: _lane, source, words, target, blocks. Schedule: slot, _lane,
+    block and words, in the order of the mixture; a block is ``_block`` words of its source's
+    shuffled documents on end, the last one of a source may be shorter. A slot takes the first
+    ``words`` words of its block: all of them, but for the slot that fills its source's target.
 
     The sources' sizes (one row a source) go to the driver; documents, blocks and slots don't.
     """
@@ -70,16 +80,15 @@ def plan(docs: DataFrame, share: float = SHARE) -> tuple[DataFrame, DataFrame, D
     goal = targets([(r["source"], r["words"]) for r in total], share=share)
     mixed = sum(goal.values())
     block = max(LEAST_BLOCK, min(MOST_BLOCK, math.ceil(mixed / SLOTS))) if mixed else LEAST_BLOCK
-    lanes, before = [], 0.0
+    lanes = []
     for lane, r in enumerate(sorted(total, key=lambda r: (r["source"] is None, r["source"] or ""))):
-        low = round(before / mixed * 2**32) if mixed else 0
-        before += goal[r["source"]]
-        buckets = max(1, r["rows"] // BUCKET)
-        lanes.append((lane, r["source"], r["words"], float(goal[r["source"]]), -(-r["words"] // block), buckets, low, round(before / mixed * 2**32) if mixed else 0))
-    sources = spark.createDataFrame(lanes, "_lane int, source string, words long, target double, blocks long, _buckets long, _low long, _high long")
+        target, words = float(goal[r["source"]]), round(goal[r["source"]])
+        own = max(LEAST_BLOCK, min(block, words // LEAST_SLOTS))
+        lanes.append((lane, r["source"], r["words"], target, -(-r["words"] // own), max(1, r["rows"] // BUCKET), own, words, slots_for(r["words"], words, own)))
+    sources = spark.createDataFrame(lanes, "_lane int, source string, words long, target double, blocks long, _buckets long, _block long, _goal long, _slots long")
 
     # the words before each bucket of a source, then before each document of a bucket
-    keyed = base.join(F.broadcast(sources.select("_lane", "_buckets", "words", "target", F.col("source").alias("_s"))), F.col("source").eqNullSafe(F.col("_s")))
+    keyed = base.join(F.broadcast(sources.select("_lane", "_buckets", "_block", "words", "target", F.col("source").alias("_s"))), F.col("source").eqNullSafe(F.col("_s")))
     keyed = keyed.withColumn("_bucket", F.expr("cast(shiftrightunsigned(_at, 33) * _buckets >> 31 as long)"))
     sums = keyed.groupBy("_lane", "_bucket").agg(F.sum("size").alias("_sum"))
     sums = sums.withColumn("_before", F.sum("_sum").over(Window.partitionBy("_lane").orderBy("_bucket")) - F.col("_sum")).drop("_sum")
@@ -87,21 +96,31 @@ def plan(docs: DataFrame, share: float = SHARE) -> tuple[DataFrame, DataFrame, D
     placed = (
         keyed.join(sums, ["_lane", "_bucket"])
         .withColumn("_start", F.col("_before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
-        .select("doc_id", "source", "size", F.col("words").alias("source_size"), "target", "_lane", "_start", F.lit(block).cast("long").alias("_block"))
+        .select("doc_id", "source", "size", F.col("words").alias("source_size"), "target", "_lane", "_start", "_block")
     )
 
-    # slots: golden-ratio points through the cumulative targets, ranked by source chunk after chunk
-    slots = spark.range(-(-int(math.ceil(mixed)) // block) if mixed else 0).select(F.col("id").alias("slot"), ((F.col("id") % 2**32) * GOLDEN % 2**32).alias("_point"), F.floor(F.col("id") / CHUNK).alias("_chunk"))
-    bounds = F.array(*(F.struct(F.lit(x[0]).alias("lane"), F.lit(x[6]).cast("long").alias("low"), F.lit(x[7]).cast("long").alias("high")) for x in lanes)) if lanes else F.lit(None).cast("array<struct<lane:int,low:long,high:long>>")
+    # slots: golden-ratio points through the cumulative slots, ranked by source chunk after chunk
+    ends = list(accumulate((x[-1] for x in lanes), initial=0))
+    edges = [round(x / ends[-1] * 2**32) if ends[-1] else 0 for x in ends]
+    slots = spark.range(ends[-1]).select(F.col("id").alias("slot"), ((F.col("id") % 2**32) * GOLDEN % 2**32).alias("_point"), F.floor(F.col("id") / CHUNK).alias("_chunk"))
+    bounds = F.array(*(F.struct(F.lit(x[0]).alias("lane"), F.lit(low).cast("long").alias("low"), F.lit(high).cast("long").alias("high")) for x, low, high in zip(lanes, edges, edges[1:], strict=False))) if lanes else F.lit(None).cast("array<struct<lane:int,low:long,high:long>>")
     slots = slots.withColumn("_lane", F.filter(bounds, lambda b: (b["low"] <= F.col("_point")) & (F.col("_point") < b["high"]))[0]["lane"])
     counts = slots.groupBy("_chunk", "_lane").agg(F.count(F.lit(1)).alias("_n"))
+    given = counts.groupBy("_lane").agg(F.sum("_n").alias("_given"))
     counts = counts.withColumn("_earlier", F.sum("_n").over(Window.partitionBy("_lane").orderBy("_chunk")) - F.col("_n")).drop("_n")
     ranked = slots.withColumn("_rank", F.row_number().over(Window.partitionBy("_chunk", "_lane").orderBy("slot")) - 1).join(counts, ["_chunk", "_lane"])
+    ranked = ranked.select("slot", "_lane", (F.col("_earlier") + F.col("_rank")).alias("_nth"))
+    # what the points leave open of a source comes after them, the sources in turn
+    late = sources.join(given, "_lane", "left").withColumn("_given", F.coalesce("_given", F.lit(0))).where("_given < _slots")
+    late = late.select("_lane", "_given", F.explode(F.expr("sequence(_given, _slots - 1)")).alias("_nth"))
+    late = late.select((ends[-1] + (F.col("_nth") - F.col("_given")) * len(lanes) + F.col("_lane")).alias("slot"), "_lane", "_nth")
     schedule = (
-        ranked.join(F.broadcast(sources.select("_lane", "blocks")), "_lane")
-        .withColumn("_nth", F.col("_earlier") + F.col("_rank"))
-        .where(F.col("_nth") < MOST_REPEATS * F.col("blocks"))
-        .select("slot", "_lane", (F.col("_nth") % F.col("blocks")).alias("block"))
+        ranked.unionAll(late)
+        .join(F.broadcast(sources.select("_lane", "blocks", "_block", "_goal", "_slots", F.col("words").alias("_all"))), "_lane")
+        .where("_nth < _slots")
+        .withColumn("block", F.col("_nth") % F.col("blocks"))
+        .withColumn("_at", F.expr("block * _block"))
+        .select("slot", "_lane", "block", F.expr("least(_block, _all - _at, _goal - (_nth div blocks) * _all - _at)").alias("words"))
     )
     return placed, sources, schedule
 
@@ -109,21 +128,25 @@ def plan(docs: DataFrame, share: float = SHARE) -> tuple[DataFrame, DataFrame, D
 def mix(docs: DataFrame, share: float = SHARE) -> DataFrame:
     """doc_id, size, source_size, target and taken (words the mixture takes, repeats counted) of every row.
 
-    Slot i of the schedule goes to the source in whose part of the cumulative targets the
+    Slot i of the schedule goes to the source in whose part of the cumulative slots the
     golden-ratio point of i falls; the source's n-th slot takes its block n, from the start
-    again after the last. A block of a source comes at most twice, so no document gives more
-    than twice its words. Null and empty texts have size 0 and give nothing; null sources are
+    again after the last. A source has as many slots as its target needs, the last one cut to
+    size: those that the points don't give it come at the end, and points beyond them are left
+    out. So every source gives its target to the word (rounded), however large the corpus is. A
+    block of a source comes at most twice, so no document gives more than twice its words. Null and empty texts have size 0 and give nothing; null sources are
     one source, the last; repeated rows are documents of their own; other columns are ignored;
     an empty table gives no rows. The order within a source depends on doc_id and text
     alone, so reruns agree.
     """
     placed, _, schedule = plan(docs, share)
-    # how often each block is taken; then what each document has in each of its blocks
-    times = schedule.groupBy("_lane", "block").agg(F.count(F.lit(1)).alias("_times"))
+    # how often each block is taken, and how much of it the last time; then what each document has in each of its blocks
+    times = schedule.groupBy("_lane", "block").agg(F.count(F.lit(1)).alias("_times"), F.min("words").alias("_last"))
     parts = placed.where("size > 0").select("*", F.explode(F.expr("sequence(_start div _block, (_start + size - 1) div _block)")).alias("block"))
-    part = F.least(F.col("_start") + F.col("size"), (F.col("block") + 1) * F.col("_block")) - F.greatest(F.col("_start"), F.col("block") * F.col("_block"))
+    parts = parts.withColumn("_from", F.greatest(F.col("_start") - F.col("block") * F.col("_block"), F.lit(0)))
+    parts = parts.withColumn("_to", F.least(F.col("_start") + F.col("size") - F.col("block") * F.col("_block"), F.col("_block")))
+    part = F.expr("(_times - 1) * (_to - _from) + greatest(least(_to, _last) - _from, 0)")
     keys = ["doc_id", "size", "source_size", "target", "_lane", "_start"]
-    taken = parts.select(*keys, "block", part.alias("_part")).join(times, ["_lane", "block"], "left").groupBy(*keys).agg(F.sum(F.col("_part") * F.coalesce("_times", F.lit(0))).alias("taken"))
+    taken = parts.select(*keys, "block", "_from", "_to").join(times, ["_lane", "block"], "left").groupBy(*keys).agg(F.sum(F.coalesce(part, F.lit(0))).alias("taken"))
     empty = placed.where("size = 0").select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
     return taken.select("doc_id", "size", "source_size", "target", "taken").unionAll(empty)
 

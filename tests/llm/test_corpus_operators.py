@@ -174,6 +174,24 @@ def test_schedule(spark):
             assert all(abs(seen.get((lane, "n"), 0) - i * t / total) < 6 for lane, t in share.items())
 
 
+def test_mix_small_sources(spark, monkeypatch):
+    # blocks of 1,219 words of the large source
+    monkeypatch.setattr(mixing, "SLOTS", 64)
+    sizes = {"a": 50_000, "b": 1_990, "c": 37, "d": 1, None: 3}
+    rows = [(i, " ".join(["w"] * len(range(at, min(at + 97, n)))), s) for s, n in sizes.items() for i, at in enumerate(range(0, n, 97))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want, got = plain_targets(list(sizes.items())), {}
+    for r in mixing.mix(docs).collect():
+        assert 0 <= r["taken"] <= 2 * r["size"]
+        got[r["source_size"]] = got.get(r["source_size"], 0) + r["taken"]
+    assert all(abs(got[n] - want[s]) <= 0.5 for s, n in sizes.items()), (got, want)
+    _, sources, schedule = mixing.plan(docs)
+    slots = schedule.orderBy("slot").collect()
+    lane = {r["source"]: r["_lane"] for r in sources.collect()}["b"]
+    first = [r["words"] for r in slots[: len(slots) // 2] if r["_lane"] == lane]
+    assert abs(sum(first) - want["b"] / 2) < 0.05 * want["b"]
+
+
 def test_pipeline(spark):
     docs = documents(spark)
     columns = docs.columns
