@@ -235,6 +235,33 @@ def test_templates(spark):
     assert got == {("/es/*", "block"), ("/fr/*", "block"), ("/about/*", "allow"), ("/*/*", "allow")} or ("/*/x", "allow") in got
 
 
+def verdicts(spark, paths):
+    pages = spark.createDataFrame([(i, f"http://h.net/{x}") for i, x in enumerate(paths)], "page_id long, url string")
+    return {r["path"]: (r["verdict"], r["template"]) for r in urls.filter_urls(pages).collect()}
+
+
+def test_many_sections(spark):
+    names = ["es", "fr", *(f"s{i}" for i in range(48))]
+    got = verdicts(spark, [f"{a}/{i}" for a in names for i in range(40)])
+    assert all(v == ("block" if p[1:3] in ("es", "fr") else "allow", f"/{p.split('/')[1]}/*") for p, v in got.items())
+    got = verdicts(spark, [f"{a}/{i}" for a, n in (("en", 800), ("es", 30), ("fr", 30), ("de", 40), ("it", 40), ("pt", 40)) for i in range(n)])
+    assert all(v[0] == ("block" if p[1:3] in ("es", "fr") else "allow") for p, v in got.items())
+
+
+def test_few_blocked(spark):
+    # few urls of a section: labels unlike the others' make it a branch, and where they don't suffice unlabelled urls count too
+    got = verdicts(spark, [f"{a}/{a}{i}" for a in ("es", "fr", *(f"s{k}" for k in range(60))) for i in range(4)])
+    assert got["/es/es1"] == ("block", "/es/*") and all(v == ("allow", "/*/*") for p, v in got.items() if p[1] == "s")
+    got = verdicts(spark, [f"{a}/{i}" for a in ("es", "fr", "de") for i in range(4)])
+    assert got["/es/1"][0] == "block" and got["/de/1"][0] == "allow"
+
+
+def test_deep_paths(spark):
+    got = verdicts(spark, [f"a/b/c/d/{e}/{i}" for e in ("e", "f") for i in range(6)] + ["/".join("xyz" * 20), "a//", "a/b/c/d/g/h//"])
+    assert got["/a/b/c/d/e/1"] == ("allow", "/a/b/c/d/e/*") and got["/a/b/c/d/f/1"][1] == "/a/b/c/d/f/*"
+    assert got["/" + "/".join("xyz" * 20)][1] == "/*" * 60 and got["/a//"][1] == "/a//" and got["/a/b/c/d/g/h//"][1] == "/a/b/c/d/*/*//"
+
+
 def test_linear():
     pick = np.random.default_rng(9)
     rows = [sorted(pick.choice(20, 5, replace=False).tolist()) for _ in range(800)]
