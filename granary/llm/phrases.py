@@ -1,7 +1,8 @@
 """Benchmark decontamination: positional inverted index over shards of the training text.
 
-Each shard (a run of whole texts of a few MB) stores the postings of its own tokens: for every
-benchmark term the ascending positions at which it occurs. A phrase is looked up from its
+Each shard (a run of whole texts of a few MB) has the postings of its own tokens: for every
+benchmark term the ascending positions at which it occurs. They are made where the shard is
+read, serve all phrases of a benchmark block and are not written anywhere. A phrase is looked up from its
 rarest term: the term's positions less its offset in the phrase are the candidate starts, and
 they are intersected with the offset-adjusted lists of the next rarest terms until all terms
 have agreed. The index lives where the shard is read, so no text is shuffled and a lost
@@ -110,17 +111,23 @@ class Shard:
             which, start = which[keep], start[keep]
         return alive[which], start
 
-    def near(self, terms: list[int], slop: int) -> list[tuple[int, int]]:
-        """(text, position of the rarest term) where every term occurs at most ``slop`` words from it, in the same text."""
+    def near(self, terms: list[int], slop: int) -> list[int]:
+        """The texts in which all terms occur in one span whose first and last word are at most ``slop`` words apart.
+
+        Every occurrence of any of the terms may end a span; those stay that have each term,
+        from the rarest on, at most ``slop`` words before them (or there) in the same text.
+        """
         lists = sorted((self.positions[self.first[t] : self.first[t + 1]] for t in set(terms)), key=len)
-        at = lists[0]
-        text = np.searchsorted(self.begin, at, side="right") - 1
-        low = np.maximum(at - slop, np.array(self.begin)[text])
-        high = np.minimum(at + slop, np.array(self.begin)[text] + np.array(self.n_words)[text] - 1)
-        for other in lists[1:]:
-            keep = np.searchsorted(other, high, side="right") > np.searchsorted(other, low)
-            at, text, low, high = at[keep], text[keep], low[keep], high[keep]
-        return list(zip(text.tolist(), at.tolist(), strict=True))
+        if not len(lists[0]):
+            return []
+        end = np.concatenate(lists)
+        for own in lists:
+            last = own[np.maximum(np.searchsorted(own, end, side="right") - 1, 0)]
+            end = end[(last <= end) & (last >= end - slop) & (self.text_at(last) == self.text_at(end))]
+        return np.unique(self.text_at(end)).tolist()
+
+    def text_at(self, positions: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.begin, positions, side="right") - 1
 
     def hits(self, phrases: Phrases) -> tuple[list[int], list[tuple[list[int], list[int]]], list[list[int]]]:
         """Per text: words inside any occurrence, the covered ranges (starts, ends; end exclusive), the items' numbers."""
@@ -237,9 +244,10 @@ def decontaminated(docs: DataFrame, items: DataFrame, width: int = WINDOW) -> Da
 
 
 def near_matches(docs: DataFrame, items: DataFrame, slop: int) -> DataFrame:
-    """item_id and doc_id of the texts in which all words of an item occur within ``slop`` words of its rarest one there.
+    """item_id and doc_id of the texts in which all words of an item occur in one span, its first and last word at most ``slop`` words apart.
 
-    One row for each pair of item and row of ``docs`` that match; items without words match nothing.
+    This depends on item and text alone, not on the texts beside it. The words may come in any
+    order; a word that an item has twice is needed once. One row for each pair of item and row of ``docs`` that match; items without words match nothing.
     """
     out = None
     for number, block in enumerate(blocks(items)):
@@ -252,7 +260,7 @@ def near_matches(docs: DataFrame, items: DataFrame, slop: int) -> DataFrame:
                 texts, ids = texts_of(batch.column(1)), batch.column(0).to_pylist()
                 for a, b in steps(texts):
                     shard = Shard(texts[a:b], vocabulary)
-                    pairs = [(item, ids[a + i]) for item, words in wanted if words for i in sorted({t for t, _ in shard.near([vocabulary[w] for w in words], slop)})]
+                    pairs = [(item, ids[a + i]) for item, words in wanted if words for i in shard.near([vocabulary[w] for w in words], slop)]
                     yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.string()), pa.array([x for _, x in pairs], pa.int64())], ["item_id", "doc_id"])
 
         found = id_and_text(docs).mapInArrow(run, "item_id string, doc_id long")

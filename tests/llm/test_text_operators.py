@@ -115,6 +115,23 @@ def test_near(spark):
     assert sorted(tuple(r) for r in got.collect()) == [("1", 0), ("1", 1)]
 
 
+def test_near_any_layout(spark):
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(batch)
+    pick = random.Random(6)
+    texts = ["a x x x x b x x x x c", "b b b a", "a a a c c", *(" ".join(pick.choice("abcdxxxxxx") for _ in range(pick.randint(0, 40))) for _ in range(150))]
+    items = [(1, "a b c"), (2, "d a"), (3, "a b c d"), (4, "A a"), (5, "none a")]
+    wanted = {i: set(x.lower().split()) for i, x in items}
+    for slop in (0, 5, 10):
+        want = sorted((str(i), n) for n, t in enumerate(texts) for i, x in wanted.items() if any(x <= set(t.split()[at : at + slop + 1]) for at in range(len(t.split()))))
+        for parts, rows in ((1, 1000), (1, 2), (7, 1000), (160, 1)):
+            spark.conf.set(batch, rows)
+            docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(parts)
+            got = phrases.near_matches(docs, spark.createDataFrame(items, "item_id long, text string"), slop).collect()
+            assert sorted(map(tuple, got)) == want, (slop, parts)
+    spark.conf.set(batch, before)
+
+
 def test_op4(spark, duck):
     same(phrases.op4_benchmark_decontamination(spark, SF), duck.sql(phrases.SQL).df())
 
