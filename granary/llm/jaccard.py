@@ -11,6 +11,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from granary.llm.common import forget, lists, mixed, shingle_sets, steps, stored, table, texts_of
 from granary.llm.graph import components
@@ -155,7 +156,7 @@ def _overlap(a: str, b: str) -> F.Column:
 
 
 def linked(docs: DataFrame, k: int, t: Fraction) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row of ``docs`` (see ``jaccard_join``)."""
+    """doc_id, n_shingles and component_id of every row of ``docs`` (see ``jaccard_join``), its node and its component's root (null without shingles)."""
     spark = docs.sparkSession
     up, down = t.numerator, t.denominator
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -223,11 +224,11 @@ def linked(docs: DataFrame, k: int, t: Fraction) -> DataFrame:
 
     # the smallest doc_id of each component, and back to all rows
     label = nodes.join(every, "node").groupBy("root").agg(F.min("doc_id").alias("least"))
-    named = nodes.select("node", "doc_id").join(every, "node", "left").join(label, "root", "left").select("node", F.coalesce("least", "doc_id").alias("component_id"))
+    named = nodes.select("node", "doc_id").join(every, "node", "left").join(label, "root", "left").select("node", root, F.coalesce("least", "doc_id").alias("component_id"))
     named = stored(named, "named")
     forget(members, opened, queries, cells, edges, first, every, nodes)
-    out = rows.where("n > 0").select("doc_id", F.col("n").alias("n_shingles"), node).join(named, "node").select("doc_id", "n_shingles", "component_id")
-    return out.unionAll(rows.where("n = 0").select("doc_id", "n", "doc_id"))
+    out = rows.where("n > 0").select("doc_id", F.col("n").alias("n_shingles"), node).join(named, "node").select("doc_id", "n_shingles", "component_id", "node", "root")
+    return out.unionAll(rows.where("n = 0").select("doc_id", "n", "doc_id", *(F.lit(None).cast("long") for _ in range(2))))
 
 
 def jaccard_join(docs: DataFrame, k: int, threshold: Fraction) -> DataFrame:
@@ -245,21 +246,42 @@ def jaccard_join(docs: DataFrame, k: int, threshold: Fraction) -> DataFrame:
     rows stay, extra columns are ignored, an empty table gives no rows. Shingles, and sets, are
     64-bit and 128-bit hashes (nodes: 64 bits of those); a wrong link needs a collision.
     """
-    return linked(docs, k, threshold)
+    return linked(docs, k, threshold).select("doc_id", "n_shingles", "component_id")
+
+
+def with_nodes(docs: DataFrame, k: int) -> DataFrame:
+    """``docs`` with the node of each row as ``_node``, null for texts without words."""
+    at, names = docs.columns.index("text"), [*docs.columns, "_digest"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t or b"" for t in texts_of(batch.column(at))]
+            digests = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for a, b in steps(texts) for s in shingle_sets(texts[a:b], k)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.binary())], names)
+
+    made = docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_digest", BinaryType())]))
+    return made.select(*docs.columns, F.when(F.col("_digest").isNotNull(), F.xxhash64("_digest")).alias("_node"))
 
 
 def one_of_each(docs: DataFrame, k: int, threshold: Fraction) -> DataFrame:
     """The rows of ``docs``, with all their columns, that stay when each linked group keeps the one of the smallest doc_id.
 
     Texts without words are linked with nothing and stay, and so do rows without doc_id. Rows
-    of the same doc_id and text are one document and stay once.
+    of the same doc_id and shingles are one document and stay once; where a group has several
+    documents of its smallest doc_id, one of them stays. What other documents a doc_id stands
+    for doesn't matter.
     """
-    found = stored(jaccard_join(docs, k, threshold).where("n_shingles > 0"), "found")
+    found = stored(linked(docs, k, threshold).where("doc_id is not null"), "found")
     kept = docs.join(found.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
-    again = found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")
+    again = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("n_shingles").alias("most")).where("n > 1 and most > 0").select("doc_id")
     if again.isEmpty():
         return kept
-    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionAll(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns))
+    # a doc_id of several rows doesn't tell which of them go: their nodes do
+    least = found.where("doc_id = component_id and node is not null").groupBy("root").agg(F.min("node").alias("least"))
+    gone = found.where("node is not null").join(least, "root").where("doc_id <> component_id or node <> least").select("doc_id", F.col("node").alias("_node")).distinct()
+    several = with_nodes(docs.join(again, "doc_id", "left_semi").select(*docs.columns), k)
+    worded = several.where("_node is not null").join(gone, ["doc_id", "_node"], "left_anti").dropDuplicates(["doc_id", "_node"])
+    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionAll(worded.unionByName(several.where("_node is null")).select(*docs.columns))
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

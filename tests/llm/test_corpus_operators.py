@@ -89,6 +89,20 @@ def test_jaccard_odd(spark, odd, none):  # noqa: F811
     assert sorted((r["doc_id"] or 0, r["text"][:1]) for r in jaccard.one_of_each(repeated, 4, Fraction(85, 100)).collect()) == [(0, "a"), (1, "a"), (1, "o")]
 
 
+def test_one_of_each_namesakes(spark):
+    x, y, z = ("".join(f"{c}{i} " for i in range(40)) for c in "xyz")
+    near, other = x + "more", y + "more"
+    rows = [(1, x), (2, x), (2, y), (2, ""), (3, z), (3, z + "more"), (3, z.upper()), (4, other), (5, near), (5, None), (6, "a b c d e f g"), (None, x)]
+    docs = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, n long")
+    got = jaccard.one_of_each(docs, 5, Fraction(8, 10))
+    assert got.columns == docs.columns
+    kept = [rows[r["n"]] for r in got.collect()]
+    # of each group of x, y and z one row with words, besides rows without doc_id
+    for c, i in (("x", 1), ("y", 2), ("z", 3)):
+        assert [k for k, t in kept if k is not None and (t or "").lower().startswith(c)] == [i], kept
+    assert sorted(i or 0 for i, t in kept if not (t or "").lower().startswith(("x", "y", "z"))) == [2, 5, 6] and (None, x) in kept
+
+
 def test_jaccard_sql(spark, duck):
     from granary.llm import queries
 
