@@ -18,7 +18,7 @@ from granary.llm.common import id_and_text, table
 ASSIGN = re.compile(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
-KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_upper", "entropy_base64")
+KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_upper", "entropy_base64", "entropy_base36")
 #: Where an assignment can begin: every keyword has one of these, in either case.
 KEYWORD = re.compile(r"passw|secret|token|api_?key")
 ASSIGN_VALUE_CHARS = 12
@@ -28,7 +28,11 @@ CLASSES = {
     "entropy_hex": (re.compile(r"[0-9a-fA-F]{24,}"), 24, 3.0, 2),
     "entropy_upper": (re.compile(r"[A-Z0-9]{20,}"), 20, 3.4, 2),
     "entropy_base64": (re.compile(r"[A-Za-z0-9+/_-]{24,}"), 24, 3.9, 3),
+    "entropy_base36": (re.compile(r"[a-z0-9]{24,}"), 24, 3.6, 2),
 }
+#: Stretches up to this length aren't secret if the allow-list names a part of them. In longer ones, which hold
+#: some of these strings by chance, only the windows that overlap such a part are left out.
+ALLOWED_WHOLE = 128
 #: Candidates that look random but aren't secret: version-4 style identifiers, examples, alphabets, placeholders.
 ALLOWED = (
     re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"),
@@ -98,6 +102,26 @@ class Cover:
         return at > 0 and self.ends[at - 1] >= end
 
 
+def not_allowed(value: str, stretches: list[tuple[int, int]], width: int, least: float) -> list[tuple[int, int]]:
+    """``stretches`` of the candidate ``value`` without what the allow-list names."""
+    named = sorted((m.start(), m.end()) for x in ALLOWED for m in x.finditer(value)) if stretches else []
+    if not named:
+        return stretches
+    ends = list(accumulate((b for _, b in named), max))
+    out = []
+    for a, b in stretches:
+        at = bisect_right(ends, a)  # the first that ends inside the stretch or behind it
+        if at == len(named) or named[at][0] >= b:
+            out.append((a, b))
+        elif b - a > ALLOWED_WHOLE:
+            while at < len(named) and named[at][0] < b:
+                out += [(a + x, a + y) for x, y in entropy_windows(value[a : named[at][0]], width, least)]
+                a = max(a, named[at][1])
+                at += 1
+            out += [(a + x, a + y) for x, y in entropy_windows(value[a:b], width, least)]
+    return out
+
+
 def entropy_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, class) of random-looking stretches of candidate strings, without those the allow-list names.
 
@@ -109,9 +133,7 @@ def entropy_spans(text: str) -> list[tuple[int, int, str]]:
         earlier = Cover(out)
         for m in pattern.finditer(text):
             value = m[0]
-            if any(x.search(value) for x in ALLOWED):
-                continue
-            for a, b in entropy_windows(value, width, least):
+            for a, b in not_allowed(value, entropy_windows(value, width, least), width, least):
                 part = value[a:b]
                 has = any(c.islower() for c in part) + any(c.isupper() for c in part) + any(c.isdigit() for c in part)
                 start, end = m.start() + a, m.start() + b

@@ -175,6 +175,22 @@ def test_entropy():
         assert secrets.entropy_spans(plain) == []
 
 
+def test_entropy_classes():
+    pick = random.Random(8)
+    for _ in range(50):
+        key = "".join(pick.choice("ghijklmnopqrstuvwxyz0123456789abcdef") for _ in range(40))
+        assert "[SECRET]" in secrets.mask(f"see {key} there"), key
+    big = "".join(pick.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/") for _ in range(20_000))
+    key = big[:60]
+    # the allow-list names a stretch, not all that its run holds, nor all of a long stretch
+    path = "/srv/example/" + "data/" * 12
+    assert any(a >= len("/srv/example/") and b == len(path + key) for a, b, _ in secrets.entropy_spans(path + key))
+    long = big[:9000] + "xxxx" + big[9000:]
+    assert sum(b - a for a, b, _ in secrets.entropy_spans(long)) > 19_900
+    for plain in ("abcdefghijklmnopqrstuvwxyz0123456789", "word" * 20, "xxxx" + key, "1234567890" * 5):
+        assert secrets.entropy_spans(plain) == []
+
+
 def test_secrets_odd(spark, odd, none):
     got = {r["doc_id"]: r for r in secrets.find_secrets(odd).where("doc_id is not null").collect()}
     assert got[8]["n_assign"] == 1 and got[8]["spans"] == "assign:0:25" and got[0]["spans"] == "" and got[0]["base_sha256"] == hashlib.sha256(b"").hexdigest()
