@@ -1,4 +1,4 @@
-"""Turns of conversations and prompts."""
+"""Turns of conversations and prompts."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Pairwise judging and agreement."""
+"""Pairwise judging and agreement."""
 
 from __future__ import annotations
 

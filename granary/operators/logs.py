@@ -1,4 +1,4 @@
-"""Reports from log files."""
+"""Reports from log files."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Readers of records, conversations and guidelines."""
+"""Readers of records, conversations and guidelines."""
 
 from __future__ import annotations
 
