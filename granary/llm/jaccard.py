@@ -9,7 +9,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
@@ -24,6 +24,12 @@ FREQUENT = 12
 COUNTED = 2_000_000
 #: Members of a group whose token union is opened as one.
 GROUP = 32
+#: Groups that a list of nodes with a common shingle may have; a list of more is taken apart by further shingles.
+HOT = 8
+#: The most frequent shingles, at most so many and of so many texts or more: they are never gathered by shingle.
+HEAVY, HEAVY_FROM = 1 << 16, 1 << 10
+#: Ids that are broadcast at most.
+BROADCAST = 1 << 20
 #: Orders of shingles whose first one picks a text's group.
 SEEDS = (0x5851F42D4C957F2D, 0x14057B7EF767814F, 0x2545F4914F6CDD1D, 0x369DEA0F31A53F85)
 #: Sizes of the texts of one group lie within this factor, so that its bounds are tight.
@@ -42,18 +48,19 @@ def _flat(arrays: list[np.ndarray]) -> pa.Array:
     return lists(np.concatenate([np.empty(0, np.uint64), *arrays]), np.array([len(x) for x in arrays], np.int64))
 
 
-def frequent_bits(docs: DataFrame, k: int) -> np.ndarray:
-    """A bit filter, indexed by the high bits of a shingle's hash, of shingles in many texts.
+def frequent(docs: DataFrame, k: int) -> tuple[np.ndarray, DataFrame]:
+    """A bit filter, indexed by the high bits of a shingle's hash, of shingles in many texts, and the most frequent ones.
 
-    It only orders shingles (rare ones first) and so only bears on speed: links are exact
-    whatever it holds. Tasks send shingles that are in two or more of the texts they count together.
+    They only order shingles (rare ones first) and route them, and so only bear on speed:
+    links are exact whatever they hold. Tasks send shingles that are in two or more of the texts
+    they count together. The filter takes the shingles from the least count (a power of two)
+    that fills an eighth of it at most; the table has HEAVY rows at most.
     """
 
     def counted(sets: list[np.ndarray]) -> pa.RecordBatch:
         values, counts = np.unique(np.concatenate([np.empty(0, np.uint64), *sets]), return_counts=True)
         values, counts = values[counts > 1], counts[counts > 1]
-        bits = (values >> np.uint64(64 - BITS.bit_length() + 1)).astype(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(bits), pa.array(counts.astype(np.int64))], ["t", "bit", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts.astype(np.int64))], ["token", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, size = [], 0
@@ -65,12 +72,20 @@ def frequent_bits(docs: DataFrame, k: int) -> np.ndarray:
                 kept, size = [], 0
         yield counted(kept)
 
-    found = docs.select("doc_id", "text").mapInArrow(run, "t long, bit long, n long").groupBy("t", "bit").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
-    # at most BITS / 32 rows, whatever the corpus
-    words = found.groupBy(F.expr("bit div 32").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 32 as int)))").alias("w")).toArrow()
+    found = stored(docs.select("doc_id", "text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT), "frequent")
+    least, total = FREQUENT, 0
+    for power, n in sorted((r["p"], r["n"]) for r in found.groupBy(F.floor(F.log2("n")).alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())[::-1]:  # at most 64 rows
+        total += n
+        if total > BITS // 8:
+            least = 2 ** (power + 1)
+            break
+    bit = F.expr(f"shiftrightunsigned(token, {64 - BITS.bit_length() + 1})")
+    words = found.where(F.col("n") >= least).groupBy((bit / 32).cast("long").alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 32).cast("int"))).alias("w")).toArrow()  # at most BITS / 32 rows
     out = np.zeros(BITS // 32, np.uint32)
     out[words["at"].to_numpy()] = words["w"].to_numpy().astype(np.uint32)
-    return out
+    heavy = stored(found.where(f"n >= {HEAVY_FROM}").orderBy(F.desc("n"), "token").limit(HEAVY).select("token"), "heavy")
+    forget(found)
+    return out, heavy
 
 
 def _is_frequent(values: np.ndarray, bits: np.ndarray) -> np.ndarray:
@@ -117,32 +132,23 @@ def signed(docs: DataFrame, k: int, t: Fraction, bits) -> DataFrame:
 
 
 def with_sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """``nodes`` (node, doc_id, more) with the node's shingle set ``tokens``: made anew from the texts, never stored.
+    """node and tokens (its shingle set) of ``nodes`` (node, doc_id), and of namesakes: made anew from the texts, never stored.
 
-    Texts of other documents are left out by a bit filter of fixed size before anything is
-    shuffled; the join drops the few that pass it by chance.
+    Only the texts of those documents are read into Python: a semi-join, broadcast only up to
+    BROADCAST ids. A doc_id can stand in several rows, so callers join by node.
     """
-    spark = docs.sparkSession
-    at = F.pmod(F.xxhash64("doc_id"), F.lit(BITS))
-    rows = nodes.select(at.alias("bit")).groupBy(F.expr("bit div 32").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 32 as int)))").alias("w")).toArrow()
-    bits = np.zeros(BITS // 32, np.uint32)
-    bits[rows["at"].to_numpy()] = rows["w"].to_numpy().astype(np.uint32)
-    wanted = spark.sparkContext.broadcast(bits)
-
-    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            where = batch.column(2).to_numpy()
-            yield batch.filter(pa.array((wanted.value[where >> 5] >> (where & 31).astype(np.uint32)) & 1 == 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, every in _sets(asked(batches), k):
-            digests = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in every], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), digests, _flat(every)], ["doc_id", "digest", "tokens"])
+        for batch, every in _sets(batches, k):
+            digests = pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in every], pa.binary())
+            yield pa.RecordBatch.from_arrays([digests, _flat(every)], ["digest", "tokens"])
 
-    made = docs.select("doc_id", "text", at.alias("bit")).mapInArrow(run, "doc_id long, digest binary, tokens array<long>")
-    # a doc_id can stand in several rows: the digest says which one is the node's
-    made = made.select(F.xxhash64("digest").alias("_node"), F.col("doc_id").alias("_doc"), "tokens")
-    return nodes.join(made, (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_doc"))).drop("_node", "_doc")
+    asked = nodes.select(F.col("doc_id").alias("_doc")).distinct()
+    if nodes.count() <= BROADCAST:
+        asked = F.broadcast(asked)
+    texts = docs.join(asked, F.col("doc_id").eqNullSafe(F.col("_doc")), "left_semi").select("doc_id", "text")
+    made = texts.mapInArrow(run, "digest binary, tokens array<long>")
+    return made.where("digest is not null").select(F.xxhash64("digest").alias("node"), "tokens")
 
 
 def differ(a: str, b: str) -> str:
@@ -151,84 +157,207 @@ def differ(a: str, b: str) -> str:
     return f"aggregate(zip_with({fold.format(a, b)}, {fold.format(b, a)}, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
 
 
-def _overlap(a: str, b: str) -> F.Column:
-    return F.size(F.array_intersect(a, b)).cast("long")
+class Threshold:
+    """What a similarity of ``t`` asks for, in SQL over sizes, places and sketches; all are bounds without loss."""
+
+    def __init__(self, t: Fraction):
+        self.up, self.down = t.numerator, t.denominator
+
+    def sizes(self, a: str, b: str) -> str:
+        return f"least({a}, {b}) * {self.down} >= greatest({a}, {b}) * {self.up}"
+
+    def sketches(self, a: str, b: str, na: str, nb: str) -> str:
+        """Two sets as similar as t differ in at most (1 - t) / (1 + t) of both sizes."""
+        return f"{differ(a, b)} * {self.up + self.down} <= ({na} + {nb}) * {self.down - self.up}"
+
+    def reached(self, shared: str, na: str, nb: str) -> str:
+        return f"{shared} * {self.down} >= ({na} + {nb} - {shared}) * {self.up}"
+
+    def member(self, room: str, n: str) -> str:
+        """Whether the smaller set of a pair can have its first shared shingle where ``room`` shingles are left."""
+        return f"{room} * {self.up + self.down} >= 2 * {n} * {self.up}"
+
+    def query(self, room: str, n: str) -> str:
+        """The same for the larger set."""
+        return f"{room} * {self.down} >= {n} * {self.up}"
+
+    def places(self, q_room: str, qn: str, room: str, least: str) -> str:
+        """Whether the places leave query and member the overlap that t asks for, t / (1 + t) of both sizes."""
+        smallest = f"({qn} * {self.up} + {self.down - 1}) div {self.down}"
+        return f"least({q_room}, {room}) * {self.up + self.down} >= ({qn} + greatest({least}, {smallest})) * {self.up}"
+
+
+def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, t: Threshold) -> DataFrame:
+    """The pairs (a, b) of nodes that link, a stored table: sizes and sketches first, then the sets of what they leave."""
+    of = nodes.select("node", "doc_id", "n", "sketch")
+    both = pairs.join(of.toDF("a", "a_doc", "na", "a_sketch"), "a").join(of.toDF("b", "b_doc", "nb", "b_sketch"), "b")
+    left = stored(both.where(t.sizes("na", "nb")).where(t.sketches("a_sketch", "b_sketch", "na", "nb")).select("a", "b", "na", "nb", "a_doc", "b_doc").distinct(), "pairs")
+    a = with_sets(docs, left.select(F.col("a").alias("node"), F.col("a_doc").alias("doc_id")), k).toDF("a", "ta")
+    b = with_sets(docs, left.select(F.col("b").alias("node"), F.col("b_doc").alias("doc_id")).distinct(), k).toDF("b", "tb")
+    shared = left.join(a, "a").join(b, "b").withColumn("shared", F.size(F.array_intersect("ta", "tb")).cast("long"))
+    out = stored(shared.where(t.reached("shared", "na", "nb")).select("a", "b").distinct(), "links")
+    forget(left)
+    return out
+
+
+def starred(lists: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each list's (column ``token``) nodes with its centre, the least by ``rank``, where their roots differ.
+
+    A comparison for each row of a list, however many rows it has. The centres are a stored
+    table, so both sides of the join are exchanged and a hot list is split.
+    """
+    centre = lists.groupBy("token").agg(F.min(F.struct("rank", "node", "root")).alias("c"), F.min("root").alias("x"), F.max("root").alias("y"))
+    centre = stored(centre.where("x <> y").select("token", "c"), "centres")
+    out = stored(lists.join(centre, "token").where("root <> c.root").select(F.col("node").alias("a"), F.col("c.node").alias("b")).distinct(), "star")
+    forget(centre)
+    return out
+
+
+def narrowed(docs: DataFrame, nodes: DataFrame, k: int, t: Threshold) -> DataFrame:
+    """Lists (token, node, room) in which each pair of ``nodes`` (node, doc_id, n, root) that links meets; none of more than HOT groups, but for nodes that are alike.
+
+    For nodes whose shingles are frequent: pages of a template, say, share most of theirs, and
+    only a few tell them apart. Shingles that the same nodes have are one token with a weight;
+    those of one node are missed by any partner. A node stands in the lists of its rarest
+    tokens, as far as a partner can miss what comes before. A list of several roots and more
+    than HOT groups is taken apart in the same way, by what its nodes have besides, counted
+    within the list, until none is left. Nodes that may miss all that is left of them are as
+    similar as the threshold asks for, near enough, and share a list of their own.
+    """
+    sets = with_sets(docs, nodes, k).dropDuplicates(["node"]).join(nodes.select("node", "n", "root"), "node")
+    parts = sets.select(F.lit(0).cast("long").alias("token"), "node", "n", "root", F.lit(0).cast("long").alias("missed"), F.col("n").alias("total"), F.explode("tokens").alias("part"), F.lit(1).cast("long").alias("w"))
+    found, used = [], []
+    while True:
+        parts = stored(parts, "parts")
+        seen = parts.groupBy("token", "part").agg(F.count(F.lit(1)).alias("nodes"), F.expr("bit_xor(xxhash64(node))").alias("mark")).where("nodes > 1")
+        seen = stored(seen, "seen")
+        same = parts.join(seen, ["token", "part"]).groupBy("token", "node", "n", "root", "missed", "total", "nodes", "mark").agg(F.sum("w").alias("w"))
+        order = Window.partitionBy("token", "node").orderBy("nodes", "mark")
+        placed = same.withColumn("upto", F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("left", F.sum("w").over(Window.partitionBy("token", "node")))
+        placed = placed.withColumn("missed", F.expr("missed + total - left")).withColumn("room", F.expr("n - (missed + upto - w)"))
+        placed = stored(placed.select("token", "node", "n", "root", "room", "upto", "left", "w", F.xxhash64("nodes", "mark").alias("part")), "placed")
+        below = placed.where(t.query("room", "n")).withColumn("list", F.xxhash64("token", "part"))
+        level = F.floor(F.log("n") / math.log(SPREAD)).cast("int").alias("level")
+        groups = below.groupBy("list", "root", level).agg(F.count(F.lit(1)).alias("rows"))
+        lists = groups.groupBy("list").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("groups")).where("x <> y").select("list", "groups")
+        lists = stored(lists, "lists")
+        below = stored(below.select("list", "node", "n", "root", "room", "upto", "left", "w", F.col("token").alias("above")).join(lists, "list"), "below")
+        found.append(stored(below.where(f"groups <= {HOT}").select(F.col("list").alias("token"), "node", "room"), "narrow"))
+        hot = below.where(f"groups > {HOT}").drop("groups")
+        forget(parts, seen, lists)
+        used += [placed, below]
+        if hot.isEmpty():
+            break
+        # a node that may miss the rest of its tokens
+        ended = hot.withColumn("room", F.expr("room - (left - upto)")).where(t.query("room", "n"))
+        found.append(stored(ended.select(F.xxhash64("list", F.lit("end")).alias("token"), "node", "room"), "narrow"))
+        rest = placed.select(F.col("token").alias("above"), "node", F.col("upto").alias("at"), "part", F.col("w").alias("pw"))
+        parts = hot.join(rest, ["above", "node"]).where("at > upto").select(F.col("list").alias("token"), "node", "n", "root", F.expr("n - room").alias("missed"), F.expr("left - upto").alias("total"), "part", F.col("pw").alias("w"))
+    out = stored(docs.sparkSession.read.schema("token long, node long, room long").parquet(*(x._granary_path for x in found)), "narrowed")
+    forget(*found, *used)
+    return out
 
 
-def linked(docs: DataFrame, k: int, t: Fraction) -> DataFrame:
+def linked(docs: DataFrame, k: int, threshold: Fraction) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs`` (see ``jaccard_join``), its node and its component's root (null without shingles)."""
-    spark = docs.sparkSession
-    up, down = t.numerator, t.denominator
+    t = Threshold(threshold)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    bits = spark.sparkContext.broadcast(frequent_bits(docs, k))
-    rows = stored(signed(docs, k, t, bits), "signed")
+    bits, heavy = frequent(docs, k)
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    rows = stored(signed(docs, k, threshold, shared), "signed")
 
     # equal sets are one node
     node = F.xxhash64("digest").alias("node")
     nodes = stored(rows.where("n > 0").groupBy(node).agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("rare").alias("rare"), F.first("prefix").alias("prefix"), F.first("firsts").alias("firsts"), F.first("sketch").alias("sketch")), "nodes")
 
-    # groups: nodes with the same first shingle, around the one with the fewest rare shingles
-    keyed = nodes.select("node", "doc_id", "n", "rare", "sketch", F.posexplode("firsts").alias("seed", "first"))
-    centre = keyed.groupBy("seed", "first").agg(F.min(F.struct("rare", "node", "n", "doc_id", "sketch")).alias("c"), F.count(F.lit(1)).alias("members")).where("members > 1").select("seed", "first", "c")
-    centre = stored(centre, "centres")  # read again so that both sides of the join are exchanged and a hot group can be split
-    # two sets as similar as t differ in at most (1 - t) / (1 + t) of both sizes
-    near = f"{{}} * {up + down} <= (n + {{}}) * {down - up}"
-    pairs = keyed.join(centre, ["seed", "first"]).where((F.col("node") != F.col("c.node")) & (F.least("n", "c.n") * down >= F.greatest("n", "c.n") * up))
-    pairs = pairs.where(near.format(differ("sketch", "c.sketch"), "c.n"))
-    pairs = stored(pairs.select("node", "doc_id", "n", F.col("c.node").alias("b"), F.col("c.n").alias("nb"), F.col("c.doc_id").alias("b_doc")).distinct(), "pairs")
-    centres = stored(pairs.select(F.col("b").alias("node"), F.col("b_doc").alias("doc_id")).distinct(), "centres")
-    both = with_sets(docs, pairs, k).join(with_sets(docs, centres, k).select(F.col("node").alias("b"), F.col("tokens").alias("tb")), "b")
-    shared = _overlap("tokens", "tb")
-    edges = stored(both.where(shared * down >= (F.col("n") + F.col("nb") - shared) * up).select(F.col("node").alias("a"), "b"), "links")
-    forget(pairs, centre, centres)
-    first = components(edges)
-
-    # token-group matrix over the prefixes. A group: linked nodes of about the same size, so that
-    # the bounds of its members' sizes and places are tight
+    # nodes with the same first shingle, around the one with the fewest rare shingles
+    firsts = nodes.select("node", F.col("node").alias("root"), F.col("rare").alias("rank"), F.posexplode("firsts").alias("seed", "first"))
+    star = starred(firsts.select(F.xxhash64("seed", "first").alias("token"), "node", "root", "rank"))
+    edges = [verified(docs, nodes, star, k, t)]
+    roots = components(edges[0])
+
+    # lists of nodes that share a shingle of their prefixes; then around each list's centre
+    lists = shared_lists(docs, nodes, roots, heavy, k, t)
     root = F.coalesce("root", F.col("node")).alias("root")
-    cells = nodes.join(first, "node", "left").select("node", root, "n", F.posexplode("prefix").alias("at", "token"))
-    cells = cells.repartition("token")  # one exchange for the two uses
-    several = cells.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("token")
+    again = starred(lists.join(roots, "node", "left").select("token", "node", root, F.xxhash64("node").alias("rank")))
+    edges.append(verified(docs, nodes, again, k, t))
+    before, roots = roots, components(edges[0].unionAll(edges[1]))
+    forget(star, again, before)
+
+    # token-group matrix over the lists. A group: linked nodes of about the same size, so that
+    # the bounds of its members' sizes and places are tight
     level = F.floor(F.log(F.col("n")) / math.log(SPREAD)).cast("int").alias("level")
-    cells = stored(cells.join(several, "token").select("token", "node", "root", "n", level, (F.col("n") - F.col("at")).alias("room")), "cells")
-    # a member y is not larger than the query x. The overlap that t asks for, t / (1 + t) of both
-    # sizes, leaves y its first n - 2t / (1 + t) * n + 1 places; room is what a place leaves, and the first
-    # shared shingle must leave both that overlap
-    matrix = cells.where(f"room * {up + down} >= 2 * n * {up}").groupBy("token", "root", "level")
-    matrix = matrix.agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("room").alias("room"))
-    query = cells.select("token", "node", F.col("n").alias("qn"), F.col("root").alias("q_root"), F.col("room").alias("q_room"))
-    smallest = f"(qn * {up} + {down - 1}) div {down}"  # size of the smallest set, and the least overlap
-    place = f"least(q_room, room) * {up + down} >= (qn + greatest(least, {smallest})) * {up}"
-    met = query.join(matrix, "token").where((F.col("root") != F.col("q_root")) & (F.col("least") <= F.col("qn")) & (F.col("most") * down >= F.col("qn") * up) & F.expr(place))
-    opened = stored(met.select("node", "qn", "root", "level").distinct(), "opened")
+    placed = nodes.join(roots, "node", "left").select("node", "doc_id", "n", root, level, "sketch")
+    cells = lists.join(placed.drop("doc_id", "sketch"), "node")
+    opened = opened_groups(cells, t)
 
     # groups of one node are compared by their sketches
-    placed = nodes.join(first, "node", "left").select("node", "doc_id", "n", root, level, "sketch")
     sizes = placed.groupBy("root", "level").agg(F.count(F.lit(1)).alias("size"), F.first("sketch").alias("g_sketch"), F.first("n").alias("g_n"))
     likely = opened.join(sizes, ["root", "level"]).join(nodes.select("node", "doc_id", "n", "sketch"), "node")
-    alike = F.expr(f"least(n, g_n) * {down} >= greatest(n, g_n) * {up}") & F.expr(near.format(differ("sketch", "g_sketch"), "g_n"))
-    queries = stored(likely.where((F.col("size") > 1) | alike).select("node", "doc_id", "qn", "root", "level", "size"), "queries")
+    alike = F.expr(t.sizes("n", "g_n")) & F.expr(t.sketches("sketch", "g_sketch", "n", "g_n"))
+    queries = stored(likely.where((F.col("size") > 1) | alike).select("node", "doc_id", "n", "root", "level", "size"), "queries")
 
     # the groups that queries ask for, in parts of a bounded number of members with their token union
     asked = queries.select("root", "level", "size").distinct()
     members = placed.drop("sketch").join(asked, ["root", "level"]).select("node", "doc_id", "n", "root", "level", F.pmod(F.xxhash64(F.lit(1), "node"), F.ceil(F.col("size") / GROUP)).alias("part"))
     members = stored(members, "members")
-    unions = with_sets(docs, members, k).groupBy("root", "level", "part").agg(F.collect_list(F.struct("node", "n", "tokens")).alias("members"))
+    unions = members.join(with_sets(docs, members, k), "node").groupBy("root", "level", "part").agg(F.collect_list(F.struct("node", "n", "tokens")).alias("members"))
     unions = unions.withColumn("union", F.when(F.size("members") == 1, F.col("members")[0]["tokens"]).otherwise(F.array_distinct(F.flatten(F.col("members.tokens")))))
     # a member as similar as t shares t of the query's shingles, and the member's are all in the union
-    qualified = with_sets(docs, queries.drop("size"), k).join(unions, ["root", "level"]).where(_overlap("tokens", "union") * down >= F.col("qn") * up)
-    pairs = qualified.select("node", "qn", "tokens", F.explode("members").alias("m"))
-    shared = F.size(F.array_intersect("tokens", "m.tokens")).cast("long")
-    more = pairs.where(shared * down >= (F.col("qn") + F.col("m.n") - shared) * up).select(F.col("node").alias("a"), F.col("m.node").alias("b"))
-    every = components(edges.unionAll(more))
+    tested = queries.drop("size").join(with_sets(docs, queries.select("node", "doc_id"), k), "node").join(unions, ["root", "level"])
+    qualified = tested.withColumn("room", F.size(F.array_intersect("tokens", "union")).cast("long")).where(t.query("room", "n"))
+    pairs = qualified.select("node", "n", "tokens", F.explode("members").alias("m")).withColumn("shared", F.size(F.array_intersect("tokens", "m.tokens")).cast("long"))
+    edges.append(stored(pairs.where(t.reached("shared", "n", "m.n")).select(F.col("node").alias("a"), F.col("m.node").alias("b")), "links"))
+    every = components(edges[0].unionAll(edges[1]).unionAll(edges[2]))
 
     # the smallest doc_id of each component, and back to all rows
     label = nodes.join(every, "node").groupBy("root").agg(F.min("doc_id").alias("least"))
     named = nodes.select("node", "doc_id").join(every, "node", "left").join(label, "root", "left").select("node", root, F.coalesce("least", "doc_id").alias("component_id"))
-    named = stored(named, "named")
-    forget(members, opened, queries, cells, edges, first, every, nodes)
     out = rows.where("n > 0").select("doc_id", F.col("n").alias("n_shingles"), node).join(named, "node").select("doc_id", "n_shingles", "component_id", "node", "root")
-    return out.unionAll(rows.where("n = 0").select("doc_id", "n", "doc_id", *(F.lit(None).cast("long") for _ in range(2))))
+    out = stored(out.unionAll(rows.where("n = 0").select("doc_id", "n", "doc_id", *(F.lit(None).cast("long") for _ in range(2)))), "linked")
+    forget(rows, nodes, lists, opened, queries, members, roots, every, *edges)
+    return out
+
+
+def shared_lists(docs: DataFrame, nodes: DataFrame, roots: DataFrame, heavy: DataFrame, k: int, t: Threshold) -> DataFrame:
+    """Lists (token, node, room) of the prefixes' shingles that nodes of several roots share, narrowed where they are hot; a stored table.
+
+    ``room`` is what a shingle's place leaves of the node. ``heavy`` shingles (a table of
+    bounded size) aren't gathered by shingle at all: only whether they have several roots is
+    summed up, with partial sums.
+    """
+    root = F.coalesce("root", F.col("node")).alias("root")
+    cells = nodes.join(roots, "node", "left").select("node", root, "n", F.posexplode("prefix").alias("at", "token"))
+    several = lambda rows: rows.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("token")
+    busy = cells.join(F.broadcast(heavy), "token")
+    light = cells.join(F.broadcast(heavy), "token", "left_anti").repartition("token")  # one exchange for the two uses
+    level = F.floor(F.log(F.col("n")) / math.log(SPREAD)).cast("int").alias("level")
+    light = stored(light.join(several(light), "token").select("token", "node", "root", level, (F.col("n") - F.col("at")).alias("room")), "cells")
+    wide = light.groupBy("token", "root", "level").agg(F.count(F.lit(1)).alias("rows")).groupBy("token").agg(F.count(F.lit(1)).alias("groups")).where(f"groups > {HOT}")
+    wide = stored(wide.select("token"), "wide")
+    hot = light.join(wide, "token").select("node").unionAll(busy.join(F.broadcast(several(busy)), "token").select("node")).distinct()
+    hot = stored(nodes.select("node", "doc_id", "n").join(hot, "node").join(roots, "node", "left").select("node", "doc_id", "n", root), "hot")
+    lists = light.join(wide, "token", "left_anti").select("token", "node", "room")
+    if not hot.isEmpty():
+        more = narrowed(docs, hot, k, t)
+        lists = stored(lists.unionAll(more), "shared")
+        forget(more)
+    else:
+        lists = stored(lists, "shared")
+    forget(light, wide, hot)
+    return lists
+
+
+def opened_groups(cells: DataFrame, t: Threshold) -> DataFrame:
+    """node, root and level of the groups that a node (the larger of a pair) has to be held against: the token-group matrix, a stored table."""
+    several = stored(cells.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("token"), "several")
+    cells = stored(cells.join(several, "token").select("token", "node", "root", "n", "level", "room"), "cells")
+    matrix = cells.where(t.member("room", "n")).groupBy("token", "root", "level").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("room").alias("room"))
+    query = cells.select("token", "node", F.col("n").alias("qn"), F.col("root").alias("q_root"), F.col("room").alias("q_room"))
+    met = query.join(matrix, "token").where("root <> q_root and least <= qn").where(f"most * {t.down} >= qn * {t.up}").where(t.places("q_room", "qn", "room", "least"))
+    out = stored(met.select("node", "root", "level").distinct(), "opened")
+    forget(several, cells)
+    return out
 
 
 def jaccard_join(docs: DataFrame, k: int, threshold: Fraction) -> DataFrame:

@@ -79,6 +79,59 @@ def test_jaccard(spark, k, t):
     assert got == plain_join(rows, k, t)
 
 
+def slotted(n, values=50, length=100):
+    """Pages of one template that differ in three slots: two slots in common link, one doesn't."""
+    pick = random.Random(n)
+    frame = [f"t{i}" for i in range(length)]
+    out = []
+    for _ in range(n):
+        words = list(frame)
+        for at in (length // 5, length // 2, length * 4 // 5):
+            words[at] = f"s{at}v{pick.randrange(values)}"
+        out.append(" ".join(words))
+    return out
+
+
+def test_template_pages(spark, monkeypatch):
+    # the groups opened must not grow faster than the pages
+    opened, real = {}, jaccard.opened_groups
+    for n in (800, 1600, 3200):
+
+        def counted(cells, t, n=n):
+            found = real(cells, t)
+            opened[n] = found.count()
+            return found
+
+        monkeypatch.setattr(jaccard, "opened_groups", counted)
+        rows = list(enumerate(slotted(n)))
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), 4, Fraction(85, 100)).collect()}
+        slots = [(i, tuple(x.split()[at] for at in (20, 50, 80))) for i, x in rows]
+        by_two = {}
+        for i, s in slots:
+            for gone in range(3):
+                by_two.setdefault((gone, s[:gone] + s[gone + 1 :]), []).append(i)
+        assert got == {i: (97, r) for i, r in roots(range(n), [(x[0], y) for x in by_two.values() for y in x[1:]]).items()}
+    assert opened[800] <= 800 and opened[1600] <= 1600 and opened[3200] <= 3200, opened
+
+
+@pytest.mark.parametrize(("k", "t"), [(4, Fraction(85, 100)), (2, Fraction(3, 5))])
+def test_jaccard_hot(spark, monkeypatch, k, t):
+    # nearly every list is taken apart: templates of words in common, of several lengths and similarities
+    monkeypatch.setattr(jaccard, "HOT", 1)
+    monkeypatch.setattr(jaccard, "HEAVY_FROM", 64)
+    pick = random.Random(k)
+    texts = near_copies(7, 150) + slotted(120, 4, 60) + slotted(60, 3, 90)
+    for _ in range(120):
+        words = [f"u{i}" for i in range(40)]
+        for _ in range(pick.choice([1, 2, 3])):
+            words[pick.randrange(40)] = f"v{pick.randrange(3)}"
+        texts.append(" ".join(words[: pick.choice([40, 40, 38, 36])]))
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_join(docs, k, t).collect()}
+    assert got == plain_join(rows, k, t)
+
+
 def test_jaccard_odd(spark, odd, none):  # noqa: F811
     got = jaccard.jaccard_join(odd, 4, Fraction(85, 100)).collect()
     assert len(got) == len(ODD) + 2
