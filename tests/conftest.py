@@ -1,6 +1,7 @@
 import os
 import sys
 
+import pandas as pd
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -30,7 +31,7 @@ def same(spark_rows, want):
     """Whether a Spark result and a pandas frame hold the same rows, whatever their order."""
 
     def plain(v):
-        if v is None or v != v or str(v) == "<NA>":
+        if v is None or v is pd.NA or v != v:
             return "null"
         return f"{float(v):.9g}" if isinstance(v, float) or type(v).__name__.startswith("float") else str(v)
 
