@@ -24,8 +24,9 @@ FREQUENT = 12
 COUNTED = 2_000_000
 #: Members of a group whose token union is opened as one.
 GROUP = 32
-#: Groups that a list of nodes with a common shingle may have; a list of more is taken apart by further shingles.
-HOT = 8
+#: Groups that a list of nodes with a common shingle may have at least, before it is taken apart by further shingles; and
+#: shingles of a node that allow for one more: parting a list costs as many rows as its nodes have shingles.
+HOT, ROOM = 8, 12
 #: The most frequent shingles, at most so many and of so many texts or more: they are never gathered by shingle.
 HEAVY, HEAVY_FROM = 1 << 16, 1 << 10
 #: Ids that are broadcast at most.
@@ -219,10 +220,11 @@ def narrowed(docs: DataFrame, nodes: DataFrame, k: int, t: Threshold) -> DataFra
     For nodes whose shingles are frequent: pages of a template, say, share most of theirs, and
     only a few tell them apart. Shingles that the same nodes have are one token with a weight;
     those of one node are missed by any partner. A node stands in the lists of its rarest
-    tokens, as far as a partner can miss what comes before. A list of several roots and more
-    than HOT groups is taken apart in the same way, by what its nodes have besides, counted
-    within the list, until none is left. Nodes that may miss all that is left of them are as
-    similar as the threshold asks for, near enough, and share a list of their own.
+    tokens, as far as a partner can miss what comes before. A list of several roots with more
+    than HOT groups, and more than its nodes have tokens left, is taken apart in the same way, by
+    what its nodes have besides, counted within the list, until none is left. So a node meets no
+    more groups in a list than it has shingles. Nodes that may miss all that is left of them
+    are as similar as the threshold asks for, near enough, and share a list of their own.
     """
     sets = with_sets(docs, nodes, k).dropDuplicates(["node"]).join(nodes.select("node", "n", "root"), "node")
     parts = sets.select(F.lit(0).cast("long").alias("token"), "node", "n", "root", F.lit(0).cast("long").alias("missed"), F.col("n").alias("total"), F.explode("tokens").alias("part"), F.lit(1).cast("long").alias("w"))
@@ -235,15 +237,16 @@ def narrowed(docs: DataFrame, nodes: DataFrame, k: int, t: Threshold) -> DataFra
         order = Window.partitionBy("token", "node").orderBy("nodes", "mark")
         placed = same.withColumn("upto", F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("left", F.sum("w").over(Window.partitionBy("token", "node")))
         placed = placed.withColumn("missed", F.expr("missed + total - left")).withColumn("room", F.expr("n - (missed + upto - w)"))
-        placed = stored(placed.select("token", "node", "n", "root", "room", "upto", "left", "w", F.xxhash64("nodes", "mark").alias("part")), "placed")
+        placed = placed.withColumn("after", F.count(F.lit(1)).over(Window.partitionBy("token", "node")) - F.row_number().over(order))
+        placed = stored(placed.select("token", "node", "n", "root", "room", "upto", "left", "w", "after", F.xxhash64("nodes", "mark").alias("part")), "placed")
         below = placed.where(t.query("room", "n")).withColumn("list", F.xxhash64("token", "part"))
         level = F.floor(F.log("n") / math.log(SPREAD)).cast("int").alias("level")
-        groups = below.groupBy("list", "root", level).agg(F.count(F.lit(1)).alias("rows"))
-        lists = groups.groupBy("list").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("groups")).where("x <> y").select("list", "groups")
-        lists = stored(lists, "lists")
+        groups = below.groupBy("list", "root", level).agg(F.count(F.lit(1)).alias("rows"), F.sum("after").alias("after"))
+        lists = groups.groupBy("list").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("groups"), F.sum("rows").alias("rows"), F.sum("after").alias("after"))
+        lists = stored(lists.where("x <> y").select("list", F.expr(f"groups > {HOT} and groups * rows > after").alias("hot")), "lists")
         below = stored(below.select("list", "node", "n", "root", "room", "upto", "left", "w", F.col("token").alias("above")).join(lists, "list"), "below")
-        found.append(stored(below.where(f"groups <= {HOT}").select(F.col("list").alias("token"), "node", "room"), "narrow"))
-        hot = below.where(f"groups > {HOT}").drop("groups")
+        found.append(stored(below.where("not hot").select(F.col("list").alias("token"), "node", "room"), "narrow"))
+        hot = below.where("hot").drop("hot")
         forget(parts, seen, lists)
         used += [placed, below]
         if hot.isEmpty():
@@ -332,9 +335,10 @@ def shared_lists(docs: DataFrame, nodes: DataFrame, roots: DataFrame, heavy: Dat
     busy = cells.join(F.broadcast(heavy), "token")
     light = cells.join(F.broadcast(heavy), "token", "left_anti").repartition("token")  # one exchange for the two uses
     level = F.floor(F.log(F.col("n")) / math.log(SPREAD)).cast("int").alias("level")
-    light = stored(light.join(several(light), "token").select("token", "node", "root", level, (F.col("n") - F.col("at")).alias("room")), "cells")
-    wide = light.groupBy("token", "root", "level").agg(F.count(F.lit(1)).alias("rows")).groupBy("token").agg(F.count(F.lit(1)).alias("groups")).where(f"groups > {HOT}")
-    wide = stored(wide.select("token"), "wide")
+    light = stored(light.join(several(light), "token").select("token", "node", "root", "n", level, (F.col("n") - F.col("at")).alias("room")), "cells")
+    wide = light.groupBy("token", "root", "level").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("shingles"))
+    wide = wide.groupBy("token").agg(F.count(F.lit(1)).alias("groups"), F.sum("rows").alias("rows"), F.sum("shingles").alias("shingles"))
+    wide = stored(wide.where(f"groups > {HOT} and groups * rows * {ROOM} > shingles").select("token"), "wide")
     hot = light.join(wide, "token").select("node").unionAll(busy.join(F.broadcast(several(busy)), "token").select("node")).distinct()
     hot = stored(nodes.select("node", "doc_id", "n").join(hot, "node").join(roots, "node", "left").select("node", "doc_id", "n", root), "hot")
     lists = light.join(wide, "token", "left_anti").select("token", "node", "room")
