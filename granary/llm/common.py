@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -32,22 +33,32 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where the cluster names none (tests)."""
+    """The folder that all executors share, as the cluster names it; a temporary one only where driver and executors are one process."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="granary-"))
     return sc.getCheckpointDir()
 
 
+#: Paths of the tables that ``stored`` wrote and nothing deleted yet, each with its session.
+_kept: dict[str, SparkSession] = {}
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again: cuts lineage, survives lost executors."""
+    """``df`` written as Parquet to the shared folder and read again: cuts lineage, survives lost executors.
+
+    What reads the table decides when it can go (``forget``); what is left goes with the driver.
+    """
     spark = df.sparkSession
     small_batches(spark)
     path = f"{shared_dir(spark)}/granary-{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _kept[path] = spark
     again = spark.read.schema(df.schema).parquet(path)
     again._granary_path = path
     return again
@@ -58,9 +69,34 @@ def forget(*tables: DataFrame) -> None:
     for df in tables:
         path = getattr(df, "_granary_path", None)
         if path:
-            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(conf).delete(at, True)
+            _delete(path)
+
+
+def _delete(path: str) -> None:
+    spark = _kept.pop(path, None)
+    if spark is not None:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def kept() -> set[str]:
+    """The tables there are now, for ``forget_since``."""
+    return set(_kept)
+
+
+def forget_since(before: set[str], *tables: DataFrame) -> None:
+    """Deletes what was stored since then, but for ``tables``."""
+    for path in set(_kept) - before - {x._granary_path for x in tables}:
+        _delete(path)
+
+
+@atexit.register
+def _forget_all() -> None:
+    for path in list(_kept):
+        try:
+            _delete(path)
+        except Exception:  # the session is gone
+            return
 
 
 def id_and_text(docs: DataFrame) -> DataFrame:
@@ -74,14 +110,19 @@ def texts_of(column: pa.Array) -> list[bytes]:
 
 def steps(texts: list[bytes], most: int = STEP_BYTES) -> Iterator[tuple[int, int]]:
     """Index ranges of consecutive texts of at most ``most`` bytes together, or a single text."""
+    return steps_of([len(t) for t in texts], most)
+
+
+def steps_of(sizes: list[int], most: int = STEP_BYTES) -> Iterator[tuple[int, int]]:
+    """The same for texts of known sizes."""
     at = size = 0
-    for i, t in enumerate(texts):
-        if i > at and size + len(t) > most:
+    for i, n in enumerate(sizes):
+        if i > at and size + n > most:
             yield at, i
             at, size = i, 0
-        size += len(t)
-    if at < len(texts):
-        yield at, len(texts)
+        size += n
+    if at < len(sizes):
+        yield at, len(sizes)
 
 
 def lists(values: np.ndarray, lengths: np.ndarray) -> pa.Array:

@@ -1,18 +1,17 @@
-"""Benchmark decontamination: positional inverted index over shards of the training text.
-
-Each shard (a run of whole texts of a few MB) has the postings of its own tokens: for every
-benchmark term the ascending positions at which it occurs. They are made where the shard is
-read, serve all phrases of a benchmark block and are not written anywhere. A phrase is looked up from its
-rarest term: the term's positions less its offset in the phrase are the candidate starts, and
-they are intersected with the offset-adjusted lists of the next rarest terms until all terms
-have agreed. The index lives where the shard is read, so no text is shuffled and a lost
-executor only costs its shards. The benchmark goes to the shards in blocks of bounded size.
+"""Benchmark decontamination by a stored positional index of the training texts.
+
+The index has a row for each text: its terms, how often each occurs, and the positions of all
+occurrences, term after term, ascending. It is written once to the shared folder and serves every
+block of the benchmark; rows of texts lie where the texts were read, so nothing is shuffled
+and a lost executor only costs its part. To search, the rows of a few MB of texts make a shard's
+postings for the benchmark's terms: a phrase's occurrences begin at the positions of its
+rarest term, less its offset, intersected with the offset-adjusted lists of the other terms
+from the rarest on; a proximity match is looked for around the occurrences of an item's rarest term.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections import defaultdict
+import uuid
 from collections.abc import Iterable, Iterator
 from itertools import repeat
 
@@ -21,11 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import id_and_text, steps, table, texts_of
+from granary.llm.common import steps, steps_of, stored, table, texts_of
 
 WINDOW = 10
+#: An item is near a place if all its words lie in a span of so many times its words, and one.
+SPAN = 2
 #: Benchmark text that one broadcast block holds; a longer benchmark takes more blocks, one after the other.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 8 << 20
 
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
@@ -35,125 +36,230 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(_WORDS).split()
 
 
+def offsets(counts: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.zeros(1, np.int64), np.cumsum(counts, dtype=np.int64)])
+
+
+def spread(at: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For slices of ``counts`` entries from ``at`` on: the slice's number and the index of every entry."""
+    of = np.repeat(np.arange(len(counts)), counts)
+    return of, np.arange(len(of)) - np.repeat(offsets(counts)[:-1], counts) + at[of]
+
+
 class Phrases:
-    """All windows of a block of items: ``width`` consecutive words, or the whole of a shorter item."""
+    """The windows of a block of items (``width`` consecutive words, or the whole of a shorter item) and the items' words, as arrays.
+
+    A MB of benchmark text takes about ten times its size: ten term numbers of four bytes for
+    each of its different windows, and the vocabulary.
+    """
 
     def __init__(self, items: Iterable[tuple[str | None, bytes]], width: int = WINDOW):
         self.vocabulary: dict[bytes, int] = {}
-        self.items: list[str] = []
-        number: dict[str, int] = {}
-        owners: dict[tuple[int, ...], set[int]] = defaultdict(set)
+        names: dict[str | None, int] = {}
+        streams, lengths, owner = [], [], []
         for item, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words_of(text)]
-            for at in range(max(1, len(ids) - width + 1) if ids else 0):
-                owner = owners[tuple(ids[at : at + width])]
-                if item is not None:
-                    if item not in number:
-                        number[item] = len(self.items)
-                        self.items.append(item)
-                    owner.add(number[item])
-        by_length: dict[int, list[tuple[int, ...]]] = defaultdict(list)
-        for window in owners:
-            by_length[len(window)].append(window)
-        #: (windows as a matrix of terms, owners' start in ``flat``, owners' count) of each length
-        self.groups = []
-        flat: list[int] = []
-        for windows in by_length.values():
-            counts = [len(owners[w]) for w in windows]
-            starts = len(flat) + np.cumsum([0, *counts[:-1]])
-            for w in windows:
-                flat += sorted(owners[w])
-            self.groups.append((np.array(windows, np.int64), starts, np.array(counts, np.int64)))
-        self.flat = np.array(flat, np.int64)
+            words = words_of(text)
+            if words:
+                streams.append(np.fromiter((self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words), np.int32, len(words)))
+                lengths.append(len(words))
+                owner.append(-1 if item is None else names.setdefault(item, len(names)))
+        #: items by number; rows of the same id are one item
+        self.items = list(names)
+        stream = np.concatenate([np.empty(0, np.int32), *streams])
+        n_words, owners = np.array(lengths, np.int64), np.array(owner, np.int64)
+        begin = offsets(n_words)[:-1]
+        #: (windows as a matrix of terms, start and number of each one's items in ``flat``) by length
+        self.groups: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        flat: list[np.ndarray] = [np.empty(0, np.int64)]
+        size = 0
+        for length in np.unique(np.minimum(n_words, width)).tolist():
+            of, start = spread(begin, np.where(np.minimum(n_words, width) == length, n_words - length + 1, 0))
+            first, which = self._distinct(stream, start, length)
+            pairs = np.unique(which * (len(self.items) + 1) + owners[of] + 1)
+            window, item = pairs // (len(self.items) + 1), pairs % (len(self.items) + 1) - 1
+            named = item >= 0
+            counts = np.bincount(window[named], minlength=len(first))
+            self.groups.append((stream[start[first][:, None] + np.arange(length)], size + offsets(counts)[:-1], counts))
+            flat.append(item[named])
+            size += int(named.sum())
+        self.flat = np.concatenate(flat)
+        #: each named row's different terms, those rarest in the benchmark first, and the span they may take
+        often = np.bincount(stream, minlength=len(self.vocabulary))
+        row = np.repeat(np.arange(len(n_words)), n_words)
+        pairs = np.unique(row * max(1, len(self.vocabulary)) + stream)
+        row, term = pairs // max(1, len(self.vocabulary)), pairs % max(1, len(self.vocabulary))
+        order = np.lexsort((term, often[term], row))
+        order = order[owners[row[order]] >= 0]
+        self.terms, counts = term[order], np.bincount(row[order], minlength=len(n_words))
+        held = counts > 0
+        self.near_at, self.near_n = (offsets(counts)[:-1])[held], counts[held]
+        self.near_item, self.near_span = owners[held], SPAN * n_words[held]
+
+    @staticmethod
+    def _distinct(stream: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Index of the first of each different window, and each window's number among these."""
+        key = np.zeros(len(start), np.uint64)
+        for j in range(length):
+            key = (key ^ stream[start + j].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            key ^= key >> np.uint64(29)
+        _, first, which = np.unique(key, return_index=True, return_inverse=True)
+        if all(np.array_equal(stream[start + j], stream[start[first[which]] + j]) for j in range(length)):
+            return first, which
+        # two windows share a hash: by the windows themselves
+        _, first, which = np.unique(stream[start[:, None] + np.arange(length)], axis=0, return_index=True, return_inverse=True)
+        return first, which.reshape(-1)
 
 
 class Shard:
-    """Positional index of some texts: ``stream`` has the term at each position (-1: none of the benchmark's)."""
-
-    def __init__(self, texts: list[bytes], vocabulary: dict[bytes, int]):
-        ids: list[int] = []
-        self.begin, self.n_words = [], []
-        for text in texts:
-            words = words_of(text)
-            self.begin.append(len(ids))
-            self.n_words.append(len(words))
-            ids.extend(map(vocabulary.get, words, repeat(-1)))
-            ids.append(-1)  # no phrase crosses from one text into the next
-        self.stream = np.array(ids, np.int64)
-        self.size = len(ids)
-        at = np.flatnonzero(self.stream >= 0)
-        at = at[np.argsort(self.stream[at], kind="stable")]
-        #: postings: positions by term, ascending; ``key`` orders (term, position) pairs
-        self.positions = at
-        self.key = self.stream[at] * self.size + at
-        self.first = np.searchsorted(self.stream[at], np.arange(len(vocabulary) + 1))
+    """Postings of some texts for a benchmark's terms: positions by term, ascending, all texts in one row of positions."""
+
+    def __init__(self, terms: np.ndarray, positions: np.ndarray, n_words: np.ndarray, n_terms: int):
+        """``terms`` has the term of each position, -1 for none of the benchmark's; texts lie one position apart, so no phrase crosses."""
+        self.begin, self.end = offsets(n_words + 1)[:-1], offsets(n_words + 1)[1:] - 1
+        self.size = int((n_words + 1).sum())
+        held = terms >= 0
+        key = np.sort(terms[held] * self.size + positions[held])
+        #: (term, position) pairs in order
+        self.key, self.positions = key, key % max(1, self.size)
+        self.first = np.searchsorted(key, np.arange(n_terms + 1) * self.size)
+        self.counts = np.diff(self.first)
 
     def starts(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(window, start) of every occurrence of every window."""
-        counts = np.diff(self.first)[windows]
-        alive = np.flatnonzero(counts.min(axis=1) > 0)
-        windows, counts = windows[alive], counts[alive]
-        by_rarity = np.argsort(counts, axis=1, kind="stable")
-        rows = np.arange(len(alive))
-        rarest = windows[rows, by_rarity[:, 0]]
-        n = np.diff(self.first)[rarest]
-        which = np.repeat(rows, n)
-        within = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-        start = self.positions[self.first[rarest][which] + within] - by_rarity[which, 0]
+        alive = np.arange(len(windows))
+        for j in range(windows.shape[1]):
+            alive = alive[self.counts[windows[alive, j]] > 0]
+        windows = windows[alive].astype(np.int64)
+        by_rarity = np.argsort(self.counts[windows], axis=1, kind="stable")
+        rarest = windows[np.arange(len(alive)), by_rarity[:, 0]] if len(alive) else np.empty(0, np.int64)
+        which, at = spread(self.first[rarest], self.counts[rarest])
+        start = self.positions[at] - by_rarity[which, 0]
         keep = start >= 0
         which, start = which[keep], start[keep]
         for r in range(1, windows.shape[1]):
             if not len(which):
                 break
             offset = by_rarity[which, r]
-            want = windows[which, offset] * self.size + start + offset
-            keep = (start + offset < self.size) & (self.key[np.minimum(np.searchsorted(self.key, want), len(self.key) - 1)] == want)
+            keep = (start + offset < self.size) & self.holds(windows[which, offset], start + offset, start + offset)
             which, start = which[keep], start[keep]
         return alive[which], start
 
-    def near(self, terms: list[int], slop: int) -> list[int]:
-        """The texts in which all terms occur in one span whose first and last word are at most ``slop`` words apart.
-
-        Every occurrence of any of the terms may end a span; those stay that have each term,
-        from the rarest on, at most ``slop`` words before them (or there) in the same text.
-        """
-        lists = sorted((self.positions[self.first[t] : self.first[t + 1]] for t in set(terms)), key=len)
-        if not len(lists[0]):
-            return []
-        end = np.concatenate(lists)
-        for own in lists:
-            last = own[np.maximum(np.searchsorted(own, end, side="right") - 1, 0)]
-            end = end[(last <= end) & (last >= end - slop) & (self.text_at(last) == self.text_at(end))]
-        return np.unique(self.text_at(end)).tolist()
+    def holds(self, term: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Whether each term has a position between ``low`` and ``high``, both included."""
+        at = np.searchsorted(self.key, term * self.size + low)
+        inside = at < len(self.key)
+        return inside & (self.key[np.where(inside, at, 0)] <= term * self.size + high) if len(self.key) else inside
 
     def text_at(self, positions: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.begin, positions, side="right") - 1
 
-    def hits(self, phrases: Phrases) -> tuple[list[int], list[tuple[list[int], list[int]]], list[list[int]]]:
-        """Per text: words inside any occurrence, the covered ranges (starts, ends; end exclusive), the items' numbers."""
+    def near(self, phrases: Phrases) -> tuple[np.ndarray, np.ndarray]:
+        """(text, item number) of all proximity matches, in order.
+
+        Around each occurrence of a row's rarest term, its other terms are looked for one after
+        the other within the row's span and the text; the few that have all are swept.
+        """
+        if not len(phrases.near_at) or not len(self.key):
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        n = self.counts[phrases.terms]
+        least = np.minimum.reduceat(n, phrases.near_at)
+        rows = np.flatnonzero(least > 0)
+        # the rarest term of each row here
+        is_least = np.flatnonzero(n == np.repeat(least, phrases.near_n))
+        rarest = phrases.terms[is_least[np.searchsorted(is_least, phrases.near_at[rows])]]
+        which, at = spread(self.first[rarest], self.counts[rarest])
+        row, place = rows[which], self.positions[at]
+        text = self.text_at(place)
+        low, high = np.maximum(self.begin[text], place - phrases.near_span[row]), np.minimum(self.end[text] - 1, place + phrases.near_span[row])
+        for r in range(int(phrases.near_n.max())):
+            last = phrases.near_n[row] <= r
+            keep = last | self.holds(phrases.terms[np.where(last, 0, phrases.near_at[row] + r)], low, high)
+            row, text, low, high = row[keep], text[keep], low[keep], high[keep]
+            if not len(row) or bool(last.all()):
+                break
+        pairs = np.unique(text * len(phrases.near_at) + row)
+        found = [(t, phrases.near_item[x]) for t, x in zip((pairs // len(phrases.near_at)).tolist(), (pairs % len(phrases.near_at)).tolist(), strict=True) if self.swept(phrases, x, t)]
+        found = np.unique(np.array(found, np.int64).reshape(-1, 2), axis=0)
+        return found[:, 0], found[:, 1]
+
+    def swept(self, phrases: Phrases, row: int, text: int) -> bool:
+        """Whether one span holds all terms of a row: some occurrence of a term has all others in the span that ends there."""
+        terms = phrases.terms[phrases.near_at[row] : phrases.near_at[row] + phrases.near_n[row]]
+        ends = [self.positions[slice(*np.searchsorted(self.key, t * self.size + np.array([self.begin[text], self.end[text]])))] for t in terms]
+        end = np.concatenate(ends)
+        for t in terms:
+            end = end[self.holds(np.full(len(end), t), np.maximum(self.begin[text], end - phrases.near_span[row]), end)]
+        return len(end) > 0
+
+    def hits(self, phrases: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Covered ranges (starts, ends; end exclusive) in all texts' positions, and (text, item number) of the items found, in order."""
         cover = np.zeros(self.size + 1, np.int64)
-        pairs = []
-        begin = np.array(self.begin)
+        pairs = [np.empty(0, np.int64)]
         for windows, owner_at, owner_n in phrases.groups:
             which, start = self.starts(windows)
             np.add.at(cover, start, 1)
             np.add.at(cover, start + windows.shape[1], -1)
-            seen = np.unique((np.searchsorted(begin, start, side="right") - 1) * len(windows) + which)
+            seen = np.unique(self.text_at(start) * len(windows) + which)
             text, which = seen // len(windows), seen % len(windows)
-            n = owner_n[which]
-            within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            pairs.append(np.repeat(text, n) * max(1, len(phrases.items)) + phrases.flat[np.repeat(owner_at[which], n) + within])
-        inside = np.cumsum(cover[:-1]) > 0
-        edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))
-        ranges: list[tuple[list[int], list[int]]] = [([], []) for _ in self.begin]
-        for a, b in zip(edge[0::2].tolist(), edge[1::2].tolist(), strict=True):
-            of = int(np.searchsorted(begin, a, side="right")) - 1
-            ranges[of][0].append(a - self.begin[of])
-            ranges[of][1].append(b - self.begin[of])
-        items: list[list[int]] = [[] for _ in self.begin]
-        for x in np.unique(np.concatenate([np.empty(0, np.int64), *pairs])).tolist():
-            items[x // len(phrases.items)].append(x % len(phrases.items))
-        return [sum(b - a for a, b in zip(*r, strict=True)) for r in ranges], ranges, items
+            of, at = spread(owner_at[which], owner_n[which])
+            pairs.append(text[of] * max(1, len(phrases.items)) + phrases.flat[at])
+        edge = np.flatnonzero(np.diff(np.cumsum(cover[:-1]) > 0, prepend=False, append=False))
+        pairs = np.unique(np.concatenate(pairs))
+        return edge[0::2], edge[1::2], pairs // max(1, len(phrases.items)), pairs % max(1, len(phrases.items))
+
+
+#: The index's own columns, beside those of the table that is indexed.
+INDEX = {"_n_words": "long", "_terms": "array<string>", "_counts": "array<int>", "_positions": "array<int>"}
+
+
+def lists_of(values: pa.Array, counts: list[int] | np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(offsets(np.array(counts, np.int64)).astype(np.int32)), values)
+
+
+def posted(texts: list[bytes]) -> list[pa.Array]:
+    """The index's columns of some texts."""
+    n_words, n_terms, terms, counts, positions = [], [], [], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for text in texts:
+        words = words_of(text)
+        number = {w: i for i, w in enumerate(dict.fromkeys(words))}
+        ids = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+        n_words.append(len(words))
+        n_terms.append(len(number))
+        terms += number
+        counts.append(np.bincount(ids, minlength=len(number)) if len(number) else ids)
+        positions.append(np.argsort(ids, kind="stable"))
+    return [
+        pa.array(n_words, pa.int64()),
+        lists_of(pa.array(terms, pa.binary()).cast(pa.string()), n_terms),
+        lists_of(pa.array(np.concatenate(counts), pa.int32()), n_terms),
+        lists_of(pa.array(np.concatenate(positions), pa.int32()), n_words),
+    ]
+
+
+def index(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """The positional index of the whole texts: a stored table of the columns ``keep`` and, for each row, the postings of its text (INDEX)."""
+    rows = docs.select(*keep, F.coalesce(F.col("text"), F.lit("")).alias("_text"))
+    schema = ", ".join([*(f"`{x.name}` {x.dataType.simpleString()}" for x in rows.schema.fields[:-1]), *(f"{k} {v}" for k, v in INDEX.items())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = texts_of(batch.column(len(keep)))
+            for a, b in steps(texts):
+                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[:-1]), *posted(texts[a:b])], [*keep, *INDEX])
+
+    return stored(rows.mapInArrow(run, schema), "postings")
+
+
+def shards(batch: pa.RecordBatch, at: int, phrases: Phrases) -> Iterator[tuple[int, int, Shard]]:
+    """Ranges of a batch's rows (of a few MB, or one) with their shard; the index's columns begin at column ``at``."""
+    n_words, terms, counts, positions = batch.columns[at : at + 4]
+    sizes = n_words.to_numpy()
+    for a, b in steps_of([6 * n for n in sizes.tolist()]):
+        own = [x.slice(a, b - a).flatten() for x in (terms, counts, positions)]
+        ids = np.fromiter(map(phrases.vocabulary.get, own[0].cast(pa.binary()).to_pylist(), repeat(-1)), np.int64, len(own[0]))
+        words = sizes[a:b]
+        place = own[2].to_numpy(zero_copy_only=False).astype(np.int64) + np.repeat(offsets(words + 1)[:-1], words)
+        yield a, b, Shard(np.repeat(ids, own[1].to_numpy(zero_copy_only=False)), place, words, len(phrases.vocabulary))
 
 
 def blocks(items: DataFrame) -> Iterator[list[tuple[str | None, bytes]]]:
@@ -169,47 +275,56 @@ def blocks(items: DataFrame) -> Iterator[list[tuple[str | None, bytes]]]:
     yield block
 
 
-_loaded: dict[int, Phrases] = {}
+_loaded: dict[str, Phrases] = {}
 
 
 def _phrases(shared, width: int) -> Phrases:
     """One for each Python worker and block."""
-    if shared.value[0] not in _loaded:
+    name, block = shared.value
+    if name not in _loaded:
         _loaded.clear()
-        _loaded[shared.value[0]] = Phrases(shared.value[1], width)
-    return _loaded[shared.value[0]]
+        _loaded[name] = Phrases(block, width)
+    return _loaded[name]
 
 
 def find_phrases(docs: DataFrame, items: DataFrame, width: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, the word ranges hit (starts, ends; end exclusive) and the items found, of every whole text.
+    """doc_id, n_words, the word ranges hit (starts, ends; end exclusive), the items found there, and the items near, of every whole text.
 
     Items are windows of ``width`` words; an item of fewer words, but not none, is one window.
-    One row for each row of ``docs``. Null and empty texts, and items without words, have none.
-    Occurrences of an item whose id is null are hit, but name no item; items of the same id
-    are one. Repeated rows stay; other columns are ignored; empty tables give no rows or no hits.
+    An item is near if all its words (each once, in any order) lie in one span of the text
+    whose last word is at most SPAN times the item's words behind its first one; that
+    depends on item and text alone. One row for each row of ``docs``. Null and empty texts, and items
+    without words, have none. Occurrences of an item whose id is null are hit, but name no
+    item; items of the same id are one (near if any of its rows is). Repeated rows stay; other
+    columns are ignored; empty tables give no rows or no hits.
     """
     sc = docs.sparkSession.sparkContext
-    schema = "doc_id long, text string, n_words long, starts array<long>, ends array<long>, items array<string>"
-    out = id_and_text(docs).select("doc_id", "text", F.lit(0).cast("long").alias("n_words"), *(F.array().cast("array<long>").alias(x) for x in ("starts", "ends")), F.array().cast("array<string>").alias("items"))
-    for number, block in enumerate(blocks(items)):
-        shared = sc.broadcast((f"{id(docs)}-{number}-{hashlib.sha256(repr(block).encode()).hexdigest()}", block))
+    lists = {"starts": "array<long>", "ends": "array<long>", "items": "array<string>", "near": "array<string>"}
+    schema = ", ".join(["doc_id long", *(f"{k} {v}" for k, v in (INDEX | lists).items())])
+    postings = index(docs.withColumn("doc_id", F.col("doc_id").cast("long")), ["doc_id"])
+    out = postings.select("*", *(F.array().cast(v).alias(k) for k, v in lists.items()))
+    for block in blocks(items):
+        shared = sc.broadcast((uuid.uuid4().hex, block))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             phrases = _phrases(shared, width)
             for batch in batches:
-                texts = texts_of(batch.column(1))
-                n_words, starts, ends, found = [], batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(5).to_pylist()
-                for a, b in steps(texts):
-                    shard = Shard(texts[a:b], phrases.vocabulary)
-                    _, ranges, items = shard.hits(phrases)
-                    n_words += shard.n_words
-                    for i, (r, numbers) in enumerate(zip(ranges, items, strict=True), a):
-                        starts[i], ends[i] = merged(starts[i] + r[0], ends[i] + r[1])
-                        found[i] = sorted({*found[i], *(phrases.items[x] for x in numbers)})
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n_words, pa.int64()), pa.array(starts, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64())), pa.array(found, pa.list_(pa.string()))], ["doc_id", "text", "n_words", "starts", "ends", "items"])
+                starts, ends, found, near = (c.to_pylist() for c in batch.columns[5:])
+                for a, _, shard in shards(batch, 1, phrases):
+                    low, high, text, item = shard.hits(phrases)
+                    of = shard.text_at(low)
+                    for t in np.unique(of).tolist():
+                        own = of == t
+                        starts[a + t], ends[a + t] = merged(starts[a + t] + (low[own] - shard.begin[t]).tolist(), ends[a + t] + (high[own] - shard.begin[t]).tolist())
+                    for t, x in zip(text.tolist(), item.tolist(), strict=True):
+                        found[a + t].append(phrases.items[x])
+                    for t, x in zip(*(y.tolist() for y in shard.near(phrases)), strict=True):
+                        near[a + t].append(phrases.items[x])
+                made = [pa.array(starts, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64())), *(pa.array([sorted(set(x)) for x in y], pa.list_(pa.string())) for y in (found, near))]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:5], *made], ["doc_id", *INDEX, *lists])
 
         out = out.mapInArrow(run, schema)
-    return out.drop("text")
+    return out.select("doc_id", F.col("_n_words").alias("n_words"), *lists)
 
 
 def merged(starts: list[int], ends: list[int]) -> tuple[list[int], list[int]]:
@@ -225,47 +340,23 @@ def merged(starts: list[int], ends: list[int]) -> tuple[list[int], list[int]]:
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, width: int = WINDOW) -> DataFrame:
-    """The rows of ``docs``, with all their columns, in which no window of any item occurs. Null texts stay."""
-    at = docs.columns.index("text")
-    for number, block in enumerate(blocks(items)):
-        shared = docs.sparkSession.sparkContext.broadcast((f"{id(docs)}-{number}-{hashlib.sha256(repr(block).encode()).hexdigest()}", block))
+    """The rows of ``docs``, with all their columns, in which no window of any item occurs; null texts stay. The rows are kept with their postings while the benchmark is searched."""
+    names = docs.columns
+    postings = index(docs, names)
+    out = postings
+    for block in blocks(items):
+        shared = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, block))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             phrases = _phrases(shared, width)
             for batch in batches:
-                texts = [t or b"" for t in texts_of(batch.column(at))]
-                clean: list[bool] = []
-                for a, b in steps(texts):
-                    clean += [n == 0 for n in Shard(texts[a:b], phrases.vocabulary).hits(phrases)[0]]
-                yield batch.filter(pa.array(clean, pa.bool_()))
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
-
-
-def near_matches(docs: DataFrame, items: DataFrame, slop: int) -> DataFrame:
-    """item_id and doc_id of the texts in which all words of an item occur in one span, its first and last word at most ``slop`` words apart.
-
-    This depends on item and text alone, not on the texts beside it. The words may come in any
-    order; a word that an item has twice is needed once. One row for each pair of item and row of ``docs`` that match; items without words match nothing.
-    """
-    out = None
-    for number, block in enumerate(blocks(items)):
-        shared = docs.sparkSession.sparkContext.broadcast((number, block))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            wanted = [(item, words_of(text)) for item, text in shared.value[1]]
-            vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for _, words in wanted for w in words))}
-            for batch in batches:
-                texts, ids = texts_of(batch.column(1)), batch.column(0).to_pylist()
-                for a, b in steps(texts):
-                    shard = Shard(texts[a:b], vocabulary)
-                    pairs = [(item, ids[a + i]) for item, words in wanted if words for i in shard.near([vocabulary[w] for w in words], slop)]
-                    yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.string()), pa.array([x for _, x in pairs], pa.int64())], ["item_id", "doc_id"])
+                clean = np.ones(batch.num_rows, bool)
+                for a, _, shard in shards(batch, len(names), phrases):
+                    clean[a + np.unique(shard.text_at(shard.hits(phrases)[0]))] = False
+                yield batch.filter(pa.array(clean))
 
-        found = id_and_text(docs).mapInArrow(run, "item_id string, doc_id long")
-        out = found if out is None else out.unionAll(found)
-    return out
+        out = out.mapInArrow(run, postings.schema)
+    return out.select(*names)
 
 
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -278,6 +369,8 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (n_hit > 0).alias("contaminated"),
+        F.size("near").cast("long").alias("n_near"),
+        F.sha2(F.array_join("near", ","), 256).alias("near_sha256"),
     )
 
 
@@ -300,8 +393,21 @@ m AS (SELECT dw.r, dw.n, dw.p, iw.item_id FROM dw JOIN iw ON dw.n = iw.n AND dw.
 hit AS (SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(range(p, p + n)) AS q FROM m) GROUP BY r),
 found AS (
   SELECT r, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS s
-  FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS x FROM m WHERE item_id IS NOT NULL) GROUP BY r)
+  FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS x FROM m WHERE item_id IS NOT NULL) GROUP BY r),
+it AS (SELECT row_number() OVER () AS k, item_id, {SPAN} * len(w) AS span, len(list_distinct(w)) AS n_terms, list_distinct(w) AS terms FROM i WHERE len(w) > 0 AND item_id IS NOT NULL),
+term AS (SELECT k, unnest(terms) AS t FROM it),
+doc_term AS (SELECT r, unnest(list_distinct(w)) AS t FROM d),
+whole AS (SELECT r, k FROM doc_term JOIN term USING (t) JOIN it USING (k) GROUP BY r, k, n_terms HAVING count(*) = n_terms),
+place AS (SELECT r, w[p] AS t, p FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS p FROM d WHERE r IN (SELECT r FROM whole))),
+held AS (SELECT r, k, t, p, span, n_terms, lead(p) OVER (PARTITION BY r, k, t ORDER BY p) AS later FROM whole JOIN it USING (k) JOIN term USING (k) JOIN place USING (r, t)),
+near_at AS (
+  SELECT a.r, a.k FROM held a JOIN held b ON a.r = b.r AND a.k = b.k AND b.p BETWEEN a.p - a.span AND a.p AND (b.later IS NULL OR b.later > a.p)
+  GROUP BY a.r, a.k, a.p, a.n_terms HAVING count(*) = a.n_terms),
+near AS (
+  SELECT r, count(*) AS n_near, string_agg(x, ',' ORDER BY x) AS s
+  FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS x FROM near_at JOIN it USING (k)) GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
-       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN hit USING (r) LEFT JOIN found USING (r)
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(found.s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+       CAST(coalesce(n_near, 0) AS BIGINT) AS n_near, sha256(coalesce(near.s, '')) AS near_sha256
+FROM d LEFT JOIN hit USING (r) LEFT JOIN found USING (r) LEFT JOIN near USING (r)
 """
