@@ -18,7 +18,6 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: A rule votes bad where its measure is below the first or above the fourth bound, good between the
 #: second and the third, and abstains elsewhere.
 RULES = {
-    "words": (50, 80, math.inf, math.inf),
     "symbol_share": (0, 0, 0.02, 0.1),
     "repeat_share": (0, 0, 0.1, 0.3),
     "dup_line_share": (0, 0, 0.05, 0.3),
@@ -27,9 +26,11 @@ RULES = {
     "exclaim_share": (0, 0, 0.05, 0.2),
     "stop_share": (0.005, 0.02, 0.5, 0.9),
     "distinct_share": (0.15, 0.3, 1.0, 1.0),
-    "bar_share": (0, 0, 0.01, 0.1),
-    "mark_share": (0, 0, 0.02, 0.2),
 }
+#: What is known before any vote: the share of good texts, and the share of good votes on good texts (a rule is written so
+#: that it seldom finds fault with them), each with its weight as a part of the number of texts. Where only one or two
+#: rules tell bad texts apart, the votes alone don't settle the classes.
+SHARE_PRIOR, PRECISION_PRIOR = (0.9, 1.0), (0.99, 0.3)
 
 
 def without(text: str, letters: str) -> Column:
@@ -56,8 +57,6 @@ def measured(docs: DataFrame) -> DataFrame:
         without("text", UPPER).cast("long").alias("n_upper"),
         without("text", "!").cast("long").alias("n_exclaim"),
         without("text", ".").cast("long").alias("n_stops"),
-        without("text", "|").cast("long").alias("n_bars"),
-        without("text", "#*$%&").cast("long").alias("n_marks"),
         F.size(F.array_distinct("words")).cast("long").alias("n_distinct"),
     )
     windows = F.when(F.col("n_words") > 3, F.expr("transform(sequence(0, size(words) - 3), i -> xxhash64(words[i], words[i + 1], words[i + 2]))"))
@@ -75,7 +74,6 @@ def votes(rows: DataFrame) -> DataFrame:
     """``rows`` with a column for each rule: 1 good, 0 bad, null abstains."""
     words = F.when(F.col("n_words") > 0, F.col("n_words"))
     measure = {
-        "words": F.col("n_words"),
         "symbol_share": F.col("n_symbols") / words,
         "repeat_share": F.col("n_repeat_words") / words,
         "dup_line_share": F.col("n_dup_lines") / F.when(F.col("n_lines") > 0, F.col("n_lines")),
@@ -83,8 +81,6 @@ def votes(rows: DataFrame) -> DataFrame:
         "upper_share": F.col("n_upper") / F.when(F.col("word_chars") > 0, F.col("word_chars")),
         "exclaim_share": F.col("n_exclaim") / words,
         "stop_share": F.col("n_stops") / words,
-        "bar_share": F.col("n_bars") / words,
-        "mark_share": F.col("n_marks") / F.when(F.col("word_chars") > 0, F.col("word_chars")),
         # short texts say little about repetition, long ones repeat words anyway
         "distinct_share": F.when(F.col("n_words") >= LEAST_WORDS, F.col("n_distinct") / F.least(words, F.lit(2000))),
     }
@@ -95,23 +91,26 @@ def votes(rows: DataFrame) -> DataFrame:
     return rows.withColumns(out)
 
 
-def expectation_maximisation(patterns: list[tuple[tuple[int | None, ...], int]], rounds: int = 100) -> tuple[float, list[tuple[float, float]]]:
+def expectation_maximisation(patterns: list[tuple[tuple[int | None, ...], int]], rounds: int = 300, share_prior: tuple[float, float] = (0.5, 0.0), precision_prior: tuple[float, float] = (0.5, 0.0)) -> tuple[float, list[tuple[float, float]]]:
     """Share of good texts, and each rule's chance of a good vote on good texts and of a bad vote on bad ones.
 
     ``patterns`` are vote patterns with their numbers of texts; votes are taken as independent
     given the truth, an abstention as no vote. It starts with a text as bad that has any bad
-    vote, and ends when the chances no longer move.
+    vote, and ends when the chances no longer move. The priors (mean, weight as a part of the
+    number of texts) count as so many more texts and votes.
     """
+    mass = sum(n for _, n in patterns)
+    (likely, weight), (precise, trust) = share_prior, precision_prior
+    extra = mass * weight
     rules = len(patterns[0][0]) if patterns else len(RULES)
     bad_votes = [sum(v == 0 for v in p) for p, _ in patterns]
     good = [0.95 if not b else 0.1 for b in bad_votes]
     share, accuracies = 0.5, [(0.5, 0.5)] * rules
     for _ in range(rounds if patterns else 0):
-        mass = sum(n for _, n in patterns)
-        new_share = min(0.99, max(0.01, (sum(g * n for g, (_, n) in zip(good, patterns, strict=True)) + 1) / (mass + 2)))
+        new_share = min(0.99, max(0.01, (sum(g * n for g, (_, n) in zip(good, patterns, strict=True)) + extra * likely + 1) / (mass + extra + 2)))
         new = []
         for j in range(rules):
-            counts = [[1.0, 1.0], [1.0, 1.0]]  # by truth: (bad votes, good votes), smoothed
+            counts = [[1.0, 1.0], [1.0 + mass * trust * (1 - precise), 1.0 + mass * trust * precise]]  # by truth: (bad votes, good votes), smoothed
             for g, (p, n) in zip(good, patterns, strict=True):
                 if p[j] is not None:
                     counts[1][p[j]] += g * n
@@ -136,16 +135,18 @@ def log_odds(pattern: tuple[int | None, ...], share: float, accuracies: list[tup
 def judge(docs: DataFrame) -> DataFrame:
     """doc_id, counts, base_failed, kept and p_good (posterior probability of good quality) of every row.
 
-    Votes of the texts that no base rule fails are counted by pattern on the executors; the driver gets a row for each pattern, at
-    most 3 ^ (number of rules). A text is kept if no base rule fails and p_good is a half or
-    more. Null, empty and blank texts have no words and fail; repeated rows and null ids stay;
+    The vote patterns of all texts that no base rule fails, those whose verdict is open, are
+    counted on the executors; the driver gets a row for each pattern, at most 3 ^ (number of
+    rules). Texts that fail are bad in ways of their own (too short, all repetition), and would
+    become the model's bad class. No two rules measure the same characters, since votes count as
+    independent. A text is kept if no base rule fails and p_good is a half or more. Null, empty and blank texts have no words and fail; repeated rows and null ids stay;
     other columns are ignored; an empty table gives no rows.
     """
     rows = stored(votes(measured(docs)), "measured")
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEAT * F.col("n_words"))
     names = [f"v_{x}" for x in RULES]
     patterns = sorted(((tuple(r[x] for x in names), r["n"]) for r in rows.where(~failed).groupBy(*names).agg(F.count(F.lit(1)).alias("n")).collect()), key=str)
-    share, accuracies = expectation_maximisation(patterns)
+    share, accuracies = expectation_maximisation(patterns, share_prior=SHARE_PRIOR, precision_prior=PRECISION_PRIOR)
     odds = F.lit(math.log(share / (1 - share)))
     for name, (on_good, on_bad) in zip(names, accuracies, strict=True):
         odds = odds + F.when(F.col(name) == 1, math.log(on_good / (1 - on_bad))).when(F.col(name) == 0, math.log((1 - on_good) / on_bad)).otherwise(0.0)
