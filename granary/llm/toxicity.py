@@ -14,13 +14,8 @@ from pyspark.sql import functions as F
 from granary.llm.common import forget, stored, table
 from granary.llm.linear import Rows, logistic, sigmoid
 
-# Seed words of the chain's first categories. Only rows labelled toxic that hold one count
-# as examples, and the models learn their weights from all words. The last category is the label itself.
-SEED_WORDS = {
-    "insult": "idiot moron stupid clown loser fool dumb imbecile",
-    "contempt": "trash scum worthless pathetic disgusting garbage filth vermin",
-    "threat": "kill die hurt murder shoot burn stab destroy",
-}
+#: Kinds of toxicity that are told apart where the labels name none: the chain's first categories.
+KINDS = 3
 #: The labelled rows that are learned from: about so many, by a hash of doc_id.
 SAMPLE = 20_000
 FEATURES = 2_000
@@ -56,13 +51,55 @@ def sampled(labels: DataFrame, column: str, most: int) -> DataFrame:
     return one
 
 
-def labelled_texts(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
-    """label, fold (by the text) and text of the sampled documents, exact copies left out; a stored table."""
-    sample = F.broadcast(sampled(labels, "toxic", most))  # at most about ``most`` rows of two numbers
+def labelled_texts(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, categories: tuple[str, ...] = ()) -> DataFrame:
+    """label, fold (by the text), text and named categories (null: unknown) of the sampled documents, exact copies left out; a stored table."""
+    sample = sampled(labels, "toxic", most)
+    if categories:
+        named = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(*(F.max(F.col(c).cast("int")).alias(f"_c{i}") for i, c in enumerate(categories)))
+        sample = sample.join(named, "doc_id", "left")
+    names = [f"_c{i}" for i in range(len(categories))]
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).join(sample, "doc_id")
-    rows = rows.select("label", F.xxhash64("text").alias("h"), "text").dropDuplicates(["label", "h"])  # copies say nothing new
-    return stored(rows.select("label", F.pmod("h", F.lit(FOLDS)).cast("int").alias("fold"), "text"), "labelled")
+    # at most about ``most`` rows of a few numbers are broadcast
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).join(F.broadcast(sample), "doc_id")
+    rows = rows.select("label", F.xxhash64("text").alias("h"), "text", *names).dropDuplicates(["label", "h"])  # copies say nothing new
+    return stored(rows.select("label", F.pmod("h", F.lit(FOLDS)).cast("int").alias("fold"), "text", *names), "labelled")
+
+
+def kinds(x: Rows, toxic: np.ndarray, k: int = KINDS, rounds: int = 30) -> np.ndarray:
+    """For each row its kind of toxicity (0 to k - 1; -1: not toxic): spherical k-means over the toxic rows' features, from rows far from one another.
+
+    Features weigh by how few of the toxic rows have them, so kinds differ in their words, not
+    in what all of them share. Kinds are numbered by size; the same rows give the same kinds.
+    """
+    out = np.full(x.n, -1, np.int64)
+    at = np.flatnonzero(toxic > 0)
+    if not len(at) or not x.width:
+        return out
+    own = x.take(at)
+    held = own.back(np.ones(own.n))
+    weight = np.log((1.0 + own.n) / (1.0 + held))
+    norm = np.sqrt(np.maximum(own.dot(weight**2), 1e-12))
+    near = lambda centre: own.dot(centre * weight) / norm
+    unit = lambda part: (lambda c: c / max(1e-12, float(np.sqrt(c @ c))))(own.back(part / norm) * weight)
+    centres = [unit(np.ones(own.n))]
+    best = near(centres[0])
+    for _ in range(k):  # each time the row that is least like the centres so far
+        one = np.zeros(own.n)
+        one[int(np.argmin(best))] = 1.0
+        centres.append(unit(one))
+        best = np.maximum(best, near(centres[-1])) if len(centres) > 2 else near(centres[-1])
+    centres = centres[1:]
+    of = np.full(own.n, -1)
+    for _ in range(rounds):
+        new = np.argmax(np.stack([near(c) for c in centres]), axis=0)
+        if np.array_equal(new, of):
+            break
+        of = new
+        centres = [unit((of == j).astype(float)) for j in range(k)]
+    rank = np.empty(k, np.int64)
+    rank[np.argsort(-np.bincount(of, minlength=k), kind="stable")] = np.arange(k)
+    out[at] = rank[of]
+    return out
 
 
 def feature_counts(rows: DataFrame) -> DataFrame:
@@ -100,15 +137,18 @@ class Chain:
         return sigmoid(odds)
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, features: int = FEATURES) -> Chain:
+def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, features: int = FEATURES, categories: tuple[str, ...] = ()) -> Chain:
     """Learns the chain from a bounded sample of labelled rows (``most``).
 
+    The categories are columns of ``labels`` (0 or 1; null: not of it), in the order given, or
+    without any the kinds of toxicity that the toxic rows fall into by their words (``kinds``);
+    the label toxic is the last one, and decides.
     Words and stems are picked by their log-likelihood ratio with the label, over the whole
     sample, on the executors; the driver gets the picked ones of each sampled row. In
     training, a category's log-odds that feed the later ones are out of fold: made by models
     that didn't see the row. Without labelled rows every probability is next to 0.
     """
-    rows = labelled_texts(docs, labels, most)
+    rows = labelled_texts(docs, labels, most, categories)
     n, ones = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col("label") > 0).cast("int")), F.lit(0))).first()
     vocabulary: list[str] = []
     if 0 < ones < n:
@@ -117,25 +157,29 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, features: int =
         gain = part(F.col("a"), F.col("n") * share) + part(b, F.col("n") * (1 - share)) + part(ones - F.col("a"), (n - F.col("n")) * share) + part(n - ones - b, (n - F.col("n")) * (1 - share))
         picked = feature_counts(rows).where(f"n >= {LEAST_ROWS}").select("feature", gain.alias("gain")).where(F.col("gain") >= LEAST_GAIN).orderBy(F.desc("gain"), "feature").limit(features)
         vocabulary = [r["feature"] for r in picked.collect()]
-    seeds = {name: set(words.split()) for name, words in SEED_WORDS.items()}
     empty = docs.sparkSession.sparkContext.broadcast(Chain([], vocabulary, []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            held = [[not s.isdisjoint(features_in(t)) for t in texts] for s in seeds.values()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([sorted(empty.value.found(t)) for t in texts], pa.list_(pa.int32())), *map(pa.array, held)], ["label", "fold", "features", *seeds])
+            found = [sorted(empty.value.found(t)) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32())), *batch.columns[3:]], ["label", "fold", "features", *rows_named])
 
-    got = rows.mapInArrow(run, f"label int, fold int, features array<int>, {', '.join(f'{x} boolean' for x in seeds)}").toArrow().to_pylist()
+    rows_named = [f"_c{i}" for i in range(len(categories))]
+    got = rows.mapInArrow(run, ", ".join(["label int, fold int, features array<int>", *(f"{c} int" for c in rows_named)])).toArrow().to_pylist()
     forget(rows)
-    got.sort(key=lambda r: (r["fold"], r["label"], r["features"]))
+    got.sort(key=lambda r: (r["fold"], r["label"], r["features"], [r[c] or 0 for c in rows_named]))
     x = Rows([r["features"] for r in got], len(vocabulary))
     fold = np.array([r["fold"] for r in got], np.int64)
     toxic = np.array([r["label"] > 0 for r in got], float)
-    names = [*seeds, "toxic"]
+    if categories:
+        held = {c: np.array([(r[f"_c{i}"] or 0) > 0 for r in got], float) for i, c in enumerate(categories)}
+    else:
+        kind = kinds(x, toxic)
+        held = {f"kind_{j + 1}": (kind == j).astype(float) for j in range(KINDS)}
+    names = [*held, "toxic"]
     odds, models = np.zeros((x.n, 0)), []
     for name in names:
-        y = toxic if name == "toxic" else toxic * np.array([r[name] for r in got], float)
+        y = held.get(name, toxic)
         models.append(logistic(x, odds, y))
         held_out = np.zeros(x.n)
         for f in range(FOLDS):
