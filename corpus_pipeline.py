@@ -11,7 +11,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 
 from granary.llm import jaccard, mixing, phrases, secrets, toxicity
-from granary.llm.common import stored, table
+from granary.llm.common import forget, forget_since, kept, stored, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,8 +52,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after the other over ``documents``, each one's rows written to the shared folder and read again."""
+    """The stages one after the other over ``documents``, each one's rows written to the shared folder and read again, and what it worked with deleted."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        before, given = kept(), docs
+        docs = stored(stage(spark, given, sf_dir), name)
+        forget_since(before, docs)
+        forget(given)
     return STAGES[-1][1](spark, docs, sf_dir)
