@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -241,9 +242,9 @@ def narrowed(docs: DataFrame, nodes: DataFrame, k: int, t: Threshold) -> DataFra
         placed = stored(placed.select("token", "node", "n", "root", "room", "upto", "left", "w", "after", F.xxhash64("nodes", "mark").alias("part")), "placed")
         below = placed.where(t.query("room", "n")).withColumn("list", F.xxhash64("token", "part"))
         level = F.floor(F.log("n") / math.log(SPREAD)).cast("int").alias("level")
-        groups = below.groupBy("list", "root", level).agg(F.count(F.lit(1)).alias("rows"), F.sum("after").alias("after"))
-        lists = groups.groupBy("list").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("groups"), F.sum("rows").alias("rows"), F.sum("after").alias("after"))
-        lists = stored(lists.where("x <> y").select("list", F.expr(f"groups > {HOT} and groups * rows > after").alias("hot")), "lists")
+        groups = below.groupBy("list", "root", level).agg(F.count(F.lit(1)).alias("rows"), F.sum("after").alias("after"), F.max(F.expr(t.member("room", "n"))).alias("open"))
+        lists = groups.groupBy("list").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count_if("open").alias("groups"), F.sum("rows").alias("rows"), F.sum("after").alias("after"))
+        lists = stored(lists.where("x <> y and groups > 0").select("list", F.expr(f"groups > {HOT} and groups * rows > after").alias("hot")), "lists")
         below = stored(below.select("list", "node", "n", "root", "room", "upto", "left", "w", F.col("token").alias("above")).join(lists, "list"), "below")
         found.append(stored(below.where("not hot").select(F.col("list").alias("token"), "node", "room"), "narrow"))
         hot = below.where("hot").drop("hot")
@@ -279,20 +280,30 @@ def linked(docs: DataFrame, k: int, threshold: Fraction) -> DataFrame:
     edges = [verified(docs, nodes, star, k, t)]
     roots = components(edges[0])
 
-    # lists of nodes that share a shingle of their prefixes; then around each list's centre
-    lists = shared_lists(docs, nodes, roots, heavy, k, t)
+    # the same for nodes that share a shingle of their prefixes, then for what hot lists of these are narrowed to
     root = F.coalesce("root", F.col("node")).alias("root")
-    again = starred(lists.join(roots, "node", "left").select("token", "node", root, F.xxhash64("node").alias("rank")))
-    edges.append(verified(docs, nodes, again, k, t))
-    before, roots = roots, components(edges[0].unionAll(edges[1]))
-    forget(star, again, before)
+
+    def joined(lists: DataFrame) -> DataFrame:
+        """The components once each list's nodes are linked with their centre."""
+        again = starred(lists.join(roots, "node", "left").select("token", "node", root, F.xxhash64("node").alias("rank")))
+        edges.append(verified(docs, nodes, again, k, t))
+        forget(again, roots)
+        return components(reduce(DataFrame.unionAll, edges))
+
+    forget(star)
+    cells = shared_cells(nodes, roots, heavy)
+    roots = joined(cells)
+    lists, more = narrow_lists(docs, nodes, roots, cells, k, t)
+    if more is not None:
+        roots = joined(more)
+        lists = stored(lists.unionAll(more), "lists")
+        forget(more)
 
     # token-group matrix over the lists. A group: linked nodes of about the same size, so that
     # the bounds of its members' sizes and places are tight
     level = F.floor(F.log(F.col("n")) / math.log(SPREAD)).cast("int").alias("level")
     placed = nodes.join(roots, "node", "left").select("node", "doc_id", "n", root, level, "sketch")
-    cells = lists.join(placed.drop("doc_id", "sketch"), "node")
-    opened = opened_groups(cells, t)
+    opened = opened_groups(lists.join(placed.drop("doc_id", "sketch"), "node"), t)
 
     # groups of one node are compared by their sketches
     sizes = placed.groupBy("root", "level").agg(F.count(F.lit(1)).alias("size"), F.first("sketch").alias("g_sketch"), F.first("n").alias("g_n"))
@@ -311,45 +322,52 @@ def linked(docs: DataFrame, k: int, threshold: Fraction) -> DataFrame:
     qualified = tested.withColumn("room", F.size(F.array_intersect("tokens", "union")).cast("long")).where(t.query("room", "n"))
     pairs = qualified.select("node", "n", "tokens", F.explode("members").alias("m")).withColumn("shared", F.size(F.array_intersect("tokens", "m.tokens")).cast("long"))
     edges.append(stored(pairs.where(t.reached("shared", "n", "m.n")).select(F.col("node").alias("a"), F.col("m.node").alias("b")), "links"))
-    every = components(edges[0].unionAll(edges[1]).unionAll(edges[2]))
+    every = components(reduce(DataFrame.unionAll, edges))
 
     # the smallest doc_id of each component, and back to all rows
     label = nodes.join(every, "node").groupBy("root").agg(F.min("doc_id").alias("least"))
     named = nodes.select("node", "doc_id").join(every, "node", "left").join(label, "root", "left").select("node", root, F.coalesce("least", "doc_id").alias("component_id"))
     out = rows.where("n > 0").select("doc_id", F.col("n").alias("n_shingles"), node).join(named, "node").select("doc_id", "n_shingles", "component_id", "node", "root")
     out = stored(out.unionAll(rows.where("n = 0").select("doc_id", "n", "doc_id", *(F.lit(None).cast("long") for _ in range(2)))), "linked")
-    forget(rows, nodes, lists, opened, queries, members, roots, every, *edges)
+    forget(rows, nodes, heavy, cells, lists, opened, queries, members, roots, every, *edges)
     return out
 
 
-def shared_lists(docs: DataFrame, nodes: DataFrame, roots: DataFrame, heavy: DataFrame, k: int, t: Threshold) -> DataFrame:
-    """Lists (token, node, room) of the prefixes' shingles that nodes of several roots share, narrowed where they are hot; a stored table.
+def shared_cells(nodes: DataFrame, roots: DataFrame, heavy: DataFrame) -> DataFrame:
+    """Lists (token, node, n, room) of the prefixes' shingles that nodes of several roots share; a stored table.
 
     ``room`` is what a shingle's place leaves of the node. ``heavy`` shingles (a table of
-    bounded size) aren't gathered by shingle at all: only whether they have several roots is
-    summed up, with partial sums.
+    bounded size) aren't gathered by shingle: whether they have several roots is summed up with
+    partial sums, and goes back to the rows as a broadcast.
     """
     root = F.coalesce("root", F.col("node")).alias("root")
     cells = nodes.join(roots, "node", "left").select("node", root, "n", F.posexplode("prefix").alias("at", "token"))
     several = lambda rows: rows.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("token")
     busy = cells.join(F.broadcast(heavy), "token")
     light = cells.join(F.broadcast(heavy), "token", "left_anti").repartition("token")  # one exchange for the two uses
+    found = light.join(several(light), "token").unionByName(busy.join(F.broadcast(several(busy)), "token"))
+    return stored(found.select("token", "node", "n", (F.col("n") - F.col("at")).alias("room")), "cells")
+
+
+def narrow_lists(docs: DataFrame, nodes: DataFrame, roots: DataFrame, cells: DataFrame, k: int, t: Threshold) -> tuple[DataFrame, DataFrame | None]:
+    """The lists (token, node, room) that are left as they are, and what the hot ones are narrowed to (None: there are none).
+
+    Hot is a list with several roots that has more groups with a place for the smaller set of a pair than HOT, and than its nodes' shingles allow for.
+    """
+    root = F.coalesce("root", F.col("node")).alias("root")
     level = F.floor(F.log(F.col("n")) / math.log(SPREAD)).cast("int").alias("level")
-    light = stored(light.join(several(light), "token").select("token", "node", "root", "n", level, (F.col("n") - F.col("at")).alias("room")), "cells")
-    wide = light.groupBy("token", "root", "level").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("shingles"))
-    wide = wide.groupBy("token").agg(F.count(F.lit(1)).alias("groups"), F.sum("rows").alias("rows"), F.sum("shingles").alias("shingles"))
-    wide = stored(wide.where(f"groups > {HOT} and groups * rows * {ROOM} > shingles").select("token"), "wide")
-    hot = light.join(wide, "token").select("node").unionAll(busy.join(F.broadcast(several(busy)), "token").select("node")).distinct()
+    groups = cells.where(t.member("room", "n")).join(roots, "node", "left").groupBy("token", root, level).agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("shingles"))
+    wide = groups.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("groups"), F.sum("rows").alias("rows"), F.sum("shingles").alias("shingles"))
+    wide = stored(wide.where(f"x <> y and groups > {HOT} and groups * rows * {ROOM} > shingles").select("token"), "wide")
+    if wide.isEmpty():
+        forget(wide)
+        return cells.select("token", "node", "room"), None
+    hot = cells.join(wide, "token").select("node").distinct()
     hot = stored(nodes.select("node", "doc_id", "n").join(hot, "node").join(roots, "node", "left").select("node", "doc_id", "n", root), "hot")
-    lists = light.join(wide, "token", "left_anti").select("token", "node", "room")
-    if not hot.isEmpty():
-        more = narrowed(docs, hot, k, t)
-        lists = stored(lists.unionAll(more), "shared")
-        forget(more)
-    else:
-        lists = stored(lists, "shared")
-    forget(light, wide, hot)
-    return lists
+    more = narrowed(docs, hot, k, t)
+    rest = stored(cells.join(wide, "token", "left_anti").select("token", "node", "room"), "cold")
+    forget(wide, hot)
+    return rest, more
 
 
 def opened_groups(cells: DataFrame, t: Threshold) -> DataFrame:
