@@ -92,21 +92,20 @@ def json_object(text: str) -> Column:
     return F.pandas_udf(run, "string")(text)
 
 
-def flat(x: Any, heading: str | None = None) -> str:
-    """Nested content as text: sections under their names, lists by lines (PRJ6)."""
-    if x is None:
-        return ""
+def flat(x: Any) -> str:
+    """Nested content as text (PRJ6): texts of a section under its name, nested sections without a name of their own,
+    the entries of a list with a blank line between them; numbers and other values are no content."""
     if isinstance(x, str):
-        return x.strip()
+        return x
     if isinstance(x, list):
-        return "\n".join(filter(None, map(flat, x)))
+        return "\n\n".join(flat(y) for y in x if y)
     if isinstance(x, dict):
-        parts = [(name, flat(value)) for name, value in x.items()]
-        return "\n\n".join(f"## {name}\n\n{body}" for name, body in parts if body)
-    return str(x)
+        named = [f"## {name}\n\n{y}" if isinstance(y, str) else flat(y) for name, y in x.items() if isinstance(y, dict) or (isinstance(y, str) and y.strip())]
+        return "\n\n".join(named)
+    return ""
 
 
-def flat_content(text: str) -> Column:
+def flat_content(text: str | Column) -> Column:
     """JSON content of any shape as text; what isn't JSON stays as it is."""
 
     def one(t: str | None) -> str | None:

@@ -3,14 +3,23 @@
 # Fixed values, all of this file.
 
 SPECIALTIES = (
-    "general_medicine emergency_medicine critical_care infectious_disease cardiology neurology oncology endocrinology gastroenterology nephrology "
-    "pulmonology rheumatology hematology dermatology psychiatry obstetrics gynecology pediatrics geriatrics surgery_general orthopedics urology "
-    "ophthalmology ent radiology pathology anesthesiology public_health family_medicine unspecified"
-).split()
-LEVELS_OF_CARE = "community prehospital primary emergency secondary tertiary unspecified".split()
-SEVERITIES = "routine urgent emergent life_threatening unspecified".split()
-QUESTION_TYPES = "triage diagnosis management follow_up prevention screening interpretation pharmacology ethics other".split()
-AGE_GROUPS = "neonate infant child adolescent adult elderly mixed unspecified".split()
+    "general_medicine", "emergency_medicine", "critical_care", "infectious_disease", "cardiology", "neurology", "oncology", "endocrinology",
+    "gastroenterology", "nephrology", "pulmonology", "rheumatology", "hematology", "dermatology", "psychiatry", "obstetrics", "gynecology",
+    "pediatrics", "geriatrics", "surgery_general", "orthopedics", "urology", "ophthalmology", "ent", "radiology", "pathology", "anesthesiology",
+    "public_health", "family_medicine", "unspecified",
+)
+LEVELS_OF_CARE = (
+    "community", "prehospital", "primary", "emergency", "secondary", "tertiary", "unspecified",
+)
+SEVERITIES = (
+    "routine", "urgent", "emergent", "life_threatening", "unspecified",
+)
+QUESTION_TYPES = (
+    "triage", "diagnosis", "management", "follow_up", "prevention", "screening", "interpretation", "pharmacology", "ethics", "other",
+)
+AGE_GROUPS = (
+    "neonate", "infant", "child", "adolescent", "adult", "elderly", "mixed", "unspecified",
+)
 GEOGRAPHY_ALIASES = ("unspecified", "n/a", "none", "null", "not specified")
 GEOGRAPHY_BINS = ("americas", "europe", "africa", "asia", "oceania", "global", "other", "unspecified")
 CRITERIA = (
@@ -24,29 +33,121 @@ CRITERIA = (
     "Clarity",
     "Alignment with guidelines",
 )
-#: Names by bin; the order matters where one name is part of another.
-CONTINENTS = (
-    (
-        "americas",
-        "united states|us|usa|canada|mexico|brazil|argentina|chile|peru|colombia|venezuela|bolivia|ecuador|cuba|haiti|dominican republic|jamaica|"
-        "north america|south america|latin america|caribbean".split("|"),
-    ),
-    (
-        "europe",
-        "united kingdom|uk|england|scotland|wales|ireland|france|germany|italy|spain|portugal|netherlands|belgium|switzerland|austria|sweden|norway|"
-        "denmark|finland|poland|greece|russia|ukraine|romania|czech republic|hungary|europe".split("|"),
-    ),
-    (
-        "africa",
-        "nigeria|egypt|south africa|kenya|ethiopia|ghana|uganda|tanzania|morocco|algeria|sudan|zimbabwe|senegal|rwanda|cameroon|malawi|mozambique|"
-        "zambia|angola|ivory coast|cote d'ivoire|democratic republic of congo|drc|africa|sub-saharan africa".split("|"),
-    ),
-    (
-        "asia",
-        "china|india|japan|south korea|north korea|thailand|vietnam|indonesia|philippines|malaysia|singapore|pakistan|bangladesh|sri lanka|nepal|"
-        "myanmar|cambodia|laos|mongolia|turkey|iran|iraq|israel|saudi arabia|united arab emirates|uae|jordan|lebanon|syria|asia|middle east|"
-        "southeast asia|south asia|east asia".split("|"),
-    ),
-    ("oceania", "australia|new zealand|fiji|papua new guinea|oceania".split("|")),
-    ("global", "global|worldwide|international".split("|")),
-)
+#: Places by name; the order matters where one name is part of another.
+CONTINENT_OF = {
+    "united states": "americas",
+    "us": "americas",
+    "usa": "americas",
+    "canada": "americas",
+    "mexico": "americas",
+    "brazil": "americas",
+    "argentina": "americas",
+    "chile": "americas",
+    "peru": "americas",
+    "colombia": "americas",
+    "venezuela": "americas",
+    "bolivia": "americas",
+    "ecuador": "americas",
+    "cuba": "americas",
+    "haiti": "americas",
+    "dominican republic": "americas",
+    "jamaica": "americas",
+    "north america": "americas",
+    "south america": "americas",
+    "latin america": "americas",
+    "caribbean": "americas",
+    "united kingdom": "europe",
+    "uk": "europe",
+    "england": "europe",
+    "scotland": "europe",
+    "wales": "europe",
+    "ireland": "europe",
+    "france": "europe",
+    "germany": "europe",
+    "italy": "europe",
+    "spain": "europe",
+    "portugal": "europe",
+    "netherlands": "europe",
+    "belgium": "europe",
+    "switzerland": "europe",
+    "austria": "europe",
+    "sweden": "europe",
+    "norway": "europe",
+    "denmark": "europe",
+    "finland": "europe",
+    "poland": "europe",
+    "greece": "europe",
+    "russia": "europe",
+    "ukraine": "europe",
+    "romania": "europe",
+    "czech republic": "europe",
+    "hungary": "europe",
+    "europe": "europe",
+    "nigeria": "africa",
+    "egypt": "africa",
+    "south africa": "africa",
+    "kenya": "africa",
+    "ethiopia": "africa",
+    "ghana": "africa",
+    "uganda": "africa",
+    "tanzania": "africa",
+    "morocco": "africa",
+    "algeria": "africa",
+    "sudan": "africa",
+    "zimbabwe": "africa",
+    "senegal": "africa",
+    "rwanda": "africa",
+    "cameroon": "africa",
+    "malawi": "africa",
+    "mozambique": "africa",
+    "zambia": "africa",
+    "angola": "africa",
+    "ivory coast": "africa",
+    "cote d'ivoire": "africa",
+    "democratic republic of congo": "africa",
+    "drc": "africa",
+    "africa": "africa",
+    "sub-saharan africa": "africa",
+    "china": "asia",
+    "india": "asia",
+    "japan": "asia",
+    "south korea": "asia",
+    "north korea": "asia",
+    "thailand": "asia",
+    "vietnam": "asia",
+    "indonesia": "asia",
+    "philippines": "asia",
+    "malaysia": "asia",
+    "singapore": "asia",
+    "pakistan": "asia",
+    "bangladesh": "asia",
+    "sri lanka": "asia",
+    "nepal": "asia",
+    "myanmar": "asia",
+    "cambodia": "asia",
+    "laos": "asia",
+    "mongolia": "asia",
+    "turkey": "asia",
+    "iran": "asia",
+    "iraq": "asia",
+    "israel": "asia",
+    "saudi arabia": "asia",
+    "united arab emirates": "asia",
+    "uae": "asia",
+    "jordan": "asia",
+    "lebanon": "asia",
+    "syria": "asia",
+    "asia": "asia",
+    "middle east": "asia",
+    "southeast asia": "asia",
+    "south asia": "asia",
+    "east asia": "asia",
+    "australia": "oceania",
+    "new zealand": "oceania",
+    "fiji": "oceania",
+    "papua new guinea": "oceania",
+    "oceania": "oceania",
+    "global": "global",
+    "worldwide": "global",
+    "international": "global",
+}

@@ -42,6 +42,12 @@ def without_system(conversation: str) -> Column:
     return F.filter(conversation, lambda t: t["from"].isNull() | (t["from"] != "system"))
 
 
+def prepared(rows: DataFrame, conversation: str = "conversations") -> DataFrame:
+    """Rows before the first attempt (PRJ7): no system turns, exact_match false and try_count 0 where they aren't set."""
+    old = lambda name, kind, value: F.coalesce(F.col(name).cast(kind), F.lit(value)) if name in rows.columns else F.lit(value)
+    return rows.withColumns({conversation: without_system(conversation), "exact_match": old("exact_match", "boolean", False), "try_count": old("try_count", "int", 0)})
+
+
 def document_body(text: str) -> Column:
     """Head and tail of a long document with a mark between them (PRJ9)."""
     t = F.col(text)
@@ -59,10 +65,29 @@ def messages(system: str | Column, user: Column) -> Column:
     return F.array(F.struct(F.lit("system").alias("role"), system.alias("content")), F.struct(F.lit("user").alias("role"), user.alias("content")))
 
 
-def few_shot_prompt(shots: DataFrame, key: str) -> DataFrame:
-    """One prompt for each target from its drawn examples (shot, question, answer), in the order of the draw (PRJ13)."""
-    entry = F.struct("shot", F.concat(F.lit("Example "), (F.col("shot") + 1).cast("string"), F.lit(":\nQ: "), F.col("question"), F.lit("\nA: "), F.col("answer")).alias("s"))
-    return shots.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["s"]), "\n\n").alias("prompt"))
+# The marks that replies are parsed by (functions.text).
+EXAMPLE, QUESTION, ANSWER = "--- Example {} ---\n", "<question>", "<answer>"
+#: What is asked for after the examples: pairs with options, open pairs, or a question alone.
+REQUESTS = {
+    "labelled": "Write one new multiple-choice question with its answer, between the same tags.",
+    "open": "Write one new open question with its answer, between the same tags.",
+    "question": "Write one new question between <question> and </question>.",
+}
+
+
+def few_shot_prompt(shots: DataFrame, key: str, variant: str = "labelled", requests: dict[str, str] = REQUESTS) -> DataFrame:
+    """One prompt for each target from its drawn examples (shot, question, answer), in the order of the draw, and a request by variant (PRJ13)."""
+    begin, end = (F.lit(x) for x in EXAMPLE.split("{}"))
+    body = F.concat(F.lit(f"{QUESTION}\n"), "question", F.lit("\n</question>\n\n")) if variant == "question" else F.concat(F.lit(QUESTION), "question", F.lit(f"\n{ANSWER}"), "answer", F.lit("\n\n"))
+    entry = F.struct("shot", F.concat(begin, (F.col("shot") + 1).cast("string"), end, body).alias("s"))
+    shown = F.array_join(F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["s"]), "")  # k examples a target
+    return shots.groupBy(key).agg(F.concat(shown, F.lit(requests[variant])).alias("prompt"))
+
+
+def guideline_prompt(text: str | Column, items: int = 10) -> Column:
+    """A guideline and the request for so many questions on it, in the blocks that ``text.qa_blocks`` reads (PRJ14)."""
+    wanted = f"\n\nWrite {items} multiple-choice questions that this text alone answers, each in a block of its own:\n<qa>\n<question>case, question and options A) to E)</question>\n<answer>reasons, then Answer: letter</answer>\n</qa>"
+    return F.concat(F.lit("Guideline:\n\n"), F.col(text) if isinstance(text, str) else text, F.lit(wanted))
 
 
 def synthetic_row(question: str, answer: str, label: str) -> Column:

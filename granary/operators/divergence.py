@@ -13,12 +13,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Parts of the values' range that running sums are taken in.
+RANGES = 64
+
+
 def proportions(rows: DataFrame, arm: str, value: str, vocabulary: DataFrame) -> DataFrame:
     """(arm, category, n, p) over the whole vocabulary (column ``category``), with zeros; other values don't count (AGG4, JN11)."""
     counts = rows.groupBy(F.col(arm).alias("arm"), F.col(value).alias("category")).agg(F.count(F.lit(1)).alias("n"))
-    every = rows.select(F.col(arm).alias("arm")).distinct().join(vocabulary.select("category").distinct())  # two lists of fixed size
+    arms = counts.agg(F.collect_set("arm")).scalar()  # two or so
+    every = vocabulary.select("category").distinct().select(F.explode(arms).alias("arm"), "category")
     out = every.join(counts, ["arm", "category"], "left").select("arm", "category", F.coalesce("n", F.lit(0)).alias("n"))
-    return out.withColumn("p", F.coalesce(F.try_divide(F.col("n"), F.sum("n").over(Window.partitionBy("arm"))), F.lit(0.0)))
+    totals = out.groupBy("arm").agg(F.sum("n").alias("_all"))
+    return out.join(F.broadcast(totals), "arm").select("arm", "category", "n", F.coalesce(F.try_divide("n", "_all"), F.lit(0.0)).alias("p"))
 
 
 def aligned(shares: DataFrame, a: str, b: str) -> DataFrame:
@@ -42,19 +48,23 @@ def total_variation(p: str = "p", q: str = "q") -> Column:
 def wasserstein(rows: DataFrame, arm: str, value: str, a: str, b: str) -> DataFrame:
     """One row: the area between the two arms' distribution functions; NaN if an arm is empty (AGG7, WIN3).
 
-    Values are counted first, so the running sums go over distinct values only: an ordinal
-    field has few.
+    Values are counted first, so the running sums go over distinct values only. These are cut
+    into RANGES ranges by quantiles; a range's sums start from those of the ranges before, and
+    its last gap ends at the next range's first value, so no task sees all values.
     """
     of = lambda x: F.count_if(F.col(arm) == x)
     counts = rows.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(of(a).alias("na"), of(b).alias("nb"))
-    w = Window.orderBy("v")
-    every = Window.partitionBy()
-    gaps = counts.select(
-        F.sum("na").over(w).alias("ca"),
-        F.sum("nb").over(w).alias("cb"),
-        F.sum("na").over(every).alias("ta"),
-        F.sum("nb").over(every).alias("tb"),
-        (F.lead("v").over(w) - F.col("v")).alias("width"),
+    bounds = counts.agg(F.percentile_approx("v", [i / RANGES for i in range(1, RANGES)], 1000)).first()[0]  # fewer than RANGES numbers
+    counts = counts.withColumn("range", sum(((F.col("v") > x).cast("int") for x in sorted(set(bounds or []))), F.lit(0)))
+    w, ranges = Window.partitionBy("range").orderBy("v"), Window.orderBy("range")
+    sums = counts.groupBy("range").agg(F.sum("na").alias("ra"), F.sum("nb").alias("rb"), F.min("v").alias("least"))  # at most RANGES rows
+    before = sums.select("range", (F.sum("ra").over(ranges) - F.col("ra")).alias("pa"), (F.sum("rb").over(ranges) - F.col("rb")).alias("pb"), F.lead("least").over(ranges).alias("next"), F.sum("ra").over(Window.partitionBy()).alias("ta"), F.sum("rb").over(Window.partitionBy()).alias("tb"))
+    gaps = counts.join(F.broadcast(before), "range").select(
+        (F.col("pa") + F.sum("na").over(w)).alias("ca"),
+        (F.col("pb") + F.sum("nb").over(w)).alias("cb"),
+        "ta",
+        "tb",
+        (F.coalesce(F.lead("v").over(w), F.col("next")) - F.col("v")).alias("width"),
     )
     area = F.sum(F.abs(F.try_divide("ca", "ta") - F.try_divide("cb", "tb")) * F.coalesce("width", F.lit(0.0)))
     return gaps.agg(F.when((F.max("ta") > 0) & (F.max("tb") > 0), area).otherwise(F.lit(float("nan"))).alias("w1"))

@@ -1,8 +1,9 @@
-"""Pairwise judging and agreement."""
+"""Pairwise judging and agreement."""
 
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -49,6 +50,24 @@ def unswapped(winner: str, swap: str) -> Column:
     return F.when(F.col(swap) & (w == "Model 1"), "Model 2").when(F.col(swap) & (w == "Model 2"), "Model 1").otherwise(w)
 
 
+def unswapped_scores(reply: str, swap: str) -> Column:
+    """(first, second): the scores of a parsed reply in the answers' own order (PRJ16)."""
+    one, two, turned = F.col(f"{reply}.model_1_scores"), F.col(f"{reply}.model_2_scores"), F.col(swap)
+    return F.struct(F.when(turned, two).otherwise(one).alias("first"), F.when(turned, one).otherwise(two).alias("second"))
+
+
+def gathered(key: str, items: DataFrame, *tables: DataFrame) -> DataFrame:
+    """Items with what each table (answers, a judge's replies, coins) says of them, joined by the items' id (JN7)."""
+    return reduce(lambda a, b: a.join(b, key), tables, items)
+
+
+def judge_rows(items: DataFrame, replies: DataFrame, key: str, reply: str, swap: str) -> DataFrame:
+    """(key, judge_vote, first, second) of each item: the judge's replies, parsed and put in the answers' own order; a null vote where it isn't valid."""
+    rows = gathered(key, items.select(key, swap), replies.select(key, parsed(reply).alias("_reply")))
+    vote = vote_code(unswapped("_reply.winner", swap))
+    return rows.select(key, vote.alias("judge_vote"), unswapped_scores("_reply", swap).alias("_scores")).select(key, "judge_vote", "_scores.*")
+
+
 def vote_code(winner: str | Column) -> Column:
     w = F.col(winner) if isinstance(winner, str) else winner
     return F.when(w == "Model 1", "1").when(w == "Model 2", "2").when(w == "Tie", "12")
@@ -119,18 +138,46 @@ def against_others(votes: DataFrame, item: str, rater: str, vote: str) -> DataFr
 
 
 def rater_kappas(votes: DataFrame, item: str, rater: str, vote: str, least: int = 1, ties: bool = True) -> DataFrame:
-    """Every rater's kappa against the others, of ``least`` items or more (AGG21, FLT12)."""
-    return kappa(against_others(votes, item, rater, vote), vote, "others", [rater], ties).where(F.col("n") >= least)
+    """Every rater's kappa against the others, of ``least`` items or more (AGG21, FLT12); without ties, of as many that are none as well."""
+    rows = against_others(votes, item, rater, vote)
+    found = kappa(rows, vote, "others", [rater], ties).where(F.col("n") >= least)
+    if ties:
+        return found
+    return found.join(rows.groupBy(rater).agg(F.count(F.lit(1)).alias("_all")).where(F.col("_all") >= least).select(rater), rater)
+
+
+def judge_against_panel(votes: DataFrame, judged: DataFrame, item: str, vote: str, judge_vote: str, ties: bool = True) -> DataFrame:
+    """A judge's agreement and kappa against the whole panel of each item with two votes or more (AGG21, JN8)."""
+    several = votes.groupBy(item).agg(*(c.alias(f"n{i}") for i, c in enumerate(_counts(vote)))).where("n0 + n1 + n2 >= 2")
+    rows = several.select(item, verdict(F.col("n0"), F.col("n1"), F.col("n2")).alias("panel")).join(judged.select(item, judge_vote), item)
+    return kappa(rows.where(F.col(judge_vote).isNotNull()), judge_vote, "panel", [], ties)
+
+
+def chosen_margins(humans: DataFrame, judged: DataFrame, key: str) -> DataFrame:
+    """(criterion, judge_diff, judge_n, human_diff, human_n): by how much the answer that the human chose beats the other (AGG23, JN8).
+
+    ``humans`` has (key, vote, first, second) with maps of scores, ``judged`` the same scores
+    of the judge and its vote; only clear votes count, and items with a valid reply.
+    """
+    clear = humans.where(F.col("vote").isin("1", "2")).select(key, "vote", F.col("first").alias("h_first"), F.col("second").alias("h_second"))
+    rows = clear.join(judged.where("judge_vote is not null").select(key, F.col("first").alias("j_first"), F.col("second").alias("j_second")), key)
+    of = F.explode(F.array(*map(F.lit, CRITERIA))).alias("criterion")
+    rows = rows.select("vote", of, "h_first", "h_second", "j_first", "j_second")
+    score = lambda side: F.element_at(side, F.col("criterion")).cast("string").try_cast("int")
+    diff = lambda who: (score(f"{who}_first") - score(f"{who}_second")) * F.when(F.col("vote") == "1", 1).otherwise(-1)
+    rows = rows.select("criterion", diff("j").alias("j"), diff("h").alias("h"))
+    return rows.groupBy("criterion").agg(F.avg("j").alias("judge_diff"), F.count("j").alias("judge_n"), F.avg("h").alias("human_diff"), F.count("h").alias("human_n"))
 
 
 def kappa_summary(kappas: DataFrame, judge: float) -> DataFrame:
     """Mean, deviation and quantiles of the raters' kappas, and where a judge's stands among them (AGG22)."""
     k = F.col("kappa")
-    z = F.try_divide(F.lit(judge) - F.avg(k), F.stddev_samp(k))
+    spread = F.coalesce(F.stddev_samp(k), F.lit(0.0))  # of one rater: none
+    z = F.when(spread > 0, (F.lit(judge) - F.avg(k)) / spread)
     return kappas.agg(
         F.avg(k).alias("mean"),
-        F.stddev_samp(k).alias("std"),
-        F.percentile(k, [0.05, 0.25, 0.5, 0.75, 0.95]).alias("quantiles"),
+        spread.alias("std"),
+        F.percentile(k, [0.025, 0.25, 0.5, 0.75, 0.975]).alias("quantiles"),
         z.alias("z"),
         F.try_divide(F.count_if(k < judge), F.count(k)).alias("share_below"),
         (F.abs(z) <= 2).alias("within_2_std"),

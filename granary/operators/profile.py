@@ -34,23 +34,26 @@ def composition(rows: DataFrame, outer: str, inner: str, text: str) -> DataFrame
 
 
 def task_format(rows: DataFrame, *group: str) -> DataFrame:
-    """Share (in per cent) of question-answer pairs, multiple choice and thinking blocks; median tokens (AGG11)."""
-    rows = rows.select(*group, F.col("question").isNotNull() & F.col("answer").isNotNull(), is_mcq("question"), has_think_block("answer"), n_tokens("question"), n_tokens("answer")).toDF(*group, "paired", "mcq", "think", "q", "a")
+    """Share (in per cent) of question-answer pairs, multiple choice, documents and thinking blocks; median tokens of
+    question, answer and full text (AGG11). Without a column is_document no row is one."""
+    document = F.coalesce("is_document", F.lit(False)) if "is_document" in rows.columns else F.lit(False)
+    flags = [F.col("question").isNotNull() & F.col("answer").isNotNull(), is_mcq("question"), document, has_think_block("answer")]
+    rows = rows.select(*group, *flags, *map(n_tokens, ("question", "answer", "full_text"))).toDF(*group, "paired", "mcq", "document", "think", "q", "a", "full")
     share = lambda x: (F.avg(F.col(x).cast("int")) * 100).alias(f"pct_{x}")
-    return rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), share("paired"), share("mcq"), share("think"), F.median("q").alias("median_q"), F.median("a").alias("median_a"))
+    return rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), *map(share, ("paired", "mcq", "document", "think")), *(F.median(x).alias(f"median_{x}") for x in ("q", "a", "full")))
 
 
 def distribution(rows: DataFrame, value: str) -> DataFrame:
     """Count and per cent of each value (AGG12, WIN5)."""
     counts = rows.groupBy(value).agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("pct", F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy()))
+    return counts.withColumn("pct", F.col("n") * 100.0 / rows.agg(F.count(F.lit(1))).scalar())
 
 
 def histogram(rows: DataFrame, value: str, low: float, high: float, bins: int = 5) -> DataFrame:
     """Share of the rows in each of ``bins`` equal parts (AGG14)."""
     at = F.least(F.floor((F.col(value) - low) / ((high - low) / bins)), F.lit(bins - 1)).alias("bin")
     counts = rows.where(F.col(value).between(low, high)).groupBy(at).agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("density", F.col("n") / F.sum("n").over(Window.partitionBy()))
+    return counts.withColumn("density", F.col("n") / counts.agg(F.sum("n")).scalar())
 
 
 def first_of(rows: DataFrame, key: str | Column, order: str) -> DataFrame:
@@ -100,9 +103,19 @@ def frequent(rows: DataFrame, key: str, least: int) -> DataFrame:
 def shown_categories(shares: DataFrame, most: int = 12, least: float = 0.005) -> DataFrame:
     """All categories up to ``most``; of more, those of a share of ``least`` in either arm, filled up to ``most`` by size (FLT13)."""
     top = F.greatest("prop_source", "prop_synthetic")
-    w = Window.orderBy(F.desc(top), "category")
-    rows = shares.withColumn("rank", F.row_number().over(w)).withColumn("all", F.count(F.lit(1)).over(Window.partitionBy()))
-    return rows.where((F.col("all") <= most) | (top >= least) | (F.col("rank") <= most)).drop("rank", "all")
+    first = shares.orderBy(F.desc(top), "category").limit(most).select("category")  # so few rows for each task
+    return shares.where(top >= least).unionByName(shares.where(top < least).join(F.broadcast(first), "category", "left_semi"))
+
+
+def by_source_share(shares: DataFrame) -> DataFrame:
+    """Categories in the order of a figure: the largest share of the source first (SRT4)."""
+    return shares.orderBy(F.desc("prop_source"), "category")
+
+
+def in_field_order(rows: DataFrame, fields: list[str], column: str = "field") -> DataFrame:
+    """Rows of a report in the order of ``fields``, others last (SRT3)."""
+    place = F.array_position(F.array(*map(F.lit, fields)), F.col(column))
+    return rows.orderBy(F.when(place > 0, place).otherwise(len(fields) + 1), column)
 
 
 def routed(rows: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -52,9 +52,14 @@ def stratified(rows: DataFrame, n: int, stratum: str, key: str, seed: int = 0, l
     return keyed.select(*rows.columns)
 
 
-def stratum_of() -> Column:
-    """The stratum that a record's pair and split call for (SMP4)."""
-    return F.when((F.col("pair") == "moove") & (F.col("split") == "source"), F.col("vote")).when(F.col("is_document") & (F.col("split") == "source"), F.col("guideline_source")).otherwise(F.col("is_mcq").cast("string"))
+def stratum_of(voted: str = "votes", curated: str = "curated") -> Column:
+    """The stratum that a record's pair and split call for (SMP4): the vote, multiple choice or not, the source file; else all are one (null)."""
+    source, pair = F.col("split") == "source", F.col("pair")
+    return (
+        F.when(source & (pair == voted), F.col("vote"))
+        .when(source & F.col("is_document"), F.col("guideline_source"))
+        .when(~source & (pair == curated), F.col("is_mcq").cast("string"))
+    )
 
 
 def few_shot(targets: DataFrame, pool: DataFrame, key: str, k: int = 5, seed: int = 0) -> DataFrame:
@@ -86,7 +91,31 @@ def repeated(rows: DataFrame, times: int) -> DataFrame:
     return rows.withColumn("repeat", F.explode(F.sequence(F.lit(1), F.lit(times))))
 
 
-def problem_samples(rows: DataFrame, group: str, key: str, k: int = 5) -> DataFrame:
-    """At most ``k`` rows of each group, of the smallest hashes (SMP7)."""
-    w = Window.partitionBy(group).orderBy(stable_key(0, key), key)
+def problem_samples(rows: DataFrame, group: str, key: str, k: int = 5, order: str | None = None) -> DataFrame:
+    """At most ``k`` rows of each group (SMP7): of the smallest hashes, or the first ones by ``order``.
+
+    Spark keeps a group's first ``k`` rows before the exchange, so a large group is no burden.
+    """
+    w = Window.partitionBy(group).orderBy(F.col(order) if order else stable_key(0, key), key)
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def numbered(rows: DataFrame, key: str, name: str = "number", parts: int = 64) -> DataFrame:
+    """``rows`` numbered from 0 without gaps, alike in every run: ranked within ``parts`` of the keys' hashes, behind the parts before."""
+    keyed = rows.withColumn("_part", F.pmod(F.xxhash64(key), F.lit(parts)))
+    counts = keyed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # at most ``parts`` rows
+    before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    rank = F.row_number().over(Window.partitionBy("_part").orderBy(key)) - 1
+    return keyed.withColumn("_rank", rank).join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_rank")).select(*rows.columns, name)
+
+
+def draws(pool: DataFrame, ratio: float, key: str, k: int = 5, seed: int = 0) -> DataFrame:
+    """(draw, shot, and the pool's columns): int(rows * ratio) draws of ``k`` examples each (SMP5)."""
+    pool = numbered(pool, key, "example")
+    targets = pool.sparkSession.range(int(pool.count() * ratio)).withColumnRenamed("id", "draw")
+    return few_shot(targets, pool, "draw", k, seed)
+
+
+def eval_sample(examples: DataFrame, n: int | None, times: int, key: str, seed: int = 0) -> DataFrame:
+    """``n`` examples (all, if there aren't more or without n), each ``times`` times (SMP6)."""
+    return repeated(examples if n is None else bottom(examples, n, key, seed), times)

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from granary.functions import text
 from granary.functions.parsing import flat_content
-from granary.functions.vocabulary import CONTINENTS, GEOGRAPHY_ALIASES
+from granary.functions.vocabulary import CONTINENT_OF, GEOGRAPHY_ALIASES
 from granary.operators import conversations as talk
-from granary.operators import decontam, divergence, generation, judge, profile, rubric, sampling
+from granary.operators import decontam, divergence, generation, judge, metadata, profile, rubric, sampling
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -75,11 +75,11 @@ def first_turn_pairs(spark, sf_dir):
     f"""WITH p AS (SELECT question IS NOT NULL AND answer IS NOT NULL AS paired,
       coalesce(contains(question, 'A)')::int + contains(question, 'B)')::int + contains(question, 'C)')::int + contains(question, 'D)')::int + contains(question, 'E)')::int >= 2, false) AS mcq,
       coalesce(contains(answer, '<think>') AND contains(answer, '</think>'), false) AS think,
-      {_TOKENS.format("coalesce(question, '')")} AS q, {_TOKENS.format("coalesce(answer, '')")} AS a FROM ({_PAIRS}))
-    SELECT count(*) AS n, avg(paired::int) * 100 AS pct_paired, avg(mcq::int) * 100 AS pct_mcq, avg(think::int) * 100 AS pct_think, median(q) AS median_q, median(a) AS median_a FROM p""",
+      {_TOKENS.format("coalesce(question, '')")} AS q, {_TOKENS.format("coalesce(answer, '')")} AS a, conv_id % 3 = 0 AS document FROM ({_PAIRS}))
+    SELECT count(*) AS n, avg(paired::int) * 100 AS pct_paired, avg(mcq::int) * 100 AS pct_mcq, avg(document::int) * 100 AS pct_document, avg(think::int) * 100 AS pct_think, median(q) AS median_q, median(a) AS median_a, median(q + a) AS median_full FROM p""",
 )
 def task_format_stats(spark, sf_dir):
-    return profile.task_format(first_turn_pairs(spark, sf_dir))
+    return profile.task_format(first_turn_pairs(spark, sf_dir).withColumn("is_document", F.col("conv_id") % 3 == 0))
 
 
 @query("system_turn_strip", "SELECT conv_id, turn, role, text FROM conversations WHERE role IS NULL OR role <> 'system'")
@@ -194,7 +194,7 @@ def category_proportions(spark, sf_dir):
     "jsd_tv_by_field",
     f"""WITH a AS (SELECT category, sum(p) FILTER (arm = 1) AS p, sum(p) FILTER (arm = 0) AS q FROM ({_SHARES}) GROUP BY category),
     v AS (SELECT greatest(0, least(1, (coalesce(sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) END), 0) + coalesce(sum(CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) END), 0)) / 2)) AS jsd, sum(abs(p - q)) / 2 AS tv FROM a)
-    SELECT round(jsd, 9) AS jsd, round(tv, 9) AS tv, CASE WHEN jsd < 0.05 THEN 'negligible' WHEN jsd < 0.15 THEN 'small' WHEN jsd < 0.3 THEN 'moderate' WHEN jsd < 0.5 THEN 'large' ELSE 'very large' END AS label FROM v""",
+    SELECT round(jsd, 9) AS jsd, round(tv, 9) AS tv, CASE WHEN jsd < 0.05 THEN 'near-identical' WHEN jsd < 0.15 THEN 'small shift' WHEN jsd < 0.3 THEN 'moderate shift' WHEN jsd < 0.5 THEN 'large shift' ELSE 'severe shift' END AS label FROM v""",
 )
 def jsd_tv_by_field(spark, sf_dir):
     rows, vocabulary = _arms(spark, sf_dir)
@@ -227,19 +227,150 @@ def bootstrap_ci(spark, sf_dir):
     return divergence.bootstrap_counts(counts, ["field"])
 
 
-_REPLIES = "SELECT event_id, event_type || ' reply. The answer is ' || chr(65 + CAST(event_id % 7 AS INT)) || '. Later: answer is (' || chr(65 + CAST(event_id % 4 AS INT)) || ')' AS reply FROM events"
+# replies that need each step of the extraction: {x} and {y} are letters, {d} is a digit
+_REPLIES = (
+    "So the answer is ({x}). No: answer is {y}",
+    "THE ANSWER IS {x}) as said",
+    "**Answer:** {x}\nthe end",
+    "Answer\n\n{x}",
+    "Answer: $\\boxed{{{x}}}$",
+    "The answer is $\\boxed{{{x}}}$",
+    "answer: none of these",
+    "**{x}.** because of it, not **{y} -**",
+    "Only ** {x} - ** fits",
+    "I take option  {d}, not Option 1",
+    "no letter",
+    "",
+)
+
+
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _filled(template: str, sql: bool) -> str:
+    """The template as an expression in SQL of either engine."""
+    given = {"x": "chr(65 + CAST(event_id % 11 AS INT))", "y": "chr(65 + CAST(user_id % 5 AS INT))", "d": "CAST(1 + event_id % 5 AS VARCHAR)" if sql else "CAST(1 + event_id % 5 AS STRING)"}
+    mark = {k: f"\0{k}\0" for k in given}
+    parts = template.format(**mark).split("\0")
+    quoted = [given[x] if i % 2 else _quoted(x) if sql else "'" + x.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'" for i, x in enumerate(parts)]
+    return " || ".join(quoted)
+
+
+def _cases(templates: tuple[str, ...], sql: bool) -> str:
+    cases = " ".join(f"WHEN {i} THEN {_filled(x, sql)}" for i, x in enumerate(templates))
+    return f"CASE CAST(event_id % {len(templates)} AS INT) {cases} END"
+
+
+_LABEL = "CASE WHEN event_id % 7 = 0 THEN NULL ELSE chr(97 + CAST(user_id % 5 AS INT)) END"
 
 
 @query(
     "answer_letter_extract",
-    rf"""WITH r AS ({_REPLIES} WHERE event_id % 3 > 0 UNION ALL SELECT event_id, 'no option' FROM events WHERE event_id % 3 = 0)
-    SELECT event_id, CASE WHEN len(x) > 0 THEN upper(x[-1]) ELSE 'INVALID' END AS letter FROM (SELECT event_id, regexp_extract_all(reply, '(?i)answer is:? ?\(?([A-J])\b', 1) AS x FROM r)""",
+    rf"""WITH r AS (SELECT event_id, {_LABEL} AS label, {_cases(_REPLIES, True)} AS t FROM events),
+    x AS (SELECT *, regexp_extract_all(t, '(?i)answer is \(?([A-J])\)?', 1) AS a, regexp_extract_all(t, '(?i)Answer[^A-J]*(?::)*[^A-J]*(?:boxed)*[^A-J]*([A-J])\b', 1) AS b FROM r),
+    f AS (SELECT *, CASE WHEN len(a) > 0 THEN upper(a[-1]) WHEN len(b) > 0 THEN upper(b[-1]) ELSE 'INVALID' END AS letter, CASE WHEN len(a) > 0 THEN 'mmlu_pro' WHEN len(b) > 0 THEN 'medmcqa' END AS pattern FROM x)
+    SELECT event_id, letter, CASE WHEN label IS NULL THEN NULL ELSE pattern END AS pattern, CASE WHEN label IS NOT NULL THEN letter = upper(label) END AS exact_match FROM f""",
 )
 def answer_letter_extract(spark, sf_dir):
-    rows = t(spark, sf_dir, "events").select("event_id", "event_type")
-    letter = lambda n: F.chr(F.lit(65) + F.col("event_id") % n)
-    reply = F.concat("event_type", F.lit(" reply. The answer is "), letter(7), F.lit(". Later: answer is ("), letter(4), F.lit(")"))
-    return rows.select("event_id", text.exact_letter(F.when(F.col("event_id") % 3 > 0, reply).otherwise("no option")).alias("letter"))
+    rows = t(spark, sf_dir, "events").select("event_id", F.expr(_LABEL).alias("label"), F.expr(_cases(_REPLIES, False)).alias("t"))
+    found = text.exact_match("t", "label")
+    return rows.select("event_id", text.exact_letter("t").alias("letter"), found["pattern"].alias("pattern"), found["exact_match"].alias("exact_match"))
+
+
+@query(
+    "chosen_letter_extract",
+    rf"""WITH r AS (SELECT event_id, {_cases(_REPLIES, True)} AS t FROM events),
+    x AS (SELECT event_id, regexp_extract_all(t, 'answer is \(?([A-J])\)?', 1) AS a, regexp_extract_all(t, '(?i)Answer[^A-E]*(?::)*[^A-E]*(?:boxed)*[^A-E]*([A-E])\b', 1) AS b,
+      regexp_extract_all(t, '\*\*\s*([A-E])\s*[.\-–]', 1) AS c, regexp_extract_all(t, '(?i)Option\s*([1-5])', 1) AS d FROM r)
+    SELECT event_id, CASE WHEN len(a) > 0 THEN upper(a[-1]) WHEN len(b) > 0 THEN upper(b[-1]) WHEN len(c) > 0 THEN c[1] WHEN len(d) > 0 THEN chr(64 + CAST(d[1] AS INT)) ELSE 'Unknown' END AS letter FROM x""",
+)
+def chosen_letter_extract(spark, sf_dir):
+    return t(spark, sf_dir, "events").select("event_id", text.chosen_letter(F.expr(_cases(_REPLIES, False))).alias("letter"))
+
+
+_TAGGED = (
+    "<question>Why {x}?</question>\n<answer>It is {y}.</answer>",
+    "<question>Why {x}?\n<answer>It is {y}.",
+    "<Question> {x} --- Answer --- {y}\nmore </ANSWER>",
+    "<question> </question><answer>{x}</answer>",
+    "<question>{x}</question> and no more",
+    "<answer>{x}</answer> <question>{y}</question>",
+    "{x}",
+)
+
+
+@query(
+    "qa_tag_extract",
+    rf"""WITH r AS (SELECT event_id, {_cases(_TAGGED, True)} AS t FROM events),
+    x AS (SELECT event_id, trim(regexp_extract(t, '(?is)<question>(.*?)(?:</question>|<answer>|---\s*Answer\s*---)', 1), ' ' || chr(10)) AS q, trim(regexp_extract(t, '(?is)(?:<answer>|---\s*Answer\s*---)(.*)', 1), ' ' || chr(10)) AS a FROM r),
+    y AS (SELECT event_id, q, trim(regexp_replace(a, '(?i)</answer>$', ''), ' ' || chr(10)) AS a FROM x)
+    SELECT event_id, q AS question, a AS answer FROM y WHERE q <> '' AND a <> ''""",
+)
+def qa_tag_extract(spark, sf_dir):
+    rows = t(spark, sf_dir, "events").select("event_id", text.question_answer(F.expr(_cases(_TAGGED, False))).alias("p"))
+    return rows.where("p is not null").select("event_id", "p.*")
+
+
+_BLOCKS = (
+    "<qa>\n<question>{x}1</question>\n<answer>{y}1</answer>\n</qa> and <QA><question>{x}2</question><answer>{y}\n2</answer></QA>",
+    "<question>{x}</question><answer>{y}</answer>",
+    "<qa><question>{x}</question> <answer> </answer></qa><qa> <question>{y}</question><answer>{x}</answer> </qa>",
+    "<qa><question>{x}<answer>{y}</answer></qa>",
+)
+
+
+@query(
+    "qa_block_explode",
+    rf"""WITH r AS (SELECT event_id, {_cases(_BLOCKS, True)} AS t FROM events),
+    x AS (SELECT event_id, unnest(regexp_extract_all(t, '(?is)<qa>\s*<question>(.*?)</question>\s*<answer>(.*?)</answer>\s*</qa>', 1)) AS q, unnest(regexp_extract_all(t, '(?is)<qa>\s*<question>(.*?)</question>\s*<answer>(.*?)</answer>\s*</qa>', 2)) AS a FROM r)
+    SELECT event_id, trim(q, ' ' || chr(10)) AS question, trim(a, ' ' || chr(10)) AS answer FROM x WHERE trim(q, ' ' || chr(10)) <> '' AND trim(a, ' ' || chr(10)) <> ''""",
+)
+def qa_block_explode(spark, sf_dir):
+    return t(spark, sf_dir, "events").select("event_id", F.inline(text.qa_blocks(F.expr(_cases(_BLOCKS, False)))))
+
+
+_LOGS = (
+    "export MODEL_PATH=/models/{x} v2\nTraceback (most recent call last)\nValueError: {y}\nKeyError: late\nok\nExit code: 1",
+    "run --args pretrained=org/{x},dtype=auto\nTraining completed\nExit code: 3\nExit code: 0",
+    "CUDNN_STATUS_ALLOC_FAILED\nError: first {x}\nERROR: second\nexit code: 9",
+    "step 1 loss is NaN for {x}\nFAILED here",
+    "OSError: [Errno 24] {x}\nnothing finished\nExit code: x",
+    "banana nanny finished {x}\nFINISHED",
+    "Traceback\nno more\nError: before {x}",
+    "{{'loss': 2.5, 'epoch': 0.1}} 10%|#  | 1/10 [00:01<00:09]\n{{'loss': 1.2{d}, 'epoch': 0.2}} 20%|## | 2/10 [00:02<00:08]",
+    "Elapsed: 01:02:03\n{{'loss': 3.0}}\nelapsed so far 0{d}:05:06 and 23:59:5{d}",
+)
+_LINES = "string_split(t, chr(10))"
+
+
+@query(
+    "log_summary",
+    rf"""WITH r AS (SELECT event_id, {_cases(_LOGS, True)} AS t FROM events),
+    l AS (SELECT *, {_LINES} AS ls, list_filter({_LINES}, lambda x: contains(x, 'Exit code:'))[-1] AS e, list_position(list_transform({_LINES}, lambda x: contains(x, 'Traceback')), true) AS tb FROM r),
+    c AS (SELECT *, nullif(regexp_extract(string_split(e, 'Exit code: ')[2], '^([0-9]*)', 1), '') AS code FROM l)
+    SELECT event_id, CASE WHEN code = '0' THEN 'COMPLETED' WHEN code IS NOT NULL THEN 'FAILED (exit code ' || code || ')' ELSE 'UNKNOWN' END AS status,
+      CASE WHEN regexp_matches(t, '(?i)cuda out of memory|cudnn_status_alloc_failed|cublas_status_alloc_failed|out of memory') THEN 'OOM' WHEN regexp_matches(t, '(?i)\bnan\b|loss is nan|nan loss') THEN 'NAN'
+           WHEN regexp_matches(t, '(?i)too many open files|errno 24') THEN 'FD_LIMIT' WHEN regexp_matches(t, '(?i)training finished|training completed') THEN 'FINISHED' ELSE 'IDK' END AS cause,
+      coalesce(CASE WHEN tb IS NOT NULL THEN list_filter(ls[tb:], lambda x: regexp_matches(x, '(Error|Exception)'))[-1] END, list_filter(ls, lambda x: regexp_matches(x, 'ERROR:|Error:|FAILED|exit code: [1-9]'))[1], 'UNKNOWN') AS error,
+      coalesce(regexp_extract(list_filter(ls, lambda x: contains(x, 'MODEL_PATH='))[1], 'MODEL_PATH=(.*)', 1), regexp_extract(list_filter(ls, lambda x: contains(x, 'pretrained='))[1], '.*pretrained=([^, ]+)', 1), 'UNKNOWN') AS model FROM c""",
+)
+def log_summary(spark, sf_dir):
+    rows = t(spark, sf_dir, "events").select("event_id", F.expr(_cases(_LOGS, False)).alias("t"))
+    return rows.select("event_id", text.log_status("t").alias("status"), text.log_cause("t").alias("cause"), text.last_error("t").alias("error"), text.model_path("t").alias("model"))
+
+
+@query(
+    "training_state",
+    rf"""WITH r AS (SELECT event_id, {_cases(_LOGS, True)} AS t FROM events),
+    e AS (SELECT *, regexp_extract_all(array_to_string(list_filter({_LINES}, lambda x: contains(lower(x), 'elapsed')), chr(10)), '[0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}}')[-1] AS elapsed FROM r),
+    s AS (SELECT *, elapsed IS NULL AND (regexp_matches(t, '(?i)out of memory|_status_alloc_failed|\bnan\b|errno 24') OR NOT regexp_matches(t, '(?i)training finished|training completed')) AS running FROM e)
+    SELECT event_id, elapsed, CASE WHEN running THEN regexp_extract_all(t, '[0-9]{{1,3}}%\|[^|]*\|[[:space:]]*[0-9]+/[0-9]+[[:space:]]*\[[^\]]+\]')[-1] END AS progress,
+      CASE WHEN running THEN regexp_extract_all(t, chr(39) || 'loss' || chr(39) || ':[[:space:]]*[0-9.]+')[-1] END AS loss, CASE WHEN running THEN regexp_extract_all(t, chr(39) || 'epoch' || chr(39) || ':[[:space:]]*[0-9.]+')[-1] END AS epoch FROM s""",
+)
+def training_state(spark, sf_dir):
+    rows = t(spark, sf_dir, "events").select("event_id", F.expr(_cases(_LOGS, False)).alias("t"))
+    return rows.select("event_id", text.training_state("t").alias("s")).select("event_id", "s.elapsed", "s.progress", "s.loss", "s.epoch")
 
 
 _ATTEMPTS = "SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS attempt, event_type AS text, CASE WHEN user_id % 5 = 0 THEN NULL ELSE event_type = 'purchase' END AS match FROM events"
@@ -266,11 +397,7 @@ def attempt_accuracy(spark, sf_dir):
     return generation.attempt_accuracy(_attempts(spark, sf_dir).where("attempt <= 8"))
 
 
-def _quoted(x: str) -> str:
-    return "'" + x.replace("'", "''") + "'"
-
-
-_PLACES = [(name, place) for place, names in CONTINENTS for name in names]
+_PLACES = list(CONTINENT_OF.items())
 _V = "lower(trim(coalesce(n_name, '')))"
 
 
@@ -373,10 +500,16 @@ def swap_coin(spark, sf_dir):
     return t(spark, sf_dir, "conversations").select("conv_id").distinct().withColumn("swap", sampling.swap_coin("conv_id"))
 
 
-@query("html_text_flatten")
+@query(
+    "html_text_flatten",
+    """SELECT page_id, concat_ws(chr(10) || chr(10), CASE WHEN trim(url) <> '' THEN '## address' || chr(10) || chr(10) || url END, CASE WHEN trim(html) <> '' THEN '## page' || chr(10) || chr(10) || html END,
+      CASE WHEN trim(html) <> '' THEN '## again' || chr(10) || chr(10) || html ELSE '' END) AS body FROM pages""",
+)
 def html_text_flatten(spark, sf_dir):
-    record = F.to_json(F.struct(F.col("url").alias("address"), F.struct(F.length("html").cast("string").alias("size")).alias("page")))
-    return t(spark, sf_dir, "pages").select("page_id", record.alias("record")).select("page_id", flat_content("record").alias("body"))
+    # sections, a nested one that loses its heading, and values that are no text
+    nested = F.struct(F.col("html").alias("again"), F.lit(" ").alias("blank"), F.lit(1).alias("number"))
+    record = F.to_json(F.struct(F.col("url").alias("address"), F.col("html").alias("page"), nested.alias("more"), F.array("url").alias("list"), F.length("html").alias("size")))
+    return t(spark, sf_dir, "pages").select("page_id", flat_content(record).alias("body"))
 
 
 _SCORES = """SELECT event_id AS item, 'Clarity' AS criterion, event_id % 5 + 1 AS a, (event_id * 3) % 5 + 1 AS b FROM events
@@ -417,7 +550,7 @@ def problem_samples(spark, sf_dir):
 
 @query("few_shot_draws")
 def few_shot_draws(spark, sf_dir):
-    pool = t(spark, sf_dir, "benchmark").select("item_id", "text").withColumn("example", F.row_number().over(Window.orderBy("item_id")) - 1)
+    pool = sampling.numbered(t(spark, sf_dir, "benchmark").select("item_id", "text"), "item_id", "example")
     return sampling.few_shot(t(spark, sf_dir, "labels").select("doc_id"), pool, "doc_id").select("doc_id", "shot", "item_id")
 
 
@@ -438,9 +571,8 @@ def pair_groups(spark, sf_dir):
 )
 def shown_categories(spark, sf_dir):
     rows = t(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("category")).join(t(spark, sf_dir, "labels"), "doc_id")
-    every = Window.partitionBy()
     counts = rows.groupBy("category").agg(F.count_if(F.col("quality") == 1).alias("a"), F.count_if(F.col("quality") == 0).alias("b"))
-    shares = counts.select("category", (F.col("a") / F.sum("a").over(every)).alias("prop_source"), (F.col("b") / F.sum("b").over(every)).alias("prop_synthetic"))
+    shares = counts.select("category", (F.col("a") / counts.agg(F.sum("a")).scalar()).alias("prop_source"), (F.col("b") / counts.agg(F.sum("b")).scalar()).alias("prop_synthetic"))
     return profile.shown_categories(shares)
 
 
@@ -448,3 +580,99 @@ def shown_categories(spark, sf_dir):
 def divergence_matrix(spark, sf_dir):
     sums = _arms(spark, sf_dir)[0].groupBy("lang", "quality").agg(F.sum("n_chars").alias("n"))
     return divergence.matrix(sums, "lang", "quality", "n", [1, 0])
+
+
+_JUDGE = "SELECT item, CASE WHEN item % 5 = 0 THEN NULL ELSE ['1', '2', '12'][1 + (item * 3) % 3 + item % 2] END AS judge_vote FROM (SELECT DISTINCT item FROM (" + _VOTES + "))"
+
+
+@query(
+    "judge_panel_kappa",
+    f"""WITH p AS (SELECT item, {_VERDICT.format("a", "b", "c")} AS panel FROM ({_COUNTS}) WHERE a + b + c >= 2),
+    r AS (SELECT judge_vote AS x, panel AS y FROM p JOIN ({_JUDGE}) USING (item) WHERE judge_vote IS NOT NULL),
+    k AS (SELECT count(*) AS n, avg((x = y)::int) AS agreement, avg((x = '1')::int) * avg((y = '1')::int) + avg((x = '2')::int) * avg((y = '2')::int) + avg((x = '12')::int) * avg((y = '12')::int) AS chance FROM r)
+    SELECT n, round(agreement, 9) AS agreement, round(CASE WHEN chance >= 1 THEN 1 ELSE (agreement - chance) / (1 - chance) END, 9) AS kappa FROM k""",
+)
+def judge_panel_kappa(spark, sf_dir):
+    votes = _votes(spark, sf_dir)
+    names = F.array(*map(F.lit, ("1", "2", "12")))
+    judged = votes.select("item").distinct().withColumn("judge_vote", F.when(F.col("item") % 5 != 0, F.element_at(names, (1 + F.col("item") * 3 % 3 + F.col("item") % 2).cast("int"))))
+    return judge.judge_against_panel(votes, judged, "item", "vote", "judge_vote").select("n", F.round("agreement", 9).alias("agreement"), F.round("kappa", 9).alias("kappa"))
+
+
+@query(
+    "chosen_margins",
+    """WITH h AS (SELECT event_id, CASE WHEN user_id % 3 = 0 THEN '12' ELSE CAST(1 + user_id % 2 AS VARCHAR) END AS vote, event_id % 5 + 1 AS h1, (event_id * 3) % 5 + 1 AS h2, user_id % 5 + 1 AS j1, (event_id + user_id) % 5 + 1 AS j2 FROM events WHERE event_id % 4 <> 0),
+    s AS (SELECT CASE WHEN vote = '1' THEN 1 ELSE -1 END AS sign, h1 - h2 AS h, j1 - j2 AS j, event_id FROM h WHERE vote <> '12')
+    SELECT 'Clarity' AS criterion, round(avg(sign * j), 9) AS judge_diff, count(*) AS judge_n, round(avg(sign * h), 9) AS human_diff, count(*) AS human_n FROM s
+    UNION ALL SELECT 'Fairness', round(avg(sign * j), 9), count(*), NULL, 0 FROM s""",
+)
+def chosen_margins(spark, sf_dir):
+    e, u = F.col("event_id"), F.col("user_id")
+    of = lambda clarity, fairness: F.create_map(F.lit("Clarity"), clarity.cast("string"), F.lit("Fairness"), fairness.cast("string"))
+    rows = t(spark, sf_dir, "events")
+    vote = F.when(u % 3 == 0, "12").otherwise((1 + u % 2).cast("string"))
+    humans = rows.select(e, vote.alias("vote"), of(e % 5 + 1, F.lit("n/a")).alias("first"), of(e * 3 % 5 + 1, F.lit("4.0")).alias("second"))
+    judged = rows.select(e, F.when(e % 4 != 0, "1").alias("judge_vote"), of(u % 5 + 1, u % 5 + 1).alias("first"), of((e + u) % 5 + 1, (e + u) % 5 + 1).alias("second"))
+    out = judge.chosen_margins(humans, judged, "event_id").where("judge_n > 0")
+    return out.select("criterion", F.round("judge_diff", 9).alias("judge_diff"), "judge_n", F.round("human_diff", 9).alias("human_diff"), "human_n")
+
+
+@query("score_deviation")
+def score_deviation(spark, sf_dir):
+    tags = t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.array("o_orderpriority").alias("example_tags"))
+    return rubric.bootstrap_deviation(rubric.tag_scores(_graded(spark, sf_dir), "l_orderkey", tags), "tag")
+
+
+_MESSAGES = """SELECT conv_id, '[' || string_agg('{"content": ' || to_json(text) || ', "role": ' || to_json(role) || '}', ', ' ORDER BY turn) || ']' AS m FROM conversations WHERE text IS NOT NULL AND role IS NOT NULL GROUP BY conv_id"""
+
+
+@query("message_list_keys", f"SELECT conv_id, 't0.0_n16_' || sha256(m) AS key FROM ({_MESSAGES})")
+def message_list_keys(spark, sf_dir):
+    rows = t(spark, sf_dir, "conversations").where("text is not null and role is not null")
+    turns = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))), lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
+    return rows.groupBy("conv_id").agg(turns.alias("m")).select("conv_id", generation.prompt_key(generation.messages_json("m"), 0.0, 16).alias("key"))
+
+
+@query(
+    "record_filters",
+    f"""WITH p AS ({_PAIRS}), r AS (SELECT *, coalesce(question, '') || coalesce(answer, '') AS body, CASE WHEN conv_id % 4 = 0 THEN '' WHEN conv_id % 4 = 1 THEN 'B' END AS label FROM p)
+    SELECT conv_id, question IS NOT NULL AND answer IS NOT NULL AS complete, coalesce(length(body) >= 40 AND conv_id % 9 <> 0, false) AS valid, nullif(question, '') IS NOT NULL AS prompt,
+      {_TOKENS.format("body")} <= 60 AS within, coalesce(label, '') <> '' AND conv_id % 2 = 0 IS NOT TRUE AS again FROM r""",
+)
+def record_filters(spark, sf_dir):
+    label = F.when(F.col("conv_id") % 4 == 0, "").when(F.col("conv_id") % 4 == 1, "B")
+    rows = first_turn_pairs(spark, sf_dir).withColumn("full_text", F.concat(F.coalesce("question", F.lit("")), F.coalesce("answer", F.lit(""))))
+    rows = rows.withColumns({"parse_failed": F.lit(False), "id": F.when(F.col("conv_id") % 9 == 0, "x_None").otherwise("x_1"), "prompt": F.lit(None).cast("string"), "label": label, "match": F.col("conv_id") % 2 == 0})
+    return rows.select(
+        "conv_id",
+        profile.is_complete().alias("complete"),
+        F.coalesce(profile.is_valid(strict=True), F.lit(False)).alias("valid"),
+        profile.has_prompt().alias("prompt"),
+        generation.within_budget("full_text", 60).alias("within"),
+        generation.to_retry(2, False, "label", "match").alias("again"),
+    )
+
+
+_FIELDS = (" Cardiology", "general medicine", "Public-Health", "astrology")
+
+
+@query(
+    "metadata_parse",
+    f"""WITH r AS (SELECT doc_id, {list(_FIELDS)}[1 + doc_id % 4] AS s, doc_id % 7 AS d, doc_id % 5 = 0 AS broken FROM documents)
+    SELECT doc_id, NOT broken AS ok, CASE WHEN broken THEN NULL ELSE ['cardiology', 'general_medicine', 'public_health', 'unspecified'][1 + doc_id % 4] END AS specialty,
+      CASE WHEN NOT broken AND d BETWEEN 1 AND 5 THEN CAST(d AS INT) END AS difficulty, CASE WHEN broken THEN NULL ELSE 'other' END AS question_type FROM r""",
+)
+def metadata_parse(spark, sf_dir):
+    field = F.element_at(F.array(*map(F.lit, _FIELDS)), (1 + F.col("doc_id") % 4).cast("int"))
+    reply = F.concat(F.lit("Sure: "), F.to_json(F.struct(field.alias("specialty"), F.concat((F.col("doc_id") % 7).cast("string"), F.lit(".6")).alias("difficulty"), F.lit("} {").alias("geography"))))
+    replies = t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 5 == 0, F.left(reply, F.lit(20))).otherwise(reply).alias("reply"))
+    records = replies.select("id", F.lit(False).alias("is_document"), F.lit("x").alias("raw"))
+    m = F.col("analysis_metadata")
+    return metadata.tagged(records, replies).select(F.col("id").alias("doc_id"), m["_parse_ok"].alias("ok"), m["specialty"].alias("specialty"), m["difficulty"].alias("difficulty"), m["question_type"].alias("question_type"))
+
+
+@query("subword_candidates")
+def subword_candidates(spark, sf_dir):
+    """Candidates by pre-tokens of letters, digits and marks: another tokenizer than white space."""
+    parts = lambda x: F.regexp_extract_all(F.coalesce(x if not isinstance(x, str) else F.col(x), F.lit("")), F.lit(r"\p{L}+|\p{N}+|[^\s\p{L}\p{N}]"), F.lit(0))
+    return decontam.candidates(t(spark, sf_dir, "documents"), t(spark, sf_dir, "benchmark"), "doc_id", "item_id", 13, parts)

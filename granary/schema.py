@@ -8,5 +8,3 @@ CORPUS = """id string, pair string, split string, source_file string, question s
 CONVERSATION = "id string, conversation_id string, conversations array<struct<from: string, value: string>>, label_letter string, is_labeled boolean"
 RUBRIC = "prompt_id string, prompt array<struct<role: string, content: string>>, rubrics array<struct<criterion: string, points: double, tags: array<string>>>, example_tags array<string>"
 METADATA = "struct<specialty: string, level_of_care: string, severity: string, geography: string, question_type: string, age_group: string, difficulty: int, _parse_ok: boolean, _raw_preview: string>"
-#: The name that one pair of sources goes by in files, and the one used here.
-PAIR_ALIASES = {"meditron": "curated", "Curated_QA": "curated"}

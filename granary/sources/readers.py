@@ -9,23 +9,38 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from granary import schema
 from granary.functions.parsing import flat_content
-from granary.functions.text import has_think_block, is_mcq
-from granary.operators.conversations import ASSISTANT, USER, first_turn, full_text
+from granary.functions.text import has_think_block, is_mcq, strip
+from granary.operators.conversations import ASSISTANT, USER, first_turn, full_text, union_all
+from granary.operators.decontam import PROMPTS
+from granary.operators.sampling import numbered
 
 #: Files of a guideline folder that aren't guidelines.
 SKIPPED = ("magic",)
 CORRUPT = "_corrupt"
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: str, strict: bool = True) -> DataFrame:
+def read_jsonl(spark: SparkSession, path: str, columns: str, strict: bool = True) -> DataFrame:
     """JSON lines under a declared schema; blank lines are skipped (SRC1-2). A malformed line is an error, or not ``strict``, left out."""
     if strict:
-        return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
-    rows = spark.read.schema(f"{schema}, {CORRUPT} string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path)
+        return spark.read.schema(columns).option("mode", "FAILFAST").json(path)
+    rows = spark.read.schema(f"{columns}, {CORRUPT} string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path)
     return rows.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
 
 
+def questions(spark: SparkSession, path: str) -> DataFrame:
+    """The trimmed texts of ``question`` of JSON lines (SRC2): lines that aren't JSON, have none, a blank one or no string are left out."""
+    lines = spark.read.text(path).select(F.try_variant_get(F.try_parse_json("value"), "$.question", "variant").alias("v"))
+    texts = lines.where(F.schema_of_variant("v") == "STRING").select(strip(F.variant_get("v", "$", "string")).alias("question"))
+    return texts.where("question <> ''")
+
+
+def rubric_examples(spark: SparkSession, paths: dict[str, str], subset: str = "all") -> DataFrame:
+    """Examples with their rubrics from the local JSON lines of a subset, by name (SRC13); a KeyError if there is no such subset."""
+    return read_jsonl(spark, paths[subset], schema.RUBRIC)
+
+
 def malformed(spark: SparkSession, path: str) -> DataFrame:
     """The lines that aren't JSON, with their file: what a lenient read leaves out."""
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), "value").where("trim(value) <> ''")
@@ -102,7 +117,8 @@ _TURNS = "array<struct<`from`: string, value: string>>"
 
 
 def conversations(spark: SparkSession, path: str, pair: str, split: str, prefix: str) -> DataFrame:
-    """Conversation files as corpus records (SRC7): the first turns, else the top-level keys; ids by the record, else by file order."""
+    """Conversation files as corpus records (SRC7): the first turns, else the top-level keys; ids by the record, else by
+    the hash of question and answer, since rows have no order: the same pair has the same id in every run."""
     text = ", ".join(f"{x} string" for x in (*QUESTION_KEYS, *ANSWER_KEYS))
     rows = read_jsonl(spark, path, f"id string, question_id string, conversation_id string, conversations {_TURNS}, {text}, label_letter string, parse_failed boolean", strict=False)
     filled = lambda keys: (F.nullif(F.col(k), F.lit("")) for k in keys)
@@ -125,15 +141,17 @@ def conversations(spark: SparkSession, path: str, pair: str, split: str, prefix:
 
 
 def guidelines(spark: SparkSession, path: str) -> DataFrame:
-    """A folder of guideline files as corpus records (SRC8-9): the body is the first of four fields that has text, its name the variant."""
+    """A folder of guideline files as corpus records (SRC8-9): the body is the first of four fields that has text, its name the
+    variant (content by its kind). Records without an id have one by their hash."""
     rows = spark.read.option("pathGlobFilter", "*.jsonl").text(path).select(F.lower(F.regexp_extract("_metadata.file_path", r"([^/]+)\.jsonl$", 1)).alias("source"), F.col("value").alias("record"))
     rows = rows.where(F.trim("record") != "").where(~F.col("source").isin(*SKIPPED))
     bodies = ("clean_text", "text", "content", "raw_text")
-    rows = rows.withColumn("content", F.get_json_object("record", "$.content")).withColumn("content", flat_content("content"))
-    body = {b: (F.nullif(F.trim("content"), F.lit("")) if b == "content" else F.nullif(F.trim(_json(b)), F.lit(""))) for b in bodies}
-    rows = rows.select("source", "record", _json("id").alias("id"), _json("title", "name").alias("title"), _json("url", "link").alias("url"), F.coalesce(*body.values()).alias("body"), F.coalesce(*(F.when(c.isNotNull(), b) for b, c in body.items()), F.lit("empty")).alias("variant"))
+    rows = rows.withColumn("content", flat_content(F.get_json_object("record", "$.content"))).withColumn("kind", F.when(F.try_variant_get(F.try_parse_json("record"), "$.content", "map<string, variant>").isNotNull(), "content_dict").otherwise("content_str"))
+    body = {b: F.nullif(strip("content" if b == "content" else _json(b)), F.lit("")) for b in bodies}
+    variant = F.coalesce(*(F.when(c.isNotNull(), F.col("kind") if b == "content" else F.lit(b)) for b, c in body.items()), F.lit("empty"))
+    rows = rows.select("source", "record", _json("id").alias("id"), strip(_json("title", "name")).alias("title"), _json("url", "link").alias("url"), F.coalesce(*body.values()).alias("body"), variant.alias("variant"))
     return rows.select(
-        F.coalesce("id", F.concat_ws("_", "source", F.md5(F.coalesce("record", F.lit(""))))).alias("id"),
+        F.concat(F.lit("guidelines_src_"), F.coalesce("id", F.concat_ws("_", "source", F.md5(F.coalesce("record", F.lit("")))))).alias("id"),
         F.lit("guidelines").alias("pair"),
         F.lit("source").alias("split"),
         full_text("title", "body").alias("full_text"),
@@ -145,16 +163,32 @@ def guidelines(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def splits(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
-    """Parquet datasets by split as one table with a column ``split`` (SRC11)."""
-    from granary.operators.conversations import union_all
+def dataset(spark: SparkSession, path: str, columns: str | None = None) -> DataFrame:
+    """A table from a Parquet folder, or from JSON lines if the name says so (SRC11-12); JSON needs a schema."""
+    if path.endswith((".json", ".jsonl")):
+        if columns is None:
+            raise ValueError("JSON needs a schema")
+        return read_jsonl(spark, path, columns)
+    return spark.read.parquet(path)
+
+
+def splits(spark: SparkSession, paths: dict[str, str], columns: str | None = None, name: str = "split") -> DataFrame:
+    """Datasets by split as one table with a column ``split`` (SRC11)."""
+    return union_all(*(dataset(spark, path, columns).withColumn(name, F.lit(x)) for x, path in paths.items()))
+
 
-    return union_all(*(spark.read.parquet(path).withColumn("split", F.lit(name)) for name, path in paths.items()))
+def benchmarks(spark: SparkSession, paths: dict[str, tuple[str, str]], columns: str | None = None) -> DataFrame:
+    """(benchmark, item_id, text) of local benchmarks, by name: path and format (SRC12, PRJ8); items are numbered alike in every run."""
+    parts = []
+    for name, (path, form) in paths.items():
+        prompts = dataset(spark, path, columns).select(PROMPTS[form]().alias("text"))
+        parts.append(numbered(prompts, "text", "item_id").select(F.lit(name).alias("benchmark"), "item_id", "text"))
+    return union_all(*parts)
 
 
 LOADERS: dict[tuple[str, str], Callable[..., DataFrame]] = {
-    ("moove", "source"): votes,
-    ("moove", "synthetic"): lambda spark, path: conversations(spark, path, "moove", "synthetic", "moove_syn"),
+    ("votes", "source"): votes,
+    ("votes", "synthetic"): lambda spark, path: conversations(spark, path, "votes", "synthetic", "votes_syn"),
     ("curated", "source"): lambda spark, path: conversations(spark, path, "curated", "source", "curated_src"),
     ("curated", "synthetic"): lambda spark, path: conversations(spark, path, "curated", "synthetic", "curated_syn"),
     ("guidelines", "source"): guidelines,
@@ -162,9 +196,9 @@ LOADERS: dict[tuple[str, str], Callable[..., DataFrame]] = {
 }
 
 
-def load(spark: SparkSession, pair: str, split: str, path: str) -> DataFrame:
-    """By pair and split; a KeyError if there is no such loader (SRC10)."""
-    return LOADERS[pair, split](spark, path)
+def load(spark: SparkSession, pair: str, split: str, path: str, aliases: dict[str, str] | None = None) -> DataFrame:
+    """By pair, or another name for it in ``aliases``, and split; a KeyError if there is no such loader (SRC10)."""
+    return LOADERS[(aliases or {}).get(pair, pair), split](spark, path)
 
 
 def load_all(spark: SparkSession, paths: dict[tuple[str, str], str]) -> tuple[dict[tuple[str, str], DataFrame], dict[tuple[str, str], str]]:

@@ -7,6 +7,10 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from granary.functions.text import jsd_label
+from granary.operators.profile import in_field_order
+from granary.sources.files import exists
+
 
 def write_jsonl(rows: DataFrame, path: str, mode: str = "error") -> None:
     """JSON lines with null fields kept, without the raw payload (SNK1); ``mode`` append adds to what is there (SNK2)."""
@@ -26,9 +30,13 @@ def write_reports(found: DataFrame, path: str, benchmark: str = "benchmark") ->
 
 
 def write_csv(rows: DataFrame, path: str, decimals: int = 6, mode: str = "overwrite") -> None:
-    """CSV with a header and fixed decimals (SNK5); ``mode`` append adds a line of a summary (SNK6)."""
-    fixed = [F.format_string(f"%.{decimals}f", c).alias(c) if kind == "double" else F.col(c) for c, kind in rows.dtypes]
-    rows.select(*fixed).write.mode(mode).option("header", True).csv(path)
+    """CSV with a header and fixed decimals (SNK5); ``mode`` append adds a line of a summary, and a header only to a new one (SNK6).
+
+    A null isn't written as a number.
+    """
+    fixed = [F.when(F.col(c).isNotNull(), F.format_string(f"%.{decimals}f", c)).alias(c) if kind == "double" else F.col(c) for c, kind in rows.dtypes]
+    header = mode != "append" or not exists(rows.sparkSession, path)
+    rows.select(*fixed).write.mode(mode).option("header", header).csv(path)
 
 
 def markdown(rows: DataFrame, most: int = 1000) -> str:
@@ -41,6 +49,25 @@ def markdown(rows: DataFrame, most: int = 1000) -> str:
     return "\n".join("| " + " | ".join(x) + " |" for x in lines)
 
 
+def divergence_report(found: DataFrame, task_rows: DataFrame | None = None, fields: list[str] | None = None) -> str:
+    """A Markdown report (SNK7): for each pair its fields, in the given order, with value, interval and, for divergences
+    between 0 and 1, what the value means; then the task formats by pair and side.
+
+    ``found`` has (pair, field, metric, value, ci_low, ci_high), with metrics jensen_shannon and wasserstein_1.
+    """
+    rows = found.where(F.col("metric").isin("jensen_shannon", "wasserstein_1"))
+    label = F.when(F.col("metric") == "jensen_shannon", jsd_label("value")).otherwise("")
+    name = F.when(F.col("metric") == "jensen_shannon", "JSD").otherwise("Wasserstein-1")
+    interval = F.format_string("[%.3f, %.3f]", "ci_low", "ci_high")
+    shown = rows.select("pair", F.col("field").alias("Field"), name.alias("Metric"), F.format_string("%.3f", "value").alias("Value"), interval.alias("95% CI"), label.alias("Interpretation"))
+    parts = ["# Distribution shift"]
+    for pair in sorted(r[0] for r in rows.select("pair").distinct().collect()):  # a few names
+        parts += [f"## {pair.upper()}", markdown(in_field_order(shown.where(F.col("pair") == pair).drop("pair"), fields or [], "Field"))]
+    if task_rows is not None:
+        parts += ["## Task format", markdown(task_rows)]
+    return "\n\n".join(parts) + "\n"
+
+
 def with_missing(counts: DataFrame, cached: DataFrame, key: str) -> DataFrame:
     """Cached rows and, for keys that aren't cached, new ones (SNK10, SET4)."""
     return cached.unionByName(counts.join(cached.select(key), key, "left_anti").select(*cached.columns))
