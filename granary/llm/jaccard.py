@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from functools import reduce
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -15,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from granary.llm.common import forget, lists, mixed, shingle_sets, steps, stored, table, texts_of
-from granary.llm.graph import components
+from granary.llm.graph import components, grown
 
 #: Size of the filter of frequent shingles: so many bits at any size of the corpus (1 MB is broadcast).
 BITS = 1 << 23
@@ -134,7 +133,7 @@ def signed(docs: DataFrame, k: int, t: Fraction, bits) -> DataFrame:
 
 
 def with_sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """node and tokens (its shingle set) of ``nodes`` (node, doc_id), and of namesakes: made anew from the texts, never stored.
+    """node and tokens (its shingle set) of ``nodes`` (node, doc_id), and of namesakes: made anew from the texts that are asked for.
 
     Only the texts of those documents are read into Python: a semi-join, broadcast only up to
     BROADCAST ids. A doc_id can stand in several rows, so callers join by node.
@@ -145,9 +144,8 @@ def with_sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
             digests = pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in every], pa.binary())
             yield pa.RecordBatch.from_arrays([digests, _flat(every)], ["digest", "tokens"])
 
-    asked = nodes.select(F.col("doc_id").alias("_doc")).distinct()
-    if nodes.count() <= BROADCAST:
-        asked = F.broadcast(asked)
+    asked = nodes.select(F.col("doc_id").alias("_doc"))
+    asked = F.broadcast(asked) if nodes.count() <= BROADCAST else asked.distinct()
     texts = docs.join(asked, F.col("doc_id").eqNullSafe(F.col("_doc")), "left_semi").select("doc_id", "text")
     made = texts.mapInArrow(run, "digest binary, tokens array<long>")
     return made.where("digest is not null").select(F.xxhash64("digest").alias("node"), "tokens")
@@ -194,11 +192,13 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, t: Thr
     of = nodes.select("node", "doc_id", "n", "sketch")
     both = pairs.join(of.toDF("a", "a_doc", "na", "a_sketch"), "a").join(of.toDF("b", "b_doc", "nb", "b_sketch"), "b")
     left = stored(both.where(t.sizes("na", "nb")).where(t.sketches("a_sketch", "b_sketch", "na", "nb")).select("a", "b", "na", "nb", "a_doc", "b_doc").distinct(), "pairs")
-    a = with_sets(docs, left.select(F.col("a").alias("node"), F.col("a_doc").alias("doc_id")), k).toDF("a", "ta")
-    b = with_sets(docs, left.select(F.col("b").alias("node"), F.col("b_doc").alias("doc_id")).distinct(), k).toDF("b", "tb")
-    shared = left.join(a, "a").join(b, "b").withColumn("shared", F.size(F.array_intersect("ta", "tb")).cast("long"))
+    if left.isEmpty():
+        return left.select("a", "b")
+    ends = left.select(F.col("a").alias("node"), F.col("a_doc").alias("doc_id")).unionAll(left.select("b", "b_doc"))
+    sets = stored(with_sets(docs, ends, k), "sets")  # the texts are read once for both ends
+    shared = left.join(sets.toDF("a", "ta"), "a").join(sets.toDF("b", "tb"), "b").withColumn("shared", F.size(F.array_intersect("ta", "tb")).cast("long"))
     out = stored(shared.where(t.reached("shared", "na", "nb")).select("a", "b").distinct(), "links")
-    forget(left)
+    forget(left, sets)
     return out
 
 
@@ -277,8 +277,8 @@ def linked(docs: DataFrame, k: int, threshold: Fraction) -> DataFrame:
     # nodes with the same first shingle, around the one with the fewest rare shingles
     firsts = nodes.select("node", F.col("node").alias("root"), F.col("rare").alias("rank"), F.posexplode("firsts").alias("seed", "first"))
     star = starred(firsts.select(F.xxhash64("seed", "first").alias("token"), "node", "root", "rank"))
-    edges = [verified(docs, nodes, star, k, t)]
-    roots = components(edges[0])
+    edges = verified(docs, nodes, star, k, t)
+    roots = components(edges)
 
     # the same for nodes that share a shingle of their prefixes, then for what hot lists of these are narrowed to
     root = F.coalesce("root", F.col("node")).alias("root")
@@ -286,11 +286,12 @@ def linked(docs: DataFrame, k: int, threshold: Fraction) -> DataFrame:
     def joined(lists: DataFrame) -> DataFrame:
         """The components once each list's nodes are linked with their centre."""
         again = starred(lists.join(roots, "node", "left").select("token", "node", root, F.xxhash64("node").alias("rank")))
-        edges.append(verified(docs, nodes, again, k, t))
-        forget(again, roots)
-        return components(reduce(DataFrame.unionAll, edges))
+        edges = verified(docs, nodes, again, k, t)
+        out = grown(roots, edges)
+        forget(again, edges)
+        return out
 
-    forget(star)
+    forget(star, edges)
     cells = shared_cells(nodes, roots, heavy)
     roots = joined(cells)
     lists, more = narrow_lists(docs, nodes, roots, cells, k, t)
@@ -315,21 +316,22 @@ def linked(docs: DataFrame, k: int, threshold: Fraction) -> DataFrame:
     asked = queries.select("root", "level", "size").distinct()
     members = placed.drop("sketch").join(asked, ["root", "level"]).select("node", "doc_id", "n", "root", "level", F.pmod(F.xxhash64(F.lit(1), "node"), F.ceil(F.col("size") / GROUP)).alias("part"))
     members = stored(members, "members")
-    unions = members.join(with_sets(docs, members, k), "node").groupBy("root", "level", "part").agg(F.collect_list(F.struct("node", "n", "tokens")).alias("members"))
+    sets = stored(with_sets(docs, members.select("node", "doc_id").unionAll(queries.select("node", "doc_id")), k), "sets")
+    unions = members.join(sets, "node").groupBy("root", "level", "part").agg(F.collect_list(F.struct("node", "n", "tokens")).alias("members"))
     unions = unions.withColumn("union", F.when(F.size("members") == 1, F.col("members")[0]["tokens"]).otherwise(F.array_distinct(F.flatten(F.col("members.tokens")))))
     # a member as similar as t shares t of the query's shingles, and the member's are all in the union
-    tested = queries.drop("size").join(with_sets(docs, queries.select("node", "doc_id"), k), "node").join(unions, ["root", "level"])
+    tested = queries.drop("size").join(sets, "node").join(unions, ["root", "level"])
     qualified = tested.withColumn("room", F.size(F.array_intersect("tokens", "union")).cast("long")).where(t.query("room", "n"))
     pairs = qualified.select("node", "n", "tokens", F.explode("members").alias("m")).withColumn("shared", F.size(F.array_intersect("tokens", "m.tokens")).cast("long"))
-    edges.append(stored(pairs.where(t.reached("shared", "n", "m.n")).select(F.col("node").alias("a"), F.col("m.node").alias("b")), "links"))
-    every = components(reduce(DataFrame.unionAll, edges))
+    edges = stored(pairs.where(t.reached("shared", "n", "m.n")).select(F.col("node").alias("a"), F.col("m.node").alias("b")), "links")
+    every = grown(roots, edges)
 
     # the smallest doc_id of each component, and back to all rows
     label = nodes.join(every, "node").groupBy("root").agg(F.min("doc_id").alias("least"))
     named = nodes.select("node", "doc_id").join(every, "node", "left").join(label, "root", "left").select("node", root, F.coalesce("least", "doc_id").alias("component_id"))
     out = rows.where("n > 0").select("doc_id", F.col("n").alias("n_shingles"), node).join(named, "node").select("doc_id", "n_shingles", "component_id", "node", "root")
     out = stored(out.unionAll(rows.where("n = 0").select("doc_id", "n", "doc_id", *(F.lit(None).cast("long") for _ in range(2)))), "linked")
-    forget(rows, nodes, heavy, cells, lists, opened, queries, members, roots, every, *edges)
+    forget(rows, nodes, heavy, cells, sets, lists, opened, queries, members, every, edges)
     return out
 
 
