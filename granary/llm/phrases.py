@@ -208,32 +208,25 @@ class Shard:
         return edge[0::2], edge[1::2], pairs // max(1, len(phrases.items)), pairs % max(1, len(phrases.items))
 
 
-#: The index's own columns, beside those of the table that is indexed.
-INDEX = {"_n_words": "long", "_terms": "array<string>", "_counts": "array<int>", "_positions": "array<int>"}
-
-
-def lists_of(values: pa.Array, counts: list[int] | np.ndarray) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(offsets(np.array(counts, np.int64)).astype(np.int32)), values)
+#: The index's own columns, beside those of the table that is indexed. Postings are packed, so that a text's are three values and
+#: not three lists: terms with blanks between them, numbers of occurrences and positions as little-endian 32-bit integers.
+INDEX = {"_n_words": "long", "_terms": "binary", "_counts": "binary", "_positions": "binary"}
+PACKED = np.dtype("<i4")
 
 
 def posted(texts: list[bytes]) -> list[pa.Array]:
     """The index's columns of some texts."""
-    n_words, n_terms, terms, counts, positions = [], [], [], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    n_words, terms, counts, positions = [], [], [], []
     for text in texts:
         words = words_of(text)
-        number = {w: i for i, w in enumerate(dict.fromkeys(words))}
-        ids = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+        number = dict.fromkeys(words)
+        number = dict(zip(number, range(len(number)), strict=True))
+        ids = np.fromiter(map(number.__getitem__, words), PACKED, len(words))
         n_words.append(len(words))
-        n_terms.append(len(number))
-        terms += number
-        counts.append(np.bincount(ids, minlength=len(number)) if len(number) else ids)
-        positions.append(np.argsort(ids, kind="stable"))
-    return [
-        pa.array(n_words, pa.int64()),
-        lists_of(pa.array(terms, pa.binary()).cast(pa.string()), n_terms),
-        lists_of(pa.array(np.concatenate(counts), pa.int32()), n_terms),
-        lists_of(pa.array(np.concatenate(positions), pa.int32()), n_words),
-    ]
+        terms.append(b" ".join(number))
+        counts.append(np.bincount(ids, minlength=len(number)).astype(PACKED).tobytes())
+        positions.append(np.argsort(ids, kind="stable").astype(PACKED).tobytes())
+    return [pa.array(n_words, pa.int64()), *(pa.array(x, pa.binary()) for x in (terms, counts, positions))]
 
 
 def index(docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -252,14 +245,15 @@ def index(docs: DataFrame, keep: list[str]) -> DataFrame:
 
 def shards(batch: pa.RecordBatch, at: int, phrases: Phrases) -> Iterator[tuple[int, int, Shard]]:
     """Ranges of a batch's rows (of a few MB, or one) with their shard; the index's columns begin at column ``at``."""
-    n_words, terms, counts, positions = batch.columns[at : at + 4]
-    sizes = n_words.to_numpy()
+    sizes = batch.column(at).to_numpy()
+    terms, counts, positions = (c.to_pylist() for c in batch.columns[at + 1 : at + 4])
     for a, b in steps_of([6 * n for n in sizes.tolist()]):
-        own = [x.slice(a, b - a).flatten() for x in (terms, counts, positions)]
-        ids = np.fromiter(map(phrases.vocabulary.get, own[0].cast(pa.binary()).to_pylist(), repeat(-1)), np.int64, len(own[0]))
+        own = b" ".join(terms[a:b]).split()
+        ids = np.fromiter(map(phrases.vocabulary.get, own, repeat(-1)), np.int64, len(own))
+        often, place = (np.frombuffer(b"".join(x[a:b]), PACKED).astype(np.int64) for x in (counts, positions))
         words = sizes[a:b]
-        place = own[2].to_numpy(zero_copy_only=False).astype(np.int64) + np.repeat(offsets(words + 1)[:-1], words)
-        yield a, b, Shard(np.repeat(ids, own[1].to_numpy(zero_copy_only=False)), place, words, len(phrases.vocabulary))
+        place += np.repeat(offsets(words + 1)[:-1], words)
+        yield a, b, Shard(np.repeat(ids, often), place, words, len(phrases.vocabulary))
 
 
 def blocks(items: DataFrame) -> Iterator[list[tuple[str | None, bytes]]]:
