@@ -20,11 +20,18 @@ def ngrams(tokens: str | Column, n: int, tail: bool = False) -> Column:
 
 
 def hashed(tokens: str | Column, n: int, tail: bool = False) -> Column:
-    """``ngrams`` as 64-bit hashes, repeats included: eight bytes instead of eight words."""
-    token = F.transform(tokens, lambda x: F.xxhash64(x))
-    last = F.size(token) - n + (1 if tail else 0)
-    window = lambda i: F.xxhash64(*(F.get(token, i + j) for j in range(n)))
-    return F.when(last >= 1, F.transform(F.sequence(F.lit(0), last - 1), window)).otherwise(F.array().cast("array<bigint>"))
+    """``ngrams`` as 64-bit hashes, repeats included: eight bytes instead of eight words.
+
+    The tokens' hashes are bound to a lambda's variable: what a lambda only refers to is evaluated
+    again at each use, so that a text would cost its tokens squared.
+    """
+
+    def windows(token: Column) -> Column:
+        last = F.size(token) - n + (1 if tail else 0)
+        window = lambda i: F.xxhash64(*(F.get(token, i + j) for j in range(n)))
+        return F.when(last >= 1, F.transform(F.sequence(F.lit(0), last - 1), window)).otherwise(F.array().cast("array<bigint>"))
+
+    return F.get(F.transform(F.array(F.transform(tokens, lambda x: F.xxhash64(x))), windows), F.lit(0))
 
 
 def subwords(path: str) -> Callable[[str | Column], Column]:

@@ -2,6 +2,7 @@
 
 import json
 import math
+import time
 
 import numpy as np
 from pyspark.sql import Row
@@ -308,6 +309,16 @@ def test_hashed_ngrams(spark):
         assert decontam.indexed(rows, "doc_id", 8, tail).distinct().count() == len(plain)
 
 
+def test_hashed_ngrams_linear(spark):
+    # a long text's tokens are hashed once, not again for each token of each n-gram
+    words = [f"w{i}" for i in range(8000)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:4000] + ["x"] * 9))], "doc_id long, text string")
+    items = spark.createDataFrame([(7, " ".join(words[5000:5012])), (8, " ".join(words[100:109]))], "item_id long, text string")
+    began = time.time()
+    assert sorted(tuple(r) for r in decontam.candidates(docs, items, "doc_id", "item_id").collect()) == [(1, 7), (1, 8), (2, 8)]
+    assert time.time() - began < 20
+
+
 def test_subwords(spark):
     import pytest
 
