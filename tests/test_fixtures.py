@@ -323,6 +323,7 @@ def test_hashed_ngrams_linear(spark):
 
 LONG_TEXT = {
     "contamination_counts": [("s", 1)],
+    "decontam_filter": [(2, "r")],
 }
 
 
