@@ -324,6 +324,7 @@ def test_hashed_ngrams_linear(spark):
 LONG_TEXT = {
     "contamination_counts": [("s", 1)],
     "decontam_filter": [(2, "r")],
+    "decontam_verify": [(1, 7, 1.0)],
 }
 
 
