@@ -325,6 +325,7 @@ LONG_TEXT = {
     "contamination_counts": [("s", 1)],
     "decontam_filter": [(2, "r")],
     "decontam_verify": [(1, 7, 1.0)],
+    "decontaminate": [(2, "w1 w2", "r")],
 }
 
 
