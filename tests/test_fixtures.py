@@ -326,6 +326,7 @@ LONG_TEXT = {
     "decontam_filter": [(2, "r")],
     "decontam_verify": [(1, 7, 1.0)],
     "decontaminate": [(2, "w1 w2", "r")],
+    "ngram_semi_prefilter": [(1,)],
 }
 
 
