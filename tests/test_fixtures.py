@@ -327,6 +327,7 @@ LONG_TEXT = {
     "decontam_verify": [(1, 7, 1.0)],
     "decontaminate": [(2, "w1 w2", "r")],
     "ngram_semi_prefilter": [(1,)],
+    "subword_candidates": [(1, 7)],
 }
 
 
