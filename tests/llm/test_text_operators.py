@@ -403,6 +403,20 @@ def test_urls_brute_force(spark):
     assert sum(r[1] == "block" and r[3] is None for r in rows) > 5
 
 
+def test_tree_and_merge_bear_on_verdicts(spark):
+    # /a/y meets no rule: its template alone (9 of 10 blocked, smoothed 10 of 12) is not rejected, merged with a sibling (20 of 22) it is
+    rules = [("block", "h.net", "/a/x"), ("block", "h.net", "/b/x")]
+    a, b = [f"/a/x{i}" for i in range(9)] + ["/a/y"], [f"/b/x{i}" for i in range(10)]
+
+    def of(paths):
+        pages = spark.createDataFrame([(i, f"s://h.net{p}") for i, p in enumerate(paths)], "page_id long, url string")
+        return {r["path"]: (r["rule"], r["verdict"], r["template"]) for r in urls.filter_urls(pages, rules).collect()}
+
+    assert of(a)["/a/y"] == (None, "allow", "/a/*")
+    assert of(a + b)["/a/y"] == (None, "block", "/a/*")
+    assert of([f"/a/x{i}" for i in range(10, 40)] + ["/a/y"])["/a/y"] == (None, "block", "/a/*")
+
+
 def verdicts(spark, paths):
     pages = spark.createDataFrame([(i, f"http://h.net/{x}") for i, x in enumerate(paths)], "page_id long, url string")
     return {r["path"]: (r["verdict"], r["template"]) for r in urls.filter_urls(pages).collect()}
