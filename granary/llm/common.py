@@ -25,11 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
+def small_batches(spark: SparkSession, most: int = BATCH_ROWS) -> None:
     """Keeps Arrow batches of texts small; a smaller setting of the session stays."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
-        spark.conf.set(name, str(BATCH_ROWS))
+    if not 0 < int(spark.conf.get(name)) <= most:
+        spark.conf.set(name, str(most))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -147,6 +147,8 @@ _LOWER[65:91] += 32
 _BYTE = mixed((np.arange(256, dtype=np.uint64) + np.uint64(1)) * np.uint64(_ODD))
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(SPACE)] = True
+#: Powers are made so many at a time: a worker that gets short steps holds short tables.
+_POWERS = 1 << 16
 _powers: list[np.ndarray] = []
 
 
@@ -154,7 +156,7 @@ def _power_tables(n: int) -> list[np.ndarray]:
     if not _powers or len(_powers[0]) < n:
         out = []
         for base in (_ODD, pow(_ODD, -1, 1 << 64)):
-            x = np.full(max(n, STEP_BYTES + 65536), base, np.uint64)
+            x = np.full(-(-n // _POWERS) * _POWERS, base, np.uint64)
             x[0] = 1
             out.append(np.cumprod(x, dtype=np.uint64))
         _powers[:] = out

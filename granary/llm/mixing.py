@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from itertools import accumulate
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +21,8 @@ GOLDEN = 2654435769
 SLOTS, LEAST_BLOCK, MOST_BLOCK = 1 << 17, 4, 1 << 16
 #: Slots that a source has at least, by smaller blocks, unless these would be below LEAST_BLOCK.
 LEAST_SLOTS = 128
+#: Columns of the table of sources.
+LANES = {"_lane": pa.int32(), "source": pa.string(), "words": pa.int64(), "target": pa.float64(), "blocks": pa.int64(), "_buckets": pa.int64(), "_block": pa.int64(), "_goal": pa.int64(), "_slots": pa.int64()}
 #: Slots that are ranked together, and documents of a source that are put in order together (about).
 CHUNK, BUCKET = 1 << 14, 1 << 12
 
@@ -85,7 +88,8 @@ def plan(docs: DataFrame, share: float = SHARE) -> tuple[DataFrame, DataFrame, D
         target, words = float(goal[r["source"]]), round(goal[r["source"]])
         own = max(LEAST_BLOCK, min(block, words // LEAST_SLOTS))
         lanes.append((lane, r["source"], r["words"], target, -(-r["words"] // own), max(1, r["rows"] // BUCKET), own, words, slots_for(r["words"], words, own)))
-    sources = spark.createDataFrame(lanes, "_lane int, source string, words long, target double, blocks long, _buckets long, _block long, _goal long, _slots long")
+    # as Arrow: rows of a Python list would be made by Python workers of their own, a daemon and one for each core of an executor
+    sources = spark.createDataFrame(pa.Table.from_arrays([pa.array([x[i] for x in lanes], kind) for i, kind in enumerate(LANES.values())], names=list(LANES)))
 
     # the words before each bucket of a source, then before each document of a bucket
     keyed = base.join(F.broadcast(sources.select("_lane", "_buckets", "_block", "words", "target", F.col("source").alias("_s"))), F.col("source").eqNullSafe(F.col("_s")))

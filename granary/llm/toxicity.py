@@ -20,6 +20,8 @@ KINDS = 3
 SAMPLE = 20_000
 FEATURES = 2_000
 LEAST_ROWS = 4
+#: Features that a task counts before it sends them on, however few texts a batch has.
+COUNTED = 80_000
 #: Log-likelihood ratio (in nats) that a word needs: about one word in 100,000 has it by chance.
 LEAST_GAIN = 10.0
 FOLDS = 5
@@ -103,18 +105,27 @@ def kinds(x: Rows, toxic: np.ndarray, k: int = KINDS, rounds: int = 30) -> np.nd
 
 
 def feature_counts(rows: DataFrame) -> DataFrame:
-    """feature, n and a: texts and toxic texts that hold it; summed where they are read, then over all."""
+    """feature, n and a: texts and toxic texts that hold it; summed where they are read, COUNTED features or a few more at a time, then over all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n: Counter[str] = Counter()
+        a: Counter[str] = Counter()
+
+        def counted() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64()), pa.array([a[x] for x in n], pa.int64())], ["feature", "n", "a"])
+            n.clear()
+            a.clear()
+            return out
+
         for batch in batches:
-            n: Counter[str] = Counter()
-            a: Counter[str] = Counter()
             for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found = features_in(text)
                 n.update(found)
                 if label > 0:
                     a.update(found)
-            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64()), pa.array([a[x] for x in n], pa.int64())], ["feature", "n", "a"])
+            if len(n) >= COUNTED:
+                yield counted()
+        yield counted()
 
     return rows.select("label", "text").mapInArrow(run, "feature string, n long, a long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("a").alias("a"))
 

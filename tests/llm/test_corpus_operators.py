@@ -9,7 +9,7 @@ from tests.conftest import SF, same
 from tests.llm.test_text_operators import ODD, WORD, documents, none, odd, plain_hits  # noqa: F401
 
 import corpus_pipeline
-from granary.llm import graph, jaccard, mixing
+from granary.llm import common, graph, jaccard, mixing, toxicity
 
 
 def shingles(text, k):
@@ -286,3 +286,47 @@ def test_pipeline_odd(spark, odd, none):  # noqa: F811
             got = stage(spark, docs, SF)
             got.count()
             assert name == "mixing" or got.columns == docs.columns
+
+
+def test_mixing_needs_no_python_workers(spark):
+    plan = mixing.mix(spark.read.parquet(f"{SF}/documents.parquet"))._jdf.queryExecution().toString()
+    assert "ExistingRDD" not in plan and "LocalTableScan" in plan
+
+
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
+def test_stages_take_small_batches(spark, name, stage):
+    option = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(option)
+    try:
+        spark.conf.set(option, "10000")
+        stage(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF)
+        assert int(spark.conf.get(option)) == corpus_pipeline.BATCH_ROWS
+    finally:
+        spark.conf.set(option, before)
+
+
+def test_power_tables_follow_the_step(monkeypatch):
+    monkeypatch.setattr(common, "_powers", [])
+    few, many = [b"a b c d e"], [b"x y z " * 30_000, b"a b c d e"]
+    first = common.shingle_sets(few, 4)[0]
+    assert sum(x.nbytes for x in common._powers) <= 1 << 20
+    assert common.shingle_sets(many, 4)[1].tolist() == first.tolist() == common.shingle_sets(few, 4)[0].tolist()
+
+
+def test_feature_counts_of_small_batches(spark, monkeypatch):
+    option = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(option)
+    rows = spark.createDataFrame([(i % 2, f"word{'abcdefghij'[i % 10]} same") for i in range(200)], "label int, text string").coalesce(1)
+    plain = {}
+    for label, text in rows.collect():
+        for x in toxicity.features_in(text):
+            n, a = plain.get(x, (0, 0))
+            plain[x] = n + 1, a + label
+    try:
+        spark.conf.set(option, "7")
+        got = toxicity.feature_counts(rows)
+        assert {r["feature"]: (r["n"], r["a"]) for r in got.collect()} == plain
+        monkeypatch.setattr(toxicity, "COUNTED", 1)  # every batch is sent on by itself
+        assert {r["feature"]: (r["n"], r["a"]) for r in toxicity.feature_counts(rows).collect()} == plain
+    finally:
+        spark.conf.set(option, before)
