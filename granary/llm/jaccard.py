@@ -226,42 +226,131 @@ def narrowed(docs: DataFrame, nodes: DataFrame, k: int, t: Threshold) -> DataFra
     what its nodes have besides, counted within the list, until none is left. So a node meets no
     more groups in a list than it has shingles. Nodes that may miss all that is left of them
     are as similar as the threshold asks for, near enough, and share a list of their own.
+
+    The HEAVY most frequent tokens, those of templates, stay in arrays of their nodes: a node
+    gets rows for what else it has and for the lists that it stands in.
     """
-    sets = with_sets(docs, nodes, k).dropDuplicates(["node"]).join(nodes.select("node", "n", "root"), "node")
-    parts = sets.select(F.lit(0).cast("long").alias("token"), "node", "n", "root", F.lit(0).cast("long").alias("missed"), F.col("n").alias("total"), F.explode("tokens").alias("part"), F.lit(1).cast("long").alias("w"))
-    found, used = [], []
+    sets = stored(with_sets(docs, nodes, k).dropDuplicates(["node"]).join(nodes.select("node", "n", "root"), "node").select("node", "n", "root", "tokens"), "hot_sets")
+    seen = stored(counted(sets), "seen")
+    halves = stored(halved(sets, seen), "halves")
+    forget(sets)
+    often = "arrays_zip(part, w, tail, after)"
+    columns = [F.lit(0).cast("long").alias("token"), "node", "n", "root"]
+    # of the most frequent tokens, the ones that a node stands in a list of, and (only if need be) all of them
+    heads = halves.select(*columns, F.inline(F.expr(f"filter({often}, x -> {t.query('(x.tail + x.w)', 'n')})")))
+    frequent_rest = halves.select(*columns, F.inline(F.expr(often)))
+    parts = halves.select(*columns, F.lit(0).cast("long").alias("missed"), F.col("n").alias("total"), F.expr("aggregate(w, 0L, (s, x) -> s + x)").alias("kept"), F.size("part").alias("more"), F.explode("light").alias("part"), F.lit(1).cast("long").alias("w"))
+    found, used = [], [halves]
     while True:
+        # ``kept`` and ``more``: weight and number of the frequent tokens, which come after all others
         parts = stored(parts, "parts")
-        seen = parts.groupBy("token", "part").agg(F.count(F.lit(1)).alias("nodes"), F.expr("bit_xor(xxhash64(node))").alias("mark")).where("nodes > 1")
-        seen = stored(seen, "seen")
-        same = parts.join(seen, ["token", "part"]).groupBy("token", "node", "n", "root", "missed", "total", "nodes", "mark").agg(F.sum("w").alias("w"))
+        if seen is None:
+            seen = parts.groupBy("token", "part").agg(F.count(F.lit(1)).alias("nodes"), F.expr("bit_xor(xxhash64(node))").alias("mark")).where("nodes > 1")
+            seen = stored(seen, "seen")
+        same = parts.join(seen, ["token", "part"]).groupBy("token", "node", "n", "root", "missed", "total", "kept", "more", "nodes", "mark").agg(F.sum("w").alias("w"))
         order = Window.partitionBy("token", "node").orderBy("nodes", "mark")
-        placed = same.withColumn("upto", F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("left", F.sum("w").over(Window.partitionBy("token", "node")))
-        placed = placed.withColumn("missed", F.expr("missed + total - left")).withColumn("room", F.expr("n - (missed + upto - w)"))
-        placed = placed.withColumn("after", F.count(F.lit(1)).over(Window.partitionBy("token", "node")) - F.row_number().over(order))
-        placed = stored(placed.select("token", "node", "n", "root", "room", "upto", "left", "w", "after", F.xxhash64("nodes", "mark").alias("part")), "placed")
-        below = placed.where(t.query("room", "n")).withColumn("list", F.xxhash64("token", "part"))
+        placed = same.withColumn("tail", F.expr("kept - w") + F.sum("w").over(order.rowsBetween(0, Window.unboundedFollowing)))
+        placed = placed.withColumn("after", F.col("more") + F.count(F.lit(1)).over(Window.partitionBy("token", "node")) - F.row_number().over(order))
+        # what comes before a token, or is in no other node, is missed
+        placed = placed.select("token", "node", "n", "root", F.xxhash64("nodes", "mark").alias("part"), "w", "tail", F.col("after").cast("long").alias("after"), F.expr("n - missed - total + tail + w").alias("room"))
+        placed = stored(placed, "placed")
+        below = placed.where(t.query("room", "n"))
+        if heads is not None:
+            below = below.unionByName(heads.withColumn("room", F.expr("tail + w")))
+        below = stored(below.withColumn("list", F.xxhash64("token", "part")), "below")
         level = F.floor(F.log("n") / math.log(SPREAD)).cast("int").alias("level")
         groups = below.groupBy("list", "root", level).agg(F.count(F.lit(1)).alias("rows"), F.sum("after").alias("after"), F.max(F.expr(t.member("room", "n"))).alias("open"))
         lists = groups.groupBy("list").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count_if("open").alias("groups"), F.sum("rows").alias("rows"), F.sum("after").alias("after"))
         lists = stored(lists.where("x <> y and groups > 0").select("list", F.expr(f"groups > {HOT} and groups * rows > after").alias("hot")), "lists")
-        below = stored(below.select("list", "node", "n", "root", "room", "upto", "left", "w", F.col("token").alias("above")).join(lists, "list"), "below")
-        found.append(stored(below.where("not hot").select(F.col("list").alias("token"), "node", "room"), "narrow"))
-        hot = below.where("hot").drop("hot")
-        forget(parts, seen, lists)
-        used += [placed, below]
+        listed = stored(below.select("list", "node", "n", "root", "room", "tail", F.col("token").alias("above")).join(lists, "list"), "listed")
+        found.append(stored(listed.where("not hot").select(F.col("list").alias("token"), "node", "room"), "narrow"))
+        hot = listed.where("hot").drop("hot")
+        forget(parts, seen, lists, below)
+        used += [placed, listed]
         if hot.isEmpty():
             break
         # a node that may miss the rest of its tokens
-        ended = hot.withColumn("room", F.expr("room - (left - upto)")).where(t.query("room", "n"))
+        ended = hot.withColumn("room", F.expr("room - tail")).where(t.query("room", "n"))
         found.append(stored(ended.select(F.xxhash64("list", F.lit("end")).alias("token"), "node", "room"), "narrow"))
-        rest = placed.select(F.col("token").alias("above"), "node", F.col("upto").alias("at"), "part", F.col("w").alias("pw"))
-        parts = hot.join(rest, ["above", "node"]).where("at > upto").select(F.col("list").alias("token"), "node", "n", "root", F.expr("n - room").alias("missed"), F.expr("left - upto").alias("total"), "part", F.col("pw").alias("w"))
+        rest = placed.select("token", "node", "part", "w", "tail")
+        if heads is not None:
+            rest = rest.unionByName(frequent_rest.select("token", "node", "part", "w", "tail").join(hot.select("node").distinct(), "node", "left_semi"))
+        rest = rest.select(F.col("token").alias("above"), "node", "part", F.col("w").alias("pw"), F.col("tail").alias("at"))
+        parts = hot.join(rest, ["above", "node"]).where("at < tail").select(F.col("list").alias("token"), "node", "n", "root", F.expr("n - room").alias("missed"), F.col("tail").alias("total"), F.lit(0).cast("long").alias("kept"), F.lit(0).alias("more"), "part", F.col("pw").alias("w"))
+        seen = heads = None
     out = stored(docs.sparkSession.read.schema("token long, node long, room long").parquet(*(x._granary_path for x in found)), "narrowed")
     forget(*found, *used)
     return out
 
 
+def counted(sets: DataFrame) -> DataFrame:
+    """token (0), part, nodes and mark (of the nodes that have it) of each shingle that two or more of ``sets`` (node, n, root, tokens) have; tasks count their own first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, size = [], 0
+
+        def sums() -> pa.RecordBatch:
+            parts = np.concatenate([np.empty(0, np.int64), *(p for p, _ in kept)])
+            marks = np.concatenate([np.empty(0, np.uint64), *(m for _, m in kept)])
+            order = np.argsort(parts, kind="stable")
+            values, at, n = np.unique(parts[order], return_index=True, return_counts=True)
+            marks = np.bitwise_xor.reduceat(marks[order], at) if len(at) else marks
+            return pa.RecordBatch.from_arrays([pa.array(values), pa.array(n.astype(np.int64)), pa.array(marks.view(np.int64))], ["part", "nodes", "mark"])
+
+        for batch in batches:
+            tokens = batch.column(1)
+            lengths = np.diff(tokens.offsets.to_numpy())
+            kept.append((tokens.flatten().to_numpy(), np.repeat(mixed(batch.column(0).to_numpy().view(np.uint64)), lengths)))
+            size += int(lengths.sum())
+            if size > COUNTED:
+                yield sums()
+                kept, size = [], 0
+        yield sums()
+
+    made = sets.select("node", "tokens").mapInArrow(run, "part long, nodes long, mark long")
+    found = made.groupBy("part").agg(F.sum("nodes").alias("nodes"), F.expr("bit_xor(mark)").alias("mark")).where("nodes > 1")
+    return found.select(F.lit(0).cast("long").alias("token"), "part", "nodes", "mark")
+
+
+def halved(sets: DataFrame, seen: DataFrame) -> DataFrame:
+    """The rows of ``sets`` with their shingles taken apart: ``light`` ones, and the HEAVY most frequent ones of ``seen`` in the order of their counts.
+
+    The latter are arrays: ``part`` (one for shingles that the same nodes have), ``w`` (its shingles), ``tail``
+    and ``after`` (shingles and parts that come after it). The shingles of a template are never gathered
+    by shingle, nor a row each.
+    """
+    heavy = seen.orderBy(F.desc("nodes"), "part").limit(HEAVY).select("part", "nodes", "mark", F.xxhash64("nodes", "mark", F.lit("frequent")).alias("id")).toArrow()  # at most HEAVY rows
+    keys, counts, marks, ids = (heavy[x].to_numpy() for x in ("part", "nodes", "mark", "id"))
+    order = np.lexsort((marks, counts))
+    new = np.ones(len(order), bool)
+    new[1:] = (np.diff(counts[order]) != 0) | (marks[order][1:] != marks[order][:-1])
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.cumsum(new) - 1
+    by = np.argsort(keys)
+    shared = sets.sparkSession.sparkContext.broadcast((keys[by], rank[by], ids[order][new]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, rank, ids = shared.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            light, part, w, tail, after = [], [], [], [], []
+            tokens = batch.column(3)
+            flat, ends = tokens.flatten().to_numpy(), np.cumsum(np.diff(tokens.offsets.to_numpy()))
+            at = np.minimum(np.searchsorted(keys, flat), max(len(keys) - 1, 0))
+            often = keys[at] == flat if len(keys) else np.zeros(len(flat), bool)
+            for values, places, is_often in zip(*(np.split(x, ends[:-1]) for x in (flat, at, often))):
+                groups, n = np.unique(rank[places[is_often]], return_counts=True)
+                light.append(values[~is_often])
+                part.append(ids[groups])
+                w.append(n.astype(np.int64))
+                tail.append(n.sum() - np.cumsum(n))
+                after.append(np.arange(len(n), dtype=np.int64)[::-1])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(_flat([x.view(np.uint64) for x in y]) for y in (light, part, w, tail, after))], ["node", "n", "root", "light", "part", "w", "tail", "after"])
+
+    return sets.mapInArrow(run, "node long, n long, root long, light array<long>, part array<long>, w array<long>, tail array<long>, after array<long>")
+
+
 def linked(docs: DataFrame, k: int, threshold: Fraction) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs`` (see ``jaccard_join``), its node and its component's root (null without shingles)."""
     t = Threshold(threshold)

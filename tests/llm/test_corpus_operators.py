@@ -133,6 +133,48 @@ def test_jaccard_hot(spark, monkeypatch, k, t):
     assert got == plain_join(rows, k, t)
 
 
+@pytest.mark.parametrize("heavy", [1 << 16, 40])
+def test_template_shingles_make_no_rows(spark, monkeypatch, heavy):
+    # copies share most shingles: a node gets rows for what it alone has and for its places in lists, none for each shingle of the template
+    monkeypatch.setattr(jaccard, "HEAVY", heavy)
+    made, real, t = {}, jaccard.stored, Fraction(8, 10)
+    for n in (200, 400):
+        pick, rows = random.Random(n), []
+        for i in range(n):
+            words = [f"t{x}" for x in range(120)]
+            edits = range(at := pick.randrange(117), at + (i // 40 % 2 + 2 if i % 40 == 0 else 1)) if i % 4 < 3 else pick.sample(range(120), 4)
+            for x in edits:
+                words[x] = f"own{i}x{x}"
+            rows.append((i, " ".join(words), len(edits) == 1))
+        sets = [set(zip(*(x.split()[j:] for j in range(5)))) for _, x, _ in rows]
+
+        def counted(df, what, n=n):
+            out = real(df, what)
+            if what in ("parts", "placed", "below"):
+                made[n] = made.get(n, 0) + out.count()
+            return out
+
+        monkeypatch.setattr(jaccard, "stored", counted)
+        docs = spark.createDataFrame([(i, x, len(s), alike) for (i, x, alike), s in zip(rows, sets)], "doc_id long, text string, n long, alike boolean")
+        nodes = jaccard.with_nodes(docs, 5).select(F.col("_node").alias("node"), "doc_id", "n", F.when(F.col("alike"), F.lit(0)).otherwise(F.col("_node")).alias("root"))
+        at = {}
+        for r in jaccard.narrowed(docs, nodes, 5, jaccard.Threshold(t)).join(nodes.select("node", "doc_id"), "node").collect():
+            at.setdefault(r["doc_id"], set()).add(r["token"])
+        links = [(i, j) for i in range(n) for j in range(i) if not (rows[i][2] and rows[j][2]) and len(sets[i] & sets[j]) >= t * len(sets[i] | sets[j])]
+        assert len(links) > 100 and all(at[i] & at[j] for i, j in links)
+    if heavy > 40:
+        assert all(made[n] <= 50 * n for n in made) and made[400] <= 2.2 * made[200], made
+
+
+def test_jaccard_hot_halves(spark, monkeypatch):
+    # lists that are taken apart more than once, with shingles on both sides of the most frequent ones
+    monkeypatch.setattr(jaccard, "HOT", 1)
+    monkeypatch.setattr(jaccard, "HEAVY", 25)
+    rows = list(enumerate(near_copies(7, 100) + slotted(120, 4, 60) + slotted(60, 3, 90)))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), 4, Fraction(85, 100)).collect()}
+    assert got == plain_join(rows, 4, Fraction(85, 100))
+
+
 def test_jaccard_odd(spark, odd, none):  # noqa: F811
     got = jaccard.jaccard_join(odd, 4, Fraction(85, 100)).collect()
     assert len(got) == len(ODD) + 2
